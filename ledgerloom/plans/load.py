@@ -74,6 +74,19 @@ def skipped_rows(name: str, raw: DataFrame) -> DataFrame:
     return raw.where(~has_key(TABLES[name]))
 
 
+def skip_report(raw: RetailTables) -> DataFrame:
+    """Rows read and rows passed over, per table; one pass each."""
+    lines = None
+    for name, table in TABLES.items():
+        line = raw[name].agg(
+            F.lit(name).alias("tabela"),
+            F.count("*").alias("lidas"),
+            F.count_if(~has_key(table)).alias("puladas"),
+        )
+        lines = line if lines is None else lines.unionByName(line)
+    return lines
+
+
 def typed_rows(name: str, raw: DataFrame) -> DataFrame:
     """Raw rows with a key, cast to the typed columns, plus the ``_faults`` array."""
     table = TABLES[name]

@@ -13,17 +13,20 @@ from ledgerloom.functions.text import day, to_cents
 from ledgerloom.model import labels
 from ledgerloom.model.tables import RetailTables
 from ledgerloom.operators.skew import lookup_join
-from ledgerloom.plans.reports import AMOUNT, QTY_SUM
+from ledgerloom.plans.reports import QTY_SUM, amount
 
-_LINE_TOTAL = to_cents(AMOUNT).cast("decimal(20,2)").alias("valor_total")
-_FRACTION = (F.col("unidade_medida") == "UN") & (F.col("qtde_vendida") % 1 != 0)
-_ZEROED = F.col("ordem_compra") == 0
-_INVERTED = F.col("data_entrega") < F.col("data_pedido")
-_BELOW_COST = F.col("preco_venda") < F.col("preco_compra")
+_FRACTION = "unidade_medida = 'UN' AND qtde_vendida % 1 <> 0"
+_ZEROED = "ordem_compra = 0"
+_INVERTED = "data_entrega < data_pedido"
+_BELOW_COST = "preco_venda < preco_compra"
 _SALE_KEY = ["filial_id", "produto_id"]
 _TWIN_KEY = ["produto_id", "data_pedido", "preco_compra"]
 
 
+def _line_total() -> Column:
+    return to_cents(amount()).cast("decimal(20,2)").alias("valor_total")
+
+
 def _catalogue_keys(tables: RetailTables) -> DataFrame:
     return tables.branch_product.select("filial_id", F.col("idproduto").alias("produto_id"))
 
@@ -39,13 +42,13 @@ def uncatalogued_sales(tables: RetailTables) -> DataFrame:
         day(F.col("data_emissao")).alias("data_emissao"),
         "qtde_vendida",
         "valor_unitario",
-        _LINE_TOTAL,
+        _line_total(),
     )
 
 
 def branches_without_catalogue(tables: RetailTables) -> DataFrame:
     per_branch = tables.sales.groupBy("filial_id").agg(
-        F.count("*").alias("qtde_vendas"), to_cents(F.sum(AMOUNT)).alias("valor_total")
+        F.count("*").alias("qtde_vendas"), to_cents(F.sum(amount())).alias("valor_total")
     )
     listed = tables.branch_product.select("filial_id").distinct()
     return per_branch.join(listed, ["filial_id"], "left_anti")
@@ -58,7 +61,7 @@ def fractional_quantities(tables: RetailTables) -> DataFrame:
         day(F.col("data_emissao")).alias("data_emissao"),
         "qtde_vendida",
         "unidade_medida",
-        _LINE_TOTAL,
+        _line_total(),
     )
 
 
@@ -91,7 +94,7 @@ def sales_by_month(tables: RetailTables, scope: date) -> DataFrame:
         .agg(
             F.count("*").alias("qtde_vendas"),
             F.sum("qtde_vendida").cast(QTY_SUM).alias("qtde_total"),
-            to_cents(F.sum(AMOUNT)).alias("valor_total"),
+            to_cents(F.sum(amount())).alias("valor_total"),
         )
         .select(
             F.date_format("month", "MM/yyyy").alias("competencia"),
@@ -291,7 +294,7 @@ def scoreboard(tables: RetailTables) -> DataFrame:
     """
     sold = tables.sales.groupBy("filial_id", "produto_id", "valor_unitario").agg(
         F.count("*").alias("n"),
-        F.count_if(_FRACTION).alias("fractions"),
+        F.count_if(F.expr(_FRACTION)).alias("fractions"),
     )
     prices = tables.branch_product.select(
         "filial_id", F.col("idproduto").alias("produto_id"), "preco_venda", F.lit(True).alias("listed")
@@ -326,14 +329,14 @@ def scoreboard(tables: RetailTables) -> DataFrame:
         _counted(branches_without_catalogue(tables), {"QA-02": F.count("*")}),
         _counted(
             tables.purchase_order,
-            {"QA-04": F.count_if(_ZEROED), "QA-06": F.count_if(_INVERTED)},
+            {"QA-04": F.count_if(F.expr(_ZEROED)), "QA-06": F.count_if(F.expr(_INVERTED))},
         ),
         _counted(_twins(tables), {"QA-05": F.sum("ocorrencias")}),
         _counted(
             linked,
             {"QA-07": F.count_if(F.expr("recebida > qtde_pedida")), "QA-08": F.sum("off")},
         ),
-        _counted(tables.branch_product, {"QA-09": F.count_if(_BELOW_COST)}),
+        _counted(tables.branch_product, {"QA-09": F.count_if(F.expr(_BELOW_COST))}),
         _counted(idle_suppliers(tables), {"QA-11": F.count("*")}),
     ]
     lines = parts[0]

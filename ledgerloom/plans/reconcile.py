@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.casts import blank_to_null, to_whole
 from ledgerloom.functions.text import to_cents
-from ledgerloom.model.schema import LONG, QTY, SALES, TABLES
+from ledgerloom.model.schema import LONG, PRICE, QTY, SALES, TABLES
 from ledgerloom.model.tables import RetailTables
 from ledgerloom.operators.integrity import validate
 from ledgerloom.operators.skew import lookup_join
 from ledgerloom.plans.quality import scoreboard
-from ledgerloom.plans.reports import AMOUNT, QTY_SUM
+from ledgerloom.plans.reports import QTY_SUM, amount
 from ledgerloom.sources.sheet import OVERFLOW_COLUMNS
 
 
@@ -38,11 +38,9 @@ def row_count_differences(raw: RetailTables, typed: RetailTables) -> DataFrame:
 
 def financial_checksum(raw: RetailTables, typed: RetailTables) -> DataFrame:
     """Sum of quantity times price on both sides of the load, exact decimals."""
-    amount = F.col("qtde_vendida").try_cast("decimal(18,6)") * F.col("valor_unitario").try_cast(
-        "decimal(18,6)"
-    )
-    before = raw.sales.agg(F.sum(amount).cast("decimal(38,7)").alias("origem"))
-    after = typed.sales.agg(F.sum(AMOUNT).cast("decimal(38,7)").alias("destino")).scalar()
+    raw_amount = F.col("qtde_vendida").try_cast(QTY) * F.col("valor_unitario").try_cast(PRICE)
+    before = raw.sales.agg(F.sum(raw_amount).cast("decimal(38,7)").alias("origem"))
+    after = typed.sales.agg(F.sum(amount()).cast("decimal(38,7)").alias("destino")).scalar()
     return before.select("origem", after.alias("destino")).select(
         to_cents(F.col("origem")).alias("total_origem"),
         to_cents(F.col("destino")).alias("total_destino"),
@@ -125,7 +123,8 @@ def displaced_rows(overflow: DataFrame, orders: DataFrame) -> DataFrame:
     block = overflow.select(*key, *[F.col(c).alias(f"{c}_bloco") for c in compared])
     # The order a block row belongs to is the first one entered for that key.
     first = (
-        orders.groupBy(*key)
+        orders.withColumn("descricao_produto", blank_to_null(F.col("descricao_produto")))
+        .groupBy(*key)
         .agg(F.min_by(F.struct("pedido_id", *compared), "pedido_id").alias("first"))
         .select(*key, "first.*")
     )

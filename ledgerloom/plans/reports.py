@@ -16,13 +16,15 @@ from ledgerloom.model import labels
 from ledgerloom.model.tables import RetailTables
 from ledgerloom.operators.skew import lookup_join
 
-AMOUNT = F.col("qtde_vendida") * F.col("valor_unitario")
 QTY_SUM = T.DecimalType(24, 3)
-_NO_QTY = F.lit(0).cast(QTY_SUM)
+
+
+def amount() -> Column:
+    return F.col("qtde_vendida") * F.col("valor_unitario")
 
 
 def _or_zero(name: str) -> Column:
-    return F.coalesce(F.col(name), _NO_QTY)
+    return F.coalesce(F.col(name), F.lit(0).cast(QTY_SUM))
 
 
 def present(df: DataFrame, headings: str) -> DataFrame:
@@ -38,7 +40,7 @@ def _sales_by_product(tables: RetailTables, period: Period) -> DataFrame:
         .agg(
             F.count("*").alias("n"),
             F.sum("qtde_vendida").alias("qty"),
-            F.sum(AMOUNT).alias("amount"),
+            F.sum(amount()).alias("amount"),
             F.sum("valor_unitario").alias("prices"),
             F.min("data_emissao").alias("first"),
         )
@@ -94,7 +96,7 @@ def monthly_sales_with_total(tables: RetailTables, period: Period) -> DataFrame:
     per_product = (
         tables.sales.where(period.holds("data_emissao"))
         .groupBy("produto_id")
-        .agg(F.sum("qtde_vendida").alias("qty"), F.sum(AMOUNT).alias("amount"))
+        .agg(F.sum("qtde_vendida").alias("qty"), F.sum(amount()).alias("amount"))
     )
     total_title = labels.TOTAL_PREFIX + period.title.upper()
     return (
@@ -148,7 +150,7 @@ def period_card(tables: RetailTables, period: Period, style: NumberStyle = REAIS
         .agg(
             F.count("*").alias("n"),
             F.sum("qtde_vendida").alias("qty"),
-            F.sum(AMOUNT).alias("amount"),
+            F.sum(amount()).alias("amount"),
             F.min("data_emissao").alias("first"),
             F.max("data_emissao").alias("last"),
         )
@@ -168,7 +170,7 @@ def _daily(tables: RetailTables, period: Period) -> DataFrame:
     return (
         tables.sales.where(period.holds("data_emissao"))
         .groupBy("data_emissao")
-        .agg(F.count("*").alias("lancamentos"), F.sum(AMOUNT).alias("amount"))
+        .agg(F.count("*").alias("lancamentos"), F.sum(amount()).alias("amount"))
     )
 
 

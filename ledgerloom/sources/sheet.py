@@ -8,6 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.casts import blank_to_null, to_date, to_decimal, to_whole
+from ledgerloom.model.schema import DATE, INT, LONG, TEXT, PURCHASE_ORDER
+
 # Names a reader gives to columns without heading, date pattern
 _NO_HEADING = re.compile(r"^(Unnamed.*|_c\d+)$")
 _MIDNIGHT = r"^\d{4}-\d{2}-\d{2} 00:00:00$"
@@ -43,6 +46,23 @@ def overflow_block(df: DataFrame) -> DataFrame | None:
     return df.select([F.col(f"`{c}`") for c in names]).na.drop(how="all")
 
 
+def typed_overflow(block: DataFrame) -> DataFrame:
+    """The overflow block of the order tab under its positional names, typed."""
+    out = []
+    for source, name in zip(block.columns, OVERFLOW_COLUMNS, strict=True):
+        dtype, raw = PURCHASE_ORDER.typed_schema[name].dataType, F.col(f"`{source}`")
+        if dtype == TEXT:
+            value = blank_to_null(raw)
+        elif dtype == DATE:
+            value = to_date(raw)
+        elif dtype in (INT, LONG):
+            value = to_whole(raw, dtype)
+        else:
+            value = to_decimal(raw, dtype)
+        out.append(value.alias(name))
+    return block.select(*out)
+
+
 def trim_midnights(df: DataFrame) -> DataFrame:
     """``2025-01-11 00:00:00`` to ``2025-01-11`` in columns where every value looks like that.
 

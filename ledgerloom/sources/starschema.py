@@ -217,6 +217,34 @@ CHANGES = {
 }
 
 
+# The order tab as a spreadsheet export: 12 named columns, then 11 without
+# heading that hold displaced rows. Order dates all end in midnight; delivery
+# dates do so except for the empty texts, which keep the column as it is.
+_DISPLACED = "l_linenumber = 7"
+ORDER_SHEET = {
+    **RAW_PURCHASE_ORDER,
+    "data_pedido": f"{_DAY.format('o_orderdate')} || ' 00:00:00'",
+    "data_entrega": (
+        f"CASE WHEN l_discount = 0 THEN '' ELSE {_DAY.format('l_shipdate')} || ' 00:00:00' END"
+    ),
+}
+OVERFLOW = {
+    "Unnamed: 12": f"{_DAY.format('o_orderdate')} || ' 00:00:00'",
+    "Unnamed: 13": "CAST(l_linenumber AS STRING)",
+    "Unnamed: 14": _PRODUCT,
+    "Unnamed: 15": _DESCRIPTION,
+    "Unnamed: 16": "CAST(CASE WHEN l_orderkey % 10 = 0 THEN p_partkey ELSE l_orderkey END AS STRING)",
+    "Unnamed: 17": f"CAST({_UNITS} + CASE WHEN l_orderkey % 6 = 0 THEN 20 ELSE 0 END AS STRING)",
+    "Unnamed: 18": f"CAST({_BRANCH} AS STRING)",
+    "Unnamed: 19": f"{_DAY.format('l_shipdate')} || ' 00:00:00'",
+    "Unnamed: 20": f"CAST({_DELIVERED} AS STRING)",
+    "Unnamed: 21": f"CAST({_UNITS} - {_DELIVERED} AS STRING)",
+    "Unnamed: 22": f"CAST({PURCHASE_ORDER['preco_compra']} AS STRING)",
+}
+for _name, _expr in OVERFLOW.items():
+    ORDER_SHEET[f'"{_name}"'] = f"CASE WHEN {_DISPLACED} THEN {_expr} END"
+
+
 def projection(columns: dict[str, str]) -> list[str]:
     return [f"{expr} AS {name}" for name, expr in columns.items()]
 
@@ -275,14 +303,28 @@ class StarSchema:
             sales=self._lines.selectExpr(*projection(RAW_SALES)),
         )
 
+    @property
+    def order_sheet(self) -> DataFrame:
+        return self._lines.selectExpr(
+            *[f"{expr} AS {name}".replace('"', "`") for name, expr in ORDER_SHEET.items()]
+        )
+
+    def stream(self, name: str) -> DataFrame:
+        """A table as a file stream: the rows already there arrive first."""
+        return (
+            self.spark.readStream.schema(self.table(name).schema)
+            .option("pathGlobFilter", f"{name}.parquet")
+            .parquet(self.folder)
+        )
+
     @property
     def changes(self) -> DataFrame:
+        return self.changes_of(self.table("part"))
+
+    @staticmethod
+    def changes_of(parts: DataFrame) -> DataFrame:
         """One event per part, and a second one for every sixth part of the first kind."""
         rounds = F.when(F.expr("p_partkey % 30 = 0"), F.array(F.lit(0), F.lit(1))).otherwise(
             F.array(F.lit(0))
         )
-        return (
-            self.table("part")
-            .withColumn("turn", F.explode(rounds))
-            .selectExpr(*projection(CHANGES))
-        )
+        return parts.withColumn("turn", F.explode(rounds)).selectExpr(*projection(CHANGES))
