@@ -509,9 +509,11 @@ FROM bloco b LEFT JOIN primeiro o USING (produto_id, data_pedido, item)""",
     + ", ".join(_block_value(c, s, t) for c, s, t in zip(_block, _overflow, _block_types))
     + """ FROM sheet WHERE "Unnamed: 13" IS NOT NULL""",
     primeiro="SELECT pedido_id, produto_id, data_pedido, item, nullif(descricao_produto, '') AS descricao_produto,"
-    " ordem_compra, qtde_pedida, filial_id, data_entrega, qtde_entregue, preco_compra FROM ped"
+    " ordem_compra, qtde_pedida, filial_id, data_entrega, qtde_entregue, qtde_pendente, preco_compra FROM ped"
     " QUALIFY row_number() OVER (PARTITION BY produto_id, data_pedido, item"
-    " ORDER BY pedido_id) = 1",
+    " ORDER BY pedido_id, "
+    + ", ".join(f"{c} NULLS FIRST" for c in _block[3:])
+    + ") = 1",
 )
 
 _DECISIONS = {

@@ -17,6 +17,11 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+def is_blank(c: Column) -> Column:
+    """NULL, empty or spaces only; never NULL itself."""
+    return F.coalesce(F.length(F.trim(c)), F.lit(0)) == 0
+
+
 def to_decimal(c: Column, dtype: T.DecimalType) -> Column:
     """Rounds half up to the scale; NULL when the digits do not fit."""
     return F.trim(c).try_cast(dtype)
@@ -24,6 +29,8 @@ def to_decimal(c: Column, dtype: T.DecimalType) -> Column:
 
 def to_whole(c: Column, dtype: T.DataType) -> Column:
     """Whole number from text such as ``7``, ``7.0`` or ``7.5`` (rounded, not cut)."""
+    # Through decimal for every value: a failed cast of text straight to an
+    # integer costs an exception, a hundred times the price of this one.
     return F.round(F.trim(c).try_cast(_WIDE), 0).try_cast(dtype)
 
 

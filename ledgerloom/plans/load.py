@@ -1,9 +1,9 @@
 """Typed loads: raw text in, typed rows out, with every unusable value named.
 
-A load never aborts on a bad value. Each typed row carries ``_faults``: the
-columns whose raw text was filled in but could not be read as the column's
-type. :func:`judge` adds the integrity faults, and the caller decides which
-rows to keep.
+A load never aborts on a bad value. Each typed row carries ``_faults``: a
+comma-separated text naming the columns whose raw text was filled in but could
+not be read as the column's type. :func:`judge` adds the integrity faults, and
+the caller decides which rows to keep.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.casts import blank_to_null, digits, to_clock, to_date, to_decimal, to_whole
+from ledgerloom.functions.casts import blank_to_null, digits, is_blank, to_clock, to_date, to_decimal, to_whole
 from ledgerloom.model.schema import DATE, INT, LONG, TABLES, TEXT, Table
 from ledgerloom.model.schema import Column as TableColumn
 from ledgerloom.model.tables import RetailTables
@@ -65,13 +65,9 @@ def _zero() -> Column:
     return F.lit(0).cast("decimal(14,3)")
 
 
-def has_key(table: Table) -> Column:
-    return blank_to_null(F.col(table.row_key)).isNotNull()
-
-
 def skipped_rows(name: str, raw: DataFrame) -> DataFrame:
     """Raw rows a load passes over because their key is blank."""
-    return raw.where(~has_key(TABLES[name]))
+    return raw.where(is_blank(F.col(TABLES[name].row_key)))
 
 
 def skip_report(raw: RetailTables) -> DataFrame:
@@ -81,32 +77,45 @@ def skip_report(raw: RetailTables) -> DataFrame:
         line = raw[name].agg(
             F.lit(name).alias("tabela"),
             F.count("*").alias("lidas"),
-            F.count_if(~has_key(table)).alias("puladas"),
+            F.count_if(is_blank(F.col(table.row_key))).alias("puladas"),
         )
         lines = line if lines is None else lines.unionByName(line)
     return lines
 
 
+def _typed(table: Table) -> list[Column]:
+    special = _SPECIAL[table.name]
+    return [
+        (special[c.name]() if c.name in special else _read_as(c)).alias(c.name)
+        for c in table.columns
+    ]
+
+
+def _unreadable(table: Table) -> dict[str, Column]:
+    """Per raw column that can fail to parse: whether its text did."""
+    return {
+        c.name: ~is_blank(F.col(c.name))
+        & (to_clock(F.col(c.name)) if c.name == "horariomov" else _read_as(c)).isNull()
+        for c in table.columns
+        if c.name in table.raw_columns and (c.type != TEXT or c.name == "horariomov")
+    }
+
+
 def typed_rows(name: str, raw: DataFrame) -> DataFrame:
-    """Raw rows with a key, cast to the typed columns, plus the ``_faults`` array."""
+    """Raw rows with a key, cast to the typed columns, plus the ``_faults`` text."""
     table = TABLES[name]
-    special = _SPECIAL[name]
-    out, faults = [], []
-    for column in table.columns:
-        name = column.name
-        value = special[name]() if name in special else _read_as(column)
-        out.append(value.alias(name))
-        if name in table.raw_columns:
-            plain = to_clock(F.col(name)) if name == "horariomov" else _read_as(column)
-            unread = blank_to_null(F.col(name)).isNotNull() & plain.isNull()
-            faults.append(F.when(unread, F.lit(f"ilegivel:{name}")))
-    found = F.array_compact(F.array(*faults))
-    return raw.where(has_key(table)).select(*out, found.alias(FAULTS))
+    faults = [F.when(bad, F.lit(f"ilegivel:{c}")) for c, bad in _unreadable(table).items()]
+    keyed = raw.where(~is_blank(F.col(table.row_key)))
+    return keyed.select(*_typed(table), F.concat_ws(",", F.lit(None), *faults).alias(FAULTS))
 
 
 def load(name: str, raw: DataFrame) -> DataFrame:
     """The typed table without the fault column: rows with unreadable values left out."""
-    return typed_rows(name, raw).where(F.size(FAULTS) == 0).drop(FAULTS)
+    table = TABLES[name]
+    readable = raw.where(~is_blank(F.col(table.row_key)))
+    for bad in _unreadable(table).values():
+        readable = readable.where(~bad)
+    return readable.select(*_typed(table))
 
 
 def load_all(raw: RetailTables) -> RetailTables:
@@ -115,7 +124,7 @@ def load_all(raw: RetailTables) -> RetailTables:
 
 def unreadable(name: str, raw: DataFrame) -> DataFrame:
     """Rows a load could not read, with the names of the columns at fault."""
-    return typed_rows(name, raw).where(F.size(FAULTS) > 0)
+    return typed_rows(name, raw).where(F.col(FAULTS) != "")
 
 
 def supplier_code_issues(raw: DataFrame) -> DataFrame:
@@ -161,19 +170,15 @@ def judge(name: str, rows: DataFrame) -> Judged:
     """
     table = TABLES[name]
     if FAULTS not in rows.columns:
-        rows = rows.withColumn(FAULTS, F.array().cast("array<string>"))
-    found = F.array_compact(
-        F.array(*null_faults(table), *check_faults(table), *width_faults(table))
-    )
-    rows = rows.withColumn(FAULTS, F.concat(FAULTS, found))
+        rows = rows.withColumn(FAULTS, F.lit(""))
+    found = [*null_faults(table), *check_faults(table), *width_faults(table)]
+    rows = rows.withColumn(FAULTS, F.concat_ws(",", F.nullif(FAULTS, F.lit("")), *found))
+    clean = F.col(FAULTS) == ""
     for label, keys in (("chave", table.key), *((f"unico:{u}", (u,)) for u in table.unique)):
         # A row set aside already cannot make its key ambiguous.
-        clean = rows.where(F.size(FAULTS) == 0)
-        repeated = duplicate_keys(clean, keys).withColumn("_repeated", F.lit(True))
+        repeated = duplicate_keys(rows.where(clean), keys).withColumn("_repeated", F.lit(True))
         rows = lookup_join(rows, repeated.drop("ocorrencias"), keys, "left")
-        fault = F.when(
-            F.col("_repeated") & (F.size(FAULTS) == 0), F.array(F.lit(f"repetido:{label}"))
-        ).otherwise(F.array().cast("array<string>"))
-        rows = rows.withColumn(FAULTS, F.concat(FAULTS, fault)).drop("_repeated")
+        fault = F.when(F.col("_repeated") & clean, F.lit(f"repetido:{label}"))
+        rows = rows.withColumn(FAULTS, F.coalesce(fault, FAULTS)).drop("_repeated")
     order = [c.name for c in table.columns]
-    return Judged(rows.select(*order, FAULTS, (F.size(FAULTS) == 0).alias("aceito")))
+    return Judged(rows.select(*order, FAULTS, clean.alias("aceito")))

@@ -121,11 +121,12 @@ def displaced_rows(overflow: DataFrame, orders: DataFrame) -> DataFrame:
     compared = [c for c in OVERFLOW_COLUMNS if c not in ("data_pedido", "item", "produto_id")]
     key = ["produto_id", "data_pedido", "item"]
     block = overflow.select(*key, *[F.col(c).alias(f"{c}_bloco") for c in compared])
-    # The order a block row belongs to is the first one entered for that key.
+    # The order a block row belongs to is the first one entered for that key;
+    # comparing the other columns too makes the choice the same on every run.
     first = (
         orders.withColumn("descricao_produto", blank_to_null(F.col("descricao_produto")))
         .groupBy(*key)
-        .agg(F.min_by(F.struct("pedido_id", *compared), "pedido_id").alias("first"))
+        .agg(F.min(F.struct("pedido_id", *compared)).alias("first"))
         .select(*key, "first.*")
     )
     differs = F.array_compact(

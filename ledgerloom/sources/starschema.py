@@ -12,8 +12,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.model.schema import TABLES
 from ledgerloom.model.tables import RetailTables
 from ledgerloom.operators.skew import hot_keys, lookup_join
+from ledgerloom.session import pinned
 
 _UNITS = "CAST(round(l_quantity) AS BIGINT)"
 _RETAIL = "CAST(p_retailprice AS DECIMAL(10,2))"
@@ -255,6 +257,7 @@ class StarSchema:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._staged: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -293,14 +296,35 @@ class StarSchema:
             sales=self._lines.selectExpr(*projection(SALES)),
         )
 
-    @property
-    def raw(self) -> RetailTables:
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """Rows over all cores, where the file behind them is a single split."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+    def raw_view(self, name: str) -> DataFrame:
+        """Raw text of a table, computed on each read."""
+        if name == "supplier":
+            return self.table("supplier").selectExpr(*projection(RAW_SUPPLIER))
+        if name == "branch_product":
+            return self._catalogue_rows.selectExpr(*projection(RAW_BRANCH_PRODUCT))
+        if name == "goods_receipt":
+            return self._spread(self._receipt_lines).selectExpr(*projection(RAW_GOODS_RECEIPT))
+        columns = RAW_SALES if name == "sales" else RAW_PURCHASE_ORDER
+        return self._spread(self._lines).selectExpr(*projection(columns))
+
+    def raw_table(self, name: str) -> DataFrame:
+        """Raw text of a table, staged: written once, as the load reads it more than once."""
+        if name not in self._staged:
+            self._staged[name] = pinned(self.raw_view(name), f"raw-{name}")
+        return self._staged[name]
+
+    def raw(self, *staged: str) -> RetailTables:
+        """The raw tables, the ``staged`` ones as written tables, the others as views."""
         return RetailTables(
-            supplier=self.table("supplier").selectExpr(*projection(RAW_SUPPLIER)),
-            branch_product=self._catalogue_rows.selectExpr(*projection(RAW_BRANCH_PRODUCT)),
-            purchase_order=self._lines.selectExpr(*projection(RAW_PURCHASE_ORDER)),
-            goods_receipt=self._receipt_lines.selectExpr(*projection(RAW_GOODS_RECEIPT)),
-            sales=self._lines.selectExpr(*projection(RAW_SALES)),
+            **{
+                name: self.raw_table(name) if name in staged else self.raw_view(name)
+                for name in TABLES
+            }
         )
 
     @property
