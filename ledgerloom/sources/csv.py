@@ -6,12 +6,15 @@ inside a value are doubled, blanks around a value are kept.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.model.schema import TABLES, Table
 from ledgerloom.model.tables import RetailTables
+from ledgerloom.session import pinned
 
 CORRUPT = "_corrupt"
 
@@ -28,6 +31,8 @@ _READ = {
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
     "enforceSchema": True,
+    # A parser that skips unselected columns does not see that a row is ragged.
+    "columnPruning": False,
 }
 _WRITE = {
     "header": True,
@@ -68,10 +73,23 @@ def read_text(
     )
 
 
-def split_ragged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Well-formed rows, and the text of the others."""
-    whole = rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    return whole, rows.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+@dataclass(frozen=True)
+class Staged:
+    rows: DataFrame  # well-formed rows, every column as text
+    ragged: DataFrame  # ``_corrupt``: the text of the others
+
+
+def stage_text(spark: SparkSession, path: str, table: Table, **options) -> Staged:
+    """Parse a file once into a staging table and split off its ragged rows.
+
+    Staging keeps the raw text at hand for later proofs, and spares every
+    reader after the first the parsing.
+    """
+    staged = pinned(read_text(spark, path, table, **options), f"staging-{table.name}")
+    return Staged(
+        staged.where(F.col(CORRUPT).isNull()).drop(CORRUPT),
+        staged.where(F.col(CORRUPT).isNotNull()).select(CORRUPT),
+    )
 
 
 def write_text(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -83,11 +101,12 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(**_READ).option("inferSchema", False).csv(path)
 
 
-def read_folder(spark: SparkSession, folder: str, strict: bool = False) -> RetailTables:
-    """The raw tables of a folder with one CSV file or directory per table."""
-    return RetailTables(
-        **{
-            t.name: read_text(spark, f"{folder.rstrip('/')}/{t.file}.csv", t, strict)
-            for t in TABLES.values()
-        }
+def stage_folder(spark: SparkSession, folder: str) -> tuple[RetailTables, dict[str, DataFrame]]:
+    """Staging tables and ragged rows of a folder with one CSV file or directory per table."""
+    staged = {
+        t.name: stage_text(spark, f"{folder.rstrip('/')}/{t.file}.csv", t) for t in TABLES.values()
+    }
+    return (
+        RetailTables(**{name: s.rows for name, s in staged.items()}),
+        {name: s.ragged for name, s in staged.items()},
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ledgerloom.model.schema import ForeignKey
 from ledgerloom.operators.integrity import admit
@@ -43,5 +44,6 @@ class ReferenceGate:
 
     def rows(self, like: DataFrame) -> DataFrame:
         """All judged rows so far; ``like`` gives the columns of the stream."""
-        schema = like.schema.add("aceito", "boolean").add("batch", "long")
+        added = [T.StructField("aceito", T.BooleanType()), T.StructField("batch", T.LongType())]
+        schema = T.StructType([*like.schema.fields, *added])
         return like.sparkSession.read.schema(schema).parquet(f"{self.folder}/rows")

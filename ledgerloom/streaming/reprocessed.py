@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def as_instant(local: Column) -> Column:
@@ -54,7 +55,7 @@ class RepeatAlerts:
     def alerts(self, like: DataFrame) -> DataFrame:
         """Keys seen more than once in a day; counts only grow, so the largest is current."""
         spark = like.sparkSession
-        schema = like.schema.add("batch", "long")
+        schema = T.StructType([*like.schema.fields, T.StructField("batch", T.LongType())])
         return (
             spark.read.schema(schema)
             .parquet(f"{self.folder}/counts")
