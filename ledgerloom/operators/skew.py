@@ -29,23 +29,32 @@ class SkewPolicy:
 
 DEFAULT = SkewPolicy()
 
+# Sketches are merged in two steps, so no task receives one from every task before it.
+_MERGERS = 64
+
 
 def _mark(keys: Sequence[str]) -> Column:
     return F.xxhash64(*keys)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], policy: SkewPolicy = DEFAULT) -> list[int]:
+def hot_keys(df: DataFrame, keys: Sequence[str], policy: SkewPolicy | None = None) -> list[int]:
     """Hashes of the keys holding at least ``max(min_rows, total / max_keys)`` rows."""
-    row = (
-        df.select(_mark(keys).alias("mark"))
+    policy = policy or DEFAULT
+    sketches = (
+        df.select(_mark(keys).alias("mark"), F.pmod(F.spark_partition_id(), F.lit(_MERGERS)).alias("g"))
+        .groupBy("g")
         .agg(
-            F.count("*").alias("total"),
-            F.call_function(
-                "approx_top_k", F.col("mark"), F.lit(policy.max_keys), F.lit(policy.tracked)
-            ).alias("top"),
+            F.count("*").alias("n"),
+            F.call_function("approx_top_k_accumulate", "mark", F.lit(policy.tracked)).alias("sketch"),
         )
-        .first()
     )
+    merged = F.call_function("approx_top_k_combine", "sketch")
+    row = sketches.agg(
+        F.sum("n").alias("total"),
+        F.call_function("approx_top_k_estimate", merged, F.lit(policy.max_keys)).alias("top"),
+    ).first()
+    if not row["total"]:
+        return []
     floor = max(policy.min_rows, row["total"] / policy.max_keys)
     return [entry["item"] for entry in row["top"] or () if entry["count"] >= floor]
 
@@ -56,13 +65,14 @@ def lookup_join(
     keys: Sequence[str],
     how: str = "left",
     hot: list[int] | None = None,
-    policy: SkewPolicy = DEFAULT,
+    policy: SkewPolicy | None = None,
 ) -> DataFrame:
     """Join on equally named ``keys``; ``right`` holds about one row per key.
 
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``. Pass ``hot``
     to reuse the result of :func:`hot_keys`.
     """
+    policy = policy or DEFAULT
     keys = list(keys)
     types = {f.name: f.dataType for f in left.schema}
     # The hash depends on the type, so both sides must use the same one.
