@@ -134,6 +134,20 @@ def _supplier_issues(spark: SparkSession, folder: str) -> DataFrame:
     return load.supplier_code_issues(StarSchema(spark, folder).raw_table("supplier"))
 
 
+def _onboarding(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole run, raw to typed: rows stored and rows set aside per table."""
+    raw = StarSchema(spark, folder).raw(*TABLES)
+    done = warehouse.onboard(spark, raw, scratch_path(spark, "warehouse"))
+    lines = [
+        done.tables[name].agg(
+            F.lit(name).alias("tabela"),
+            F.count("*").alias("gravadas"),
+        ).withColumn("quarentena", done.quarantine[name].agg(F.count("*").alias("n")).scalar())
+        for name in TABLES
+    ]
+    return reduce(DataFrame.unionByName, lines)
+
+
 def _numbered_products(spark: SparkSession, folder: str) -> DataFrame:
     typed = StarSchema(spark, folder).typed
     codes = typed.sales.select("produto_id").distinct()
@@ -296,6 +310,7 @@ def queries() -> dict[str, Query]:
         "B5": _load("sales"),
         "B6": _on_raw(load.skip_report),
         "B7": _numbered_products,
+        "LOAD": _onboarding,
         "C1": _on_typed(integrity.primary_key_report),
         "C2": _unique,
         "C3": _on_load(lambda _, typed: integrity.null_report(typed)),

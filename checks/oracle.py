@@ -480,6 +480,38 @@ _ALL_RAW = " ".join("r_" + a for a in _ALIAS.values())
 _ALL_LOADED = " ".join("l_" + a for a in _ALIAS.values())
 _SALES_COLUMNS = ", ".join(star.SALES)
 
+def _kept(t) -> dict[str, str]:
+    """CTEs of a judged load: sound rows, then those alone under their key."""
+    alias = _ALIAS[t.name]
+    sound = [f"{c} IS NOT NULL" for c in t.required]
+    sound += [f"coalesce({check}, true)" for check in t.checks.values()]
+    sound += [f"coalesce(length({c.name}) <= {c.length}, true)" for c in t.columns if c.length]
+    ctes = {f"s_{alias}": f"SELECT * FROM l_{alias} WHERE {' AND '.join(sound)}"}
+    last = f"s_{alias}"
+    for i, keys in enumerate((t.key, *((u,) for u in t.unique))):
+        ctes[f"k{i}_{alias}"] = (
+            f"SELECT * FROM {last} QUALIFY count(*) OVER (PARTITION BY {', '.join(keys)}) = 1"
+        )
+        last = f"k{i}_{alias}"
+    ctes[f"k_{alias}"] = f"SELECT * FROM {last}"
+    return ctes
+
+
+def _load_counts() -> str:
+    local = {n: sql for t in TABLES.values() for n, sql in _kept(t).items()}
+    registered = (
+        " + (SELECT count(DISTINCT idfornecedor) FROM k_cat WHERE idfornecedor IS NOT NULL"
+        " AND idfornecedor NOT IN (SELECT idfornecedor FROM k_forn))"
+    )
+    lines = _per_table(
+        lambda t: f"SELECT '{t.name}' AS tabela, (SELECT count(*) FROM k_{_ALIAS[t.name]})"
+        f"{registered if t.name == 'supplier' else ''} AS gravadas,"
+        f" (SELECT count(*) FROM r_{_ALIAS[t.name]} WHERE {_blank(t.row_key)} IS NOT NULL)"
+        f" - (SELECT count(*) FROM k_{_ALIAS[t.name]}) AS quarentena"
+    )
+    return _query(_ALL_RAW + " " + _ALL_LOADED, lines, **local)
+
+
 _overflow = {f'"{n}"': n for n in star.OVERFLOW}
 _block = ["data_pedido", "item", "produto_id", "descricao_produto", "ordem_compra", "qtde_pedida",
           "filial_id", "data_entrega", "qtde_entregue", "qtde_pendente", "preco_compra"]
@@ -593,6 +625,7 @@ def oracle_sql() -> dict[str, str]:
             " + row_number() OVER (ORDER BY produto_id) AS INT) AS numero"
             " FROM (SELECT DISTINCT produto_id FROM ven)",
         ),
+        "LOAD": _load_counts(),
         # ---- integrity ----
         "C1": _query(_ALL, _per_table(_c1)),
         "C2": _query(

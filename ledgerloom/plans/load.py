@@ -20,6 +20,7 @@ from ledgerloom.model.schema import Column as TableColumn
 from ledgerloom.model.tables import RetailTables
 from ledgerloom.operators.integrity import check_faults, duplicate_keys, null_faults, width_faults
 from ledgerloom.operators.skew import lookup_join
+from ledgerloom.session import pinned
 
 FAULTS = "_faults"
 
@@ -173,6 +174,8 @@ def judge(name: str, rows: DataFrame) -> Judged:
         rows = rows.withColumn(FAULTS, F.lit(""))
     found = [*null_faults(table), *check_faults(table), *width_faults(table)]
     rows = rows.withColumn(FAULTS, F.concat_ws(",", F.nullif(FAULTS, F.lit("")), *found))
+    # Keys are counted and looked up below: the casts run once, not for each.
+    rows = pinned(rows, f"judged-{name}")
     clean = F.col(FAULTS) == ""
     for label, keys in (("chave", table.key), *((f"unico:{u}", (u,)) for u in table.unique)):
         # A row set aside already cannot make its key ambiguous.
