@@ -329,7 +329,7 @@ class StarSchema:
 
     @property
     def order_sheet(self) -> DataFrame:
-        return self._lines.selectExpr(
+        return self._spread(self._lines).selectExpr(
             *[f"{expr} AS {name}".replace('"', "`") for name, expr in ORDER_SHEET.items()]
         )
 
