@@ -49,11 +49,12 @@ def hot_keys(df: DataFrame, keys: Sequence[str], policy: SkewPolicy | None = Non
         )
     )
     merged = F.call_function("approx_top_k_combine", "sketch")
-    row = sketches.agg(
+    # Grouped by a constant: an empty table then gives no row, and no empty merge.
+    row = sketches.groupBy(F.lit("all")).agg(
         F.sum("n").alias("total"),
         F.call_function("approx_top_k_estimate", merged, F.lit(policy.max_keys)).alias("top"),
     ).first()
-    if not row["total"]:
+    if row is None:
         return []
     floor = max(policy.min_rows, row["total"] / policy.max_keys)
     return [entry["item"] for entry in row["top"] or () if entry["count"] >= floor]

@@ -29,6 +29,14 @@ def test_hot_key_is_found(skewed):
     assert hot_keys(skewed, ["k"]) == []
 
 
+def test_empty_sides(spark, skewed):
+    empty = skewed.where("false")
+    right = spark.range(3).select(F.col("id").alias("k"), F.lit(1).alias("w"))
+    assert hot_keys(empty, ["k"], EAGER) == []
+    assert lookup_join(empty, right, ["k"], "left", policy=EAGER).count() == 0
+    assert lookup_join(skewed, right.where("false"), ["k"], "left", policy=EAGER).count() == 900
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 @pytest.mark.parametrize("type_of_key", ["bigint", "int"])
 def test_hot_path_gives_the_same_rows(spark, skewed, how, type_of_key):
