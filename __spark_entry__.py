@@ -31,6 +31,14 @@ from ledgerloom.streaming.history import record, trend
 from ledgerloom.streaming.reprocessed import RepeatAlerts, repeated_keys
 from ledgerloom.streaming.suppliers import SupplierStream
 
+try:
+    import corpus_pipeline
+    from ledgerloom.llm import queries as _llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "ledgerloom.llm"):
+        raise
+    _llm = None
+
 MONTH = Period.month(1997, 2)
 TWO_MONTHS = Period.month(1997, 1, 2)
 YEAR = Period.month(1997, 1, 12)
@@ -291,6 +299,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    return _queries() | ({**_llm.QUERIES, "pipeline": corpus_pipeline.run} if _llm else {})
+
+
+def _queries() -> dict[str, Query]:
     return {
         "A1": _csv_round_trip,
         "A2": _order_table,
@@ -374,4 +386,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return _oracle_sql()
+    return _oracle_sql() | (_llm.ORACLE if _llm else {})

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_removed_at_end: set[str] = set()
+
 # Set only on sessions this package builds; a session handed in is left alone.
 _SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -27,13 +28,30 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **conf) ->
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the shared folder the cluster names for checkpoints."""
+    """A fresh folder under the shared folder the cluster names for checkpoints.
+
+    Where none is named, a local session uses its warehouse folder; any other
+    must name one. What lies here is removed when the driver's JVM ends.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
-        root = tempfile.mkdtemp(prefix="ledgerloom-")
-    return f"{root.rstrip('/')}/ledgerloom/{label}-{uuid.uuid4().hex}"
+        root = spark.conf.get("spark.sql.warehouse.dir")
+    mine = f"{root.rstrip('/')}/ledgerloom/{spark.sparkContext.applicationId}"
+    if mine not in _removed_at_end:
+        path = spark._jvm.org.apache.hadoop.fs.Path(mine)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _removed_at_end.add(mine)
+    return f"{mine}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder that nothing will read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pinned(df: DataFrame, label: str) -> DataFrame:
