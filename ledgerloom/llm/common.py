@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ __all__ = ["batches_of", "digest", "empty_if_null", "keep_rows", "pinned", "read
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    # Workers of a local session find this package where the driver has it.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, token_counts
+from . import exact_dedup, near_dedup, packing, token_counts
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,10 +25,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.equal_texts(read(spark, sf_dir, "documents")).drop("_digest")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.similar_texts(read(spark, sf_dir, "documents"), hundredths=75).drop("_digest", "_stays")
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_counts": op2_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
 }
 
 ORACLE: dict[str, str] = {
@@ -46,4 +51,31 @@ ORACLE: dict[str, str] = {
         FROM marked
         WINDOW best AS (PARTITION BY norm ORDER BY length(raw) DESC, doc_id)
     """,
+    "op7_minhash_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+                WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
+            FROM words
+        ), grams AS (
+            SELECT doc_id, unnest(s) AS g FROM sets
+        ), pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+            FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+            WHERE 100 * both >= 75 * (len(x.s) + len(y.s) - both)
+        ), edges AS (
+            SELECT a, b FROM links UNION SELECT b, a FROM links
+        ), reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT doc_id, b FROM reach JOIN edges ON a = other
+        )
+        SELECT s.doc_id, any_value(len(s.s)) AS n_shingles, min(other) AS component_id, s.doc_id = min(other) AS kept
+        FROM sets s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id
+    """,
 }
