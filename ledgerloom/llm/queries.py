@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dedup, packing, token_counts
+from . import exact_dedup, mixing, near_dedup, packing, token_counts
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), limit=1024)
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), most=3).drop("_digest")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.equal_texts(read(spark, sf_dir, "documents")).drop("_digest")
 
@@ -32,6 +36,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_counts": op2_token_counts,
+    "op4_source_mixing": op4_source_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
 }
@@ -65,11 +70,11 @@ ORACLE: dict[str, str] = {
         ), grams AS (
             SELECT doc_id, unnest(s) AS g FROM sets
         ), pairs AS (
-            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
             FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
         ), links AS (
             SELECT a, b FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
-            WHERE 100 * both >= 75 * (len(x.s) + len(y.s) - both)
+            WHERE 100 * shared >= 75 * (len(x.s) + len(y.s) - shared)
         ), edges AS (
             SELECT a, b FROM links UNION SELECT b, a FROM links
         ), reach(doc_id, other) AS (
