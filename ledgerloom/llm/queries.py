@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, packing, token_counts
+from . import exact_dedup, html_extract, mixing, near_dedup, packing, quality, token_counts
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,12 +33,23 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.similar_texts(read(spark, sf_dir, "documents"), hundredths=75).drop("_digest", "_stays")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.grade_documents(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_counts": op2_token_counts,
     "op4_source_mixing": op4_source_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE: dict[str, str] = {
