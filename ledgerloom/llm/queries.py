@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, mixing, near_dedup, packing, quality, token_counts
+from . import embedding_dedup, exact_dedup, html_extract, mixing, near_dedup, packing, quality, token_counts
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.similar_texts(read(spark, sf_dir, "documents"), hundredths=75).drop("_digest", "_stays")
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.similar_vectors(read(spark, sf_dir, "embeddings"), least=0.9).drop("audited_recall")
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Query] = {
     "op4_source_mixing": op4_source_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
 }
@@ -94,4 +99,21 @@ ORACLE: dict[str, str] = {
         SELECT s.doc_id, any_value(len(s.s)) AS n_shingles, min(other) AS component_id, s.doc_id = min(other) AS kept
         FROM sets s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id
     """,
+    "op8_embedding_near_dedup": """
+        WITH RECURSIVE vectors AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, x -> x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
+              ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+        ), reach(vec_id, other) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT vec_id, b FROM reach JOIN links ON a = other
+        ), counted AS (
+            SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+        )
+        SELECT r.vec_id, coalesce(any_value(n), 0) AS n_links, min(other) AS component_id, r.vec_id = min(other) AS kept
+        FROM reach r LEFT JOIN counted c ON c.vec_id = r.vec_id GROUP BY r.vec_id
+    """,
 }
