@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, html_extract, mixing, near_dedup, packing, quality, token_counts
+from . import (
+    embedding_dedup,
+    exact_dedup,
+    html_extract,
+    license_scan,
+    mixing,
+    near_dedup,
+    packing,
+    quality,
+    token_counts,
+    token_output,
+)
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +32,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), limit=1024)
 
 
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.matrix_rows(read(spark, sf_dir, "documents"), seq_len=2048)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), most=3).drop("_digest")
 
@@ -29,6 +44,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.equal_texts(read(spark, sf_dir, "documents")).drop("_digest")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.fit(docs))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.similar_texts(read(spark, sf_dir, "documents"), hundredths=75).drop("_digest", "_stays")
 
@@ -49,8 +69,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_counts": op2_token_counts,
+    "op3_token_output": op3_token_output,
     "op4_source_mixing": op4_source_mixing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_license_scan": op6_license_scan,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_html_extraction": op9_html_extraction,
@@ -102,8 +124,8 @@ ORACLE: dict[str, str] = {
     "op8_embedding_near_dedup": """
         WITH RECURSIVE vectors AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-              AND len(list_filter(embedding, x -> x <> 0)) > 0
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
         ), links AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
               ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
