@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from checks.oracle import oracle_sql as _oracle_sql
 from ledgerloom.functions.period import Period
-from ledgerloom.model.schema import SALES, SUPPLIER, TABLES, ForeignKey
+from ledgerloom.model.schema import SALES, SUPPLIER, TABLES
 from ledgerloom.operators import integrity, resolve
 from ledgerloom.operators.numbering import next_number, number_rows
 from ledgerloom.plans import load, quality, reconcile, reports
@@ -51,22 +51,19 @@ def _on_typed(job, *args, **kwargs) -> Query:
 
 
 def _on_raw(job, *args) -> Query:
-    return lambda spark, folder: job(StarSchema(spark, folder).raw(), *args)
+    return lambda spark, folder: job(StarSchema(spark, folder).raw, *args)
 
 
-def _on_load(job, *staged: str) -> Query:
-    """A job over the raw tables and their typed load; ``staged`` are those it reads."""
+def _on_load(job) -> Query:
+    """A job over the raw tables and their typed load."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        raw = StarSchema(spark, folder).raw(*(staged or TABLES))
+        raw = StarSchema(spark, folder).raw
         return job(raw, load.load_all(raw))
 
     return run
 
 
-# ---- sources ----------------------------------------------------------------
-
-
 def _csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "csv")
     csv.write_text(StarSchema(spark, folder).raw_view("sales"), path)
@@ -111,7 +108,7 @@ def _full_refresh(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _typed_sink(spark: SparkSession, folder: str) -> DataFrame:
-    orders = load.load("purchase_order", StarSchema(spark, folder).raw_table("purchase_order"))
+    orders = load.load("purchase_order", StarSchema(spark, folder).raw_view("purchase_order"))
     path = warehouse.write_table("purchase_order", orders, scratch_path(spark, "typed"))
     return spark.read.schema(TABLES["purchase_order"].typed_schema).parquet(path)
 
@@ -135,16 +132,16 @@ def _displaced(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _load(name: str) -> Query:
-    return lambda spark, folder: load.load(name, StarSchema(spark, folder).raw_table(name))
+    return lambda spark, folder: load.load(name, StarSchema(spark, folder).raw_view(name))
 
 
 def _supplier_issues(spark: SparkSession, folder: str) -> DataFrame:
-    return load.supplier_code_issues(StarSchema(spark, folder).raw_table("supplier"))
+    return load.supplier_code_issues(StarSchema(spark, folder).raw_view("supplier"))
 
 
 def _onboarding(spark: SparkSession, folder: str) -> DataFrame:
     """The whole run, raw to typed: rows stored and rows set aside per table."""
-    raw = StarSchema(spark, folder).raw(*TABLES)
+    raw = StarSchema(spark, folder).raw
     done = warehouse.onboard(spark, raw, scratch_path(spark, "warehouse"))
     lines = [
         done.tables[name].agg(
@@ -166,7 +163,7 @@ def _numbered_products(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _unique(spark: SparkSession, folder: str) -> DataFrame:
-    suppliers = load.load("supplier", StarSchema(spark, folder).raw_table("supplier"))
+    suppliers = load.load("supplier", StarSchema(spark, folder).raw_view("supplier"))
     return integrity.unique_violations(SUPPLIER, suppliers)
 
 
@@ -214,6 +211,25 @@ def _branch(name: str) -> Query:
     )
 
 
+def _products_after(spark: SparkSession, folder: str) -> DataFrame:
+    star = StarSchema(spark, folder)
+    products = star.typed.branch_product
+    return resolve.apply_to_products(products, resolve.resolve(star.changes, star.typed.supplier))
+
+
+def _mismatched(spark: SparkSession, folder: str) -> DataFrame:
+    star = StarSchema(spark, folder)
+    suppliers = star.typed.supplier
+    outcome = resolve.resolve(star.changes, suppliers)
+    products = resolve.apply_to_products(star.typed.branch_product, outcome)
+    return resolve.mismatched_pairs(products, suppliers.unionByName(outcome.new_suppliers))
+
+
+def _one_product(tables):
+    """The tables with the sales of one product, which has days without a sale."""
+    return tables.with_table("sales", tables.sales.where("produto_id = 'P1'"))
+
+
 def _changed(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.changed_columns(StarSchema(spark, folder).changes).select(
         "seq", "op", "texto_mudou", "numero_mudou"
@@ -246,17 +262,15 @@ def _coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _decision(name: str) -> Query:
-    return _on_typed(lambda tables: quality.decisions(tables)[name])
+    return _on_typed(quality.DECISIONS[name])
 
 
 def _gate_stream(spark: SparkSession, folder: str) -> DataFrame:
     star = StarSchema(spark, folder)
-    fk = ForeignKey("evento_cliente", ("user_id",), "customer", ("c_custkey",), prospective=True)
-    customers = star.table("customer").where("c_mktsegment <> 'HOUSEHOLD'")
-    events = star.stream("events").select("event_id", "user_id", "event_type")
-    gate = ReferenceGate(fk, customers, scratch_path(spark, "gate"))
-    gate.run(events)
-    return gate.rows(events).drop("batch")
+    sales = star.sale_lines(star.stream("lineitem"))
+    gate = ReferenceGate(SALES.foreign_keys[0], lambda: star.typed.branch_product, scratch_path(spark, "gate"))
+    gate.run(sales)
+    return gate.rows(sales).drop("batch")
 
 
 def _supplier_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -323,6 +337,7 @@ def _queries() -> dict[str, Query]:
         "B6": _on_raw(load.skip_report),
         "B7": _numbered_products,
         "LOAD": _onboarding,
+        "LOAD-out": _on_raw(load.quarantine),
         "C1": _on_typed(integrity.primary_key_report),
         "C2": _unique,
         "C3": _on_load(lambda _, typed: integrity.null_report(typed)),
@@ -343,6 +358,9 @@ def _queries() -> dict[str, Query]:
         "T7": _new_suppliers,
         "T8": _backfill,
         "T9": _coverage,
+        "T-products": _products_after,
+        "T-notices": _resolution(lambda r: r.notices),
+        "T-mismatch": _mismatched,
         "T-state": _resolution(lambda r: r.final_state),
         "P1": _on_typed(reports.monthly_sales, MONTH),
         "P2": _on_typed(reports.monthly_sales_with_total, MONTH),
@@ -366,17 +384,17 @@ def _queries() -> dict[str, Query]:
         "P13-6": _decision("negative_margins"),
         "P13-7": _decision("widest_price_gaps"),
         "P13-8": _decision("inverted_dates"),
-        "P14": _on_typed(reports.days_without_sales, MONTH),
+        "P14": _on_typed(lambda tables: reports.days_without_sales(_one_product(tables), MONTH)),
         **{code: _on_typed(rule) for code, rule in quality.RULES.items()},
         "QA-07-strict": _on_typed(quality.received_above_ordered, strict=True),
         "QA-08-strict": _on_typed(quality.delivered_vs_receipt, strict=True),
         "QA-12": _on_typed(quality.sales_by_month, MONTH.start),
         "QA-P": _on_typed(quality.scoreboard),
-        "R1": _on_load(reconcile.row_counts),
-        "R2": _on_load(reconcile.row_count_differences),
-        "R3": _on_load(reconcile.financial_checksum, "sales"),
+        "R1": _on_raw(reconcile.load_counts),
+        "R2": _on_raw(lambda raw: reconcile.row_count_differences(reconcile.load_counts(raw))),
+        "R3": _on_load(reconcile.financial_checksum),
         "R4": _on_typed(lambda tables: reconcile.repeated_documents(tables.sales)),
-        "R5": _on_load(reconcile.trace_sales, "sales"),
+        "R5": _on_load(reconcile.trace_sales),
         "R6": _on_typed(reconcile.acceptance),
         "ST1": _gate_stream,
         "ST2": _supplier_stream,

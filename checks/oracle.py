@@ -13,8 +13,8 @@ from ledgerloom.sources import starschema as star
 _LINES = (
     "lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey"
 )
-_CATALOGUE = "(SELECT * FROM part, (VALUES (1), (2)) b(filial_id) WHERE p_size <= 45)"
-_RECEIPTS = "lineitem WHERE l_returnflag <> 'R'"
+_CATALOGUE = "(SELECT * FROM part, (VALUES (1), (2)) b(filial_id))"
+_RECEIPTS = "lineitem"
 
 _SOURCES = {
     "supplier": ("supplier", star.SUPPLIER, star.RAW_SUPPLIER),
@@ -64,7 +64,12 @@ def _bad(expr: str, value: str) -> str:
     return f"({_blank(expr)} IS NOT NULL AND {value} IS NULL)"
 
 
+# Per raw table its key and what must be readable in it.
+_READABLE: dict[str, tuple[str, list[tuple[str, str]]]] = {}
+
+
 def _loaded(raw: str, key: str, columns: dict[str, str], readable: list[tuple[str, str]]) -> str:
+    _READABLE[raw] = key, readable
     bad = " OR ".join(_bad(c, v) for c, v in readable) or "false"
     body = ", ".join(f"{v} AS {c}" for c, v in columns.items())
     return f"SELECT {body} FROM {raw} WHERE {_blank(key)} IS NOT NULL AND NOT ({bad})"
@@ -255,6 +260,28 @@ FROM ped LEFT JOIN rec ON rec.ordem_compra = ped.ordem_compra
 WHERE ped.ordem_compra = 0 OR rec.ordem_compra IS NULL OR q < qtde_pedida"""
 
 
+def _left_out(table) -> str:
+    raw = f"r_{_ALIAS[table.name]}"
+    key, readable = _READABLE[raw]
+    faults = "".join(f", CASE WHEN {_bad(c, v)} THEN 'ilegivel:{c}' END" for c, v in readable)
+    values = ", ".join(f"coalesce({c}, '')" for c in table.raw_columns)
+    reason = f"CASE WHEN {_blank(key)} IS NULL THEN 'chave em branco' ELSE concat_ws(',', NULL{faults}) END"
+    rows = f"SELECT '{table.name}' AS tabela, concat_ws('|', {values}) AS linha, {reason} AS motivo FROM {raw}"
+    return f"SELECT * FROM ({rows}) WHERE motivo <> ''"
+
+
+_STATE = (
+    "SELECT filial_id, idproduto, idfornecedor AS codigo, idfornecedor_num AS numero, true AS mudou"
+    " FROM resolvido WHERE ramo <> 'RECUSADO'"
+    " QUALIFY row_number() OVER (PARTITION BY filial_id, idproduto ORDER BY seq DESC) = 1"
+)
+_PRODUCTS = (
+    "SELECT * EXCLUDE (codigo, numero, mudou) REPLACE (CASE WHEN mudou THEN codigo ELSE idfornecedor END AS idfornecedor,"
+    " CASE WHEN mudou THEN numero ELSE idfornecedor_num END AS idfornecedor_num)"
+    " FROM cat FULL JOIN estado USING (filial_id, idproduto)"
+)
+
+
 def _order_vs_receipt(strict: bool) -> str:
     more = ", pedido_id, ped.item AS item" if strict else ""
     extra_on = " AND ent.item = ped.item AND ent.produto_id = ped.produto_id" if strict else ""
@@ -700,6 +727,21 @@ def oracle_sql() -> dict[str, str]:
             "SELECT filial_id, idproduto, idfornecedor, idfornecedor_num FROM resolvido WHERE ramo <> 'RECUSADO'"
             " QUALIFY row_number() OVER (PARTITION BY filial_id, idproduto ORDER BY seq DESC) = 1",
         ),
+        "T-products": _query("cat resolvido", "SELECT * FROM produtos", estado=_STATE, produtos=_PRODUCTS),
+        "T-notices": _query(
+            "novos",
+            "SELECT idfornecedor, 'novo cadastro ' || idfornecedor || ': numero ' || CAST(fornecedor_num AS VARCHAR)"
+            " || ', nome a completar' AS aviso FROM novos",
+        ),
+        "T-mismatch": _query(
+            "cat forn novos resolvido",
+            "SELECT filial_id, idproduto, p.idfornecedor, idfornecedor_num, dono_do_numero FROM produtos p"
+            " JOIN (SELECT fornecedor_num, min(idfornecedor) AS dono_do_numero FROM"
+            " (SELECT idfornecedor, fornecedor_num FROM forn UNION ALL SELECT idfornecedor, fornecedor_num FROM novos)"
+            " GROUP BY 1) d ON d.fornecedor_num = p.idfornecedor_num WHERE trim(p.idfornecedor) <> dono_do_numero",
+            estado=_STATE,
+            produtos=_PRODUCTS,
+        ),
         # ---- reports ----
         "P1": _query(
             "ven cat",
@@ -811,7 +853,7 @@ FROM (SELECT cat.*,
             "ven",
             f"SELECT {_day('d')} AS dia, strftime(d, '%a') AS dia_semana"
             " FROM (SELECT CAST(unnest(generate_series(DATE '1997-02-01', DATE '1997-02-28', INTERVAL 1 DAY)) AS DATE) AS d)"
-            " WHERE isodow(d) < 6 AND d NOT IN (SELECT data_emissao FROM ven)",
+            " WHERE isodow(d) < 6 AND d NOT IN (SELECT data_emissao FROM ven WHERE produto_id = 'P1')",
         ),
         # ---- quality ----
         **_QA,
@@ -819,6 +861,7 @@ FROM (SELECT cat.*,
         "QA-08-strict": _qa08(strict=True),
         "QA-P": _panel(),
         # ---- reconciliation ----
+        "LOAD-out": _query(_ALL_RAW, _per_table(_left_out)),
         "R1": _query(
             _ALL_RAW + " " + _ALL_LOADED,
             _per_table(
@@ -836,10 +879,10 @@ FROM (SELECT cat.*,
         ),
         "R3": _query(
             "r_ven l_ven",
-            f"SELECT {_cents('o')} AS total_origem, {_cents('d')} AS total_destino, {_cents('o - d')} AS diferenca"
-            " FROM (SELECT (SELECT CAST(sum(TRY_CAST(qtde_vendida AS DECIMAL(14,3))"
-            " * TRY_CAST(valor_unitario AS DECIMAL(12,4))) AS DECIMAL(38,7)) FROM r_ven) AS o,"
-            f" (SELECT CAST(sum({_VALUE}) AS DECIMAL(38,7)) FROM l_ven) AS d)",
+            f"SELECT {_cents('o')} AS total_origem, {_cents('d')} AS total_destino, {_cents('o - d')} AS diferenca, ilegiveis AS linhas_ilegiveis"
+            " FROM (SELECT CAST(sum(q * p) AS DECIMAL(38,12)) AS o, count(*) - count(q * p) AS ilegiveis,"
+            f" (SELECT CAST(sum({_VALUE}) AS DECIMAL(38,12)) FROM l_ven) AS d"
+            " FROM (SELECT TRY_CAST(trim(qtde_vendida) AS DECIMAL(18,6)) AS q, TRY_CAST(trim(valor_unitario) AS DECIMAL(18,6)) AS p FROM r_ven))",
         ),
         "R4": _query(
             "ven",
@@ -865,8 +908,12 @@ FROM (SELECT cat.*,
             f" (SELECT count(*) FROM ven WHERE NOT {_LISTED}) AS v)",
         ),
         # ---- streams ----
-        "ST1": "SELECT event_id, user_id, event_type, user_id IN"
-        " (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'HOUSEHOLD') AS aceito FROM events",
+        "ST1": _query(
+            "cat",
+            f"SELECT {', '.join(star.projection({c: star.SALES[c] for c in ('venda_id', 'item', 'filial_id', 'produto_id', 'horariomov')}))},"
+            f" EXISTS (SELECT 1 FROM cat WHERE cat.filial_id = {star.SALES['filial_id']}"
+            f" AND cat.idproduto = {star.SALES['produto_id']}) AS aceito FROM lineitem",
+        ),
         "ST2": _query(
             "resolvido",
             "SELECT seq, filial_id, idproduto, ramo, idfornecedor, idfornecedor_num FROM resolvido",
@@ -874,7 +921,8 @@ FROM (SELECT cat.*,
         "ST3": "SELECT *, ocorrencias - lag(ocorrencias) OVER (PARTITION BY cod ORDER BY data_execucao) AS variacao"
         f" FROM (SELECT *, DATE '2026-01-01' AS data_execucao FROM ({_panel('1998-01-01')})"
         f" UNION ALL SELECT *, DATE '2026-01-02' FROM ({_panel()}))",
-        "ST4": "SELECT CAST(ts AS DATE) AS dia, user_id, event_type, count(*) AS ocorrencias FROM events"
+        "ST4": "SELECT CAST(ts AS DATE) AS dia, user_id, event_type, count(*) AS ocorrencias,"
+        " count(DISTINCT strftime(ts, '%H:%M:%S')) AS horarios_distintos FROM events"
         " GROUP BY 1, 2, 3 HAVING count(*) > 1",
     }
     return out

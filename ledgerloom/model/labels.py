@@ -28,6 +28,7 @@ OUT_OF_SCOPE = "fora do escopo"
 
 # Suppliers registered by the resolver
 PENDING_SUPPLIER = "FORNECEDOR PENDENTE DE CADASTRO - "
+UNKNOWN_NUMBER = "idfornecedor_num %d nao existe em fornecedor (produto %s, filial %d)"
 
 # Severities, most serious first
 SEVERITIES = ("CRITICA", "ALTA", "MEDIA", "BAIXA")

@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.model.schema import TABLES
 
 
-@dataclass(frozen=True)
 class RetailTables:
-    supplier: DataFrame
-    branch_product: DataFrame
-    purchase_order: DataFrame
-    goods_receipt: DataFrame
-    sales: DataFrame
+    """DataFrames by table name; one given as a function is opened when it is first asked for."""
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        self._tables = tables
 
     def __getitem__(self, name: str) -> DataFrame:
-        return getattr(self, name)
+        table = self._tables[name]
+        if callable(table):
+            table = self._tables[name] = table()
+        return table
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._tables:
+            raise AttributeError(name)
+        return self[name]
 
     def with_table(self, name: str, df: DataFrame) -> RetailTables:
-        return replace(self, **{name: df})
+        return RetailTables(**{**self._tables, name: df})
 
     @staticmethod
     def read(spark: SparkSession, warehouse: str) -> RetailTables:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.casts import blank_to_null
-from ledgerloom.model.labels import PENDING_SUPPLIER
+from ledgerloom.model.labels import PENDING_SUPPLIER, UNKNOWN_NUMBER
 from ledgerloom.operators.numbering import next_number, number_rows
 from ledgerloom.operators.skew import lookup_join
 
@@ -54,21 +54,14 @@ class Resolution:
             "filial_id",
             "idproduto",
             "new_idfornecedor_num",
-            F.format_string(
-                "idfornecedor_num %d nao existe em fornecedor (produto %s, filial %d)",
-                "new_idfornecedor_num", "idproduto", "filial_id",
-            ).alias("motivo"),
+            F.format_string(UNKNOWN_NUMBER, "new_idfornecedor_num", "idproduto", "filial_id").alias("motivo"),
         )
 
     @property
     def notices(self) -> DataFrame:
         return self.new_suppliers.select(
             "idfornecedor",
-            F.format_string(
-                "Fornecedor %s nao existia e foi criado automaticamente com"
-                " idfornecedor_num = %d. Revisar a razao social.",
-                "idfornecedor", "fornecedor_num",
-            ).alias("aviso"),
+            F.format_string("novo cadastro %s: numero %d, nome a completar", "idfornecedor", "fornecedor_num").alias("aviso"),
         )
 
     @property

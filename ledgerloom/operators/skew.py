@@ -1,63 +1,38 @@
 """Lookup joins that keep working when one key holds a large share of the rows.
 
-A shuffle join sends every row of a key to one place. ``lookup_join`` first
-finds the few keys of the left side that are frequent enough to matter, joins
-those rows in place against a broadcast of the (few) matching right rows, and
-shuffles only the rest. Without hot keys it is a plain join.
-
-The frequent keys come from a bounded sketch, so detection costs one pass over
-the key columns and no shuffle of rows. The sketch only decides which path a
-row takes; every row takes exactly one, so the result does not depend on it.
+A shuffle join sends every row of a key to one task. ``lookup_join`` counts the
+rows per key as part of its own plan (folded before the shuffle, keys only), and
+a key with more rows than one task should take is dealt over as many tasks as it
+needs: its left rows get a part number, its right rows are repeated once per
+part. All other keys have the one part 0.
+
+Nothing runs while the plan is built. The list of such keys is broadcast; it has
+at most one entry per ``ROWS_PER_TASK`` left rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Left rows of one key that a task should take at most.
+ROWS_PER_TASK = 1_000_000
 
-@dataclass(frozen=True)
-class SkewPolicy:
-    max_keys: int = 256  # most keys ever treated as hot
-    min_rows: int = 2_000_000  # a key with fewer rows is no problem for one task
-    tracked: int = 4096  # sketch size; frequency error is below 0.1 % of the rows
-    max_broadcast_rows: int = 100_000  # right rows of hot keys that may be broadcast
+_PARTS, _PART, _ROWS = "_parts", "_part", "_rows"
 
 
-DEFAULT = SkewPolicy()
-
-# Sketches are merged in two steps, so no task receives one from every task before it.
-_MERGERS = 64
-
-
-def _mark(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*keys)
+def crowded_keys(counts: DataFrame, keys: Sequence[str], rows_per_task: int | None = None) -> DataFrame:
+    """Keys of ``counts`` (keys, _rows) with too many rows for a task, and their number of parts."""
+    limit = F.lit(rows_per_task or ROWS_PER_TASK)
+    return counts.where(F.col(_ROWS) > limit).select(
+        *[F.col(k).alias(f"_crowded_{k}") for k in keys], F.ceil(F.col(_ROWS) / limit).cast("int").alias(_PARTS)
+    )
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], policy: SkewPolicy | None = None) -> list[int]:
-    """Hashes of the keys holding at least ``max(min_rows, total / max_keys)`` rows."""
-    policy = policy or DEFAULT
-    sketches = (
-        df.select(_mark(keys).alias("mark"), F.pmod(F.spark_partition_id(), F.lit(_MERGERS)).alias("g"))
-        .groupBy("g")
-        .agg(
-            F.count("*").alias("n"),
-            F.call_function("approx_top_k_accumulate", "mark", F.lit(policy.tracked)).alias("sketch"),
-        )
-    )
-    merged = F.call_function("approx_top_k_combine", "sketch")
-    # Grouped by a constant: an empty table then gives no row, and no empty merge.
-    row = sketches.groupBy(F.lit("all")).agg(
-        F.sum("n").alias("total"),
-        F.call_function("approx_top_k_estimate", merged, F.lit(policy.max_keys)).alias("top"),
-    ).first()
-    if row is None:
-        return []
-    floor = max(policy.min_rows, row["total"] / policy.max_keys)
-    return [entry["item"] for entry in row["top"] or () if entry["count"] >= floor]
+def count_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias(_ROWS))
 
 
 def lookup_join(
@@ -65,29 +40,27 @@ def lookup_join(
     right: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    hot: list[int] | None = None,
-    policy: SkewPolicy | None = None,
+    counts: DataFrame | None = None,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Join on equally named ``keys``; ``right`` holds about one row per key.
 
-    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``. Pass ``hot``
-    to reuse the result of :func:`hot_keys`.
+    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``. Pass ``counts``
+    (keys and ``_rows``) where the plan has them already. Rows that agree in every
+    column go to the same part. NULL keys, which match nothing, are dealt out too.
     """
-    policy = policy or DEFAULT
     keys = list(keys)
     types = {f.name: f.dataType for f in left.schema}
-    # The hash depends on the type, so both sides must use the same one.
     right = right.withColumns({k: F.col(k).cast(types[k]) for k in keys})
-    if hot is None:
-        hot = hot_keys(left, keys, policy)
-    if not hot:
-        return left.join(right, keys, how)
-    is_hot = _mark(keys).isin(hot)
-    right_hot = right.where(is_hot)
-    # The hint is given only after counting: a key may repeat on the right too.
-    cap = policy.max_broadcast_rows
-    if right_hot.limit(cap + 1).count() > cap:
-        return left.join(right, keys, how)  # adaptive skew handling splits it
-    in_place = left.where(is_hot).join(F.broadcast(right_hot), keys, how)
-    shuffled = left.where(~is_hot).join(right.where(~is_hot), keys, how)
-    return in_place.unionByName(shuffled)
+    crowded = F.broadcast(crowded_keys(count_rows(left, keys) if counts is None else counts, keys, rows_per_task))
+
+    def numbered(side: DataFrame) -> DataFrame:
+        same = [side[k].eqNullSafe(crowded[f"_crowded_{k}"]) for k in keys]
+        met = side.join(crowded, same, "left").drop(*[f"_crowded_{k}" for k in keys])
+        return met.withColumn(_PARTS, F.coalesce(_PARTS, F.lit(1)))
+
+    others = [c for c in left.columns if c not in keys] or keys
+    part = F.pmod(F.xxhash64(*others), F.col(_PARTS)).cast("int")
+    dealt = numbered(left).withColumn(_PART, part).drop(_PARTS)
+    repeated = numbered(right).withColumn(_PART, F.explode(F.sequence(F.lit(0), F.col(_PARTS) - 1))).drop(_PARTS)
+    return dealt.join(repeated, [*keys, _PART], how).drop(_PART)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,7 +112,10 @@ def typed_rows(name: str, raw: DataFrame) -> DataFrame:
 
 
 def load(name: str, raw: DataFrame) -> DataFrame:
-    """The typed table without the fault column: rows with unreadable values left out."""
+    """The typed table without the fault column: rows with unreadable values left out.
+
+    :func:`quarantine` has what is left out.
+    """
     table = TABLES[name]
     readable = raw.where(~is_blank(F.col(table.row_key)))
     for bad in _unreadable(table).values():
@@ -119,8 +123,40 @@ def load(name: str, raw: DataFrame) -> DataFrame:
     return readable.select(*_typed(table))
 
 
+def loadable(name: str) -> Column:
+    """Whether a load takes a raw row in."""
+    table = TABLES[name]
+    taken = ~is_blank(F.col(table.row_key))
+    for bad in _unreadable(table).values():
+        taken = taken & ~bad
+    return taken
+
+
+BLANK_KEY = "chave em branco"
+
+
+def quarantine(raw: RetailTables) -> DataFrame:
+    """Raw rows that no load takes in, as text, with the reasons; all tables.
+
+    ``linha`` has the raw values in column order, a missing one as nothing.
+    """
+    found = None
+    for name, table in TABLES.items():
+        faults = [F.when(bad, F.lit(f"ilegivel:{c}")) for c, bad in _unreadable(table).items()]
+        reason = F.when(is_blank(F.col(table.row_key)), F.lit(BLANK_KEY)).otherwise(F.concat_ws(",", F.lit(None), *faults))
+        values = [F.coalesce(c, F.lit("")) for c in table.raw_columns]
+        rows = raw[name].select(F.lit(name).alias("tabela"), F.concat_ws("|", *values).alias("linha"), reason.alias("motivo"))
+        rows = rows.where("motivo <> ''")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def load_all(raw: RetailTables) -> RetailTables:
-    return RetailTables(**{name: load(name, raw[name]) for name in TABLES})
+    return RetailTables(**{name: partial(_load_from, name, raw) for name in TABLES})
+
+
+def _load_from(name: str, raw: RetailTables) -> DataFrame:
+    return load(name, raw[name])
 
 
 def unreadable(name: str, raw: DataFrame) -> DataFrame:

@@ -150,7 +150,10 @@ def _twin_candidates(tables: RetailTables) -> DataFrame:
 
 
 def duplicate_orders(tables: RetailTables) -> DataFrame:
-    return lookup_join(_twin_candidates(tables), _twins(tables), _TWIN_KEY, "inner").select(
+    twins = _twins(tables)
+    # The groups know how many lines they have.
+    counts = twins.select(*_TWIN_KEY, F.col("ocorrencias").alias("_rows"))
+    return lookup_join(_twin_candidates(tables), twins, _TWIN_KEY, "inner", counts).select(
         "pedido_id",
         "produto_id",
         day(F.col("data_pedido")).alias("data_pedido"),
@@ -355,20 +358,19 @@ def severity_rank() -> Column:
 # ---- questions for the data owner -------------------------------------------
 
 
-def decisions(tables: RetailTables) -> dict[str, DataFrame]:
-    """Rule findings in the order in which they are discussed."""
-    return {
-        "uncatalogued_sales": uncatalogued_sales(tables).orderBy("produto_id", "venda_id"),
-        "branches_without_catalogue": branches_without_catalogue(tables).orderBy("filial_id"),
-        "fractional_quantities": fractional_quantities(tables).orderBy("venda_id", "produto_id"),
-        "duplicate_orders": duplicate_orders(tables).orderBy("produto_id", "pedido_id"),
-        "delivered_vs_receipt": delivered_vs_receipt(tables).orderBy(
-            F.abs("divergencia").desc_nulls_first(), "pedido_id", "produto_id"
-        ),
-        "negative_margins": negative_margins(tables).orderBy("idproduto", "filial_id"),
-        "widest_price_gaps": widest_price_gaps(tables),
-        "inverted_dates": inverted_dates(tables).orderBy("dias_diferenca", "pedido_id"),
-    }
+#: Rule findings in the order in which they are discussed.
+DECISIONS: dict[str, Callable[[RetailTables], DataFrame]] = {
+    "uncatalogued_sales": lambda t: uncatalogued_sales(t).orderBy("produto_id", "venda_id"),
+    "branches_without_catalogue": lambda t: branches_without_catalogue(t).orderBy("filial_id"),
+    "fractional_quantities": lambda t: fractional_quantities(t).orderBy("venda_id", "produto_id"),
+    "duplicate_orders": lambda t: duplicate_orders(t).orderBy("produto_id", "pedido_id"),
+    "delivered_vs_receipt": lambda t: delivered_vs_receipt(t).orderBy(
+        F.abs("divergencia").desc_nulls_first(), "pedido_id", "produto_id"
+    ),
+    "negative_margins": lambda t: negative_margins(t).orderBy("idproduto", "filial_id"),
+    "widest_price_gaps": lambda t: widest_price_gaps(t),
+    "inverted_dates": lambda t: inverted_dates(t).orderBy("dias_diferenca", "pedido_id"),
+}
 
 
 def widest_price_gaps(tables: RetailTables, top: int = 10) -> DataFrame:

@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.casts import blank_to_null, to_whole
 from ledgerloom.functions.text import to_cents
-from ledgerloom.model.schema import LONG, PRICE, QTY, SALES, TABLES
+from ledgerloom.model.schema import LONG, QTY, SALES, TABLES
 from ledgerloom.model.tables import RetailTables
 from ledgerloom.operators.integrity import validate
 from ledgerloom.operators.skew import lookup_join
+from ledgerloom.plans.load import loadable
 from ledgerloom.plans.quality import scoreboard
 from ledgerloom.plans.reports import QTY_SUM, amount
 from ledgerloom.sources.sheet import OVERFLOW_COLUMNS
 
 
+#: Twelve digits before the point and six behind it, the most whose product is exact.
+_WIDE = "decimal(18,6)"
+
+
 def row_counts(raw: RetailTables, typed: RetailTables) -> DataFrame:
     """Rows per table before and after the load."""
     lines = None
@@ -27,8 +32,20 @@ def row_counts(raw: RetailTables, typed: RetailTables) -> DataFrame:
     return lines
 
 
-def row_count_differences(raw: RetailTables, typed: RetailTables) -> DataFrame:
-    return row_counts(raw, typed).select(
+def load_counts(raw: RetailTables) -> DataFrame:
+    """Rows per table that arrive, and that a load takes in: one pass over each."""
+    lines = None
+    for name in TABLES:
+        line = raw[name].agg(
+            F.lit(name).alias("tabela"), F.count("*").alias("staging"), F.count_if(loadable(name)).alias("final")
+        )
+        lines = line if lines is None else lines.unionByName(line)
+    return lines
+
+
+def row_count_differences(counts: DataFrame) -> DataFrame:
+    """The counts of :func:`row_counts` or :func:`load_counts`, and what is missing."""
+    return counts.select(
         "tabela",
         F.col("staging").alias("origem_planilha"),
         F.col("final").alias("carregado_banco"),
@@ -37,14 +54,23 @@ def row_count_differences(raw: RetailTables, typed: RetailTables) -> DataFrame:
 
 
 def financial_checksum(raw: RetailTables, typed: RetailTables) -> DataFrame:
-    """Sum of quantity times price on both sides of the load, exact decimals."""
-    raw_amount = F.col("qtde_vendida").try_cast(QTY) * F.col("valor_unitario").try_cast(PRICE)
-    before = raw.sales.agg(F.sum(raw_amount).cast("decimal(38,7)").alias("origem"))
-    after = typed.sales.agg(F.sum(amount()).cast("decimal(38,7)").alias("destino")).scalar()
-    return before.select("origem", after.alias("destino")).select(
+    """Sum of quantity times price on both sides of the load, exact decimals.
+
+    The raw side is read as wide as arithmetic allows, not as the target columns
+    would have it: what a column cannot hold shows as a difference. Amounts that
+    are no number at all are counted.
+    """
+    raw_amount = F.trim("qtde_vendida").try_cast(_WIDE) * F.trim("valor_unitario").try_cast(_WIDE)
+    before = raw.sales.agg(
+        F.sum(raw_amount).cast("decimal(38,12)").alias("origem"),
+        F.count_if(raw_amount.isNull()).alias("linhas_ilegiveis"),
+    )
+    after = typed.sales.agg(F.sum(amount()).cast("decimal(38,12)").alias("destino")).scalar()
+    return before.select("origem", after.alias("destino"), "linhas_ilegiveis").select(
         to_cents(F.col("origem")).alias("total_origem"),
         to_cents(F.col("destino")).alias("total_destino"),
         to_cents(F.col("origem") - F.col("destino")).alias("diferenca"),
+        "linhas_ilegiveis",
     )
 
 

@@ -39,19 +39,19 @@ class Onboarded:
 def onboard(spark: SparkSession, raw: RetailTables, warehouse: str) -> Onboarded:
     """Raw tables to typed tables: cast, judge, link suppliers, write.
 
-    Each table is judged once and written once, with its accepted and set-aside
-    rows in separate partitions. Suppliers that the catalogue names and the
+    Cast rows are written once, by the judgement that reads them twice; from
+    there accepted rows go to the typed table and the others to quarantine.
+    Suppliers that the catalogue names and the
     supplier file lacks are registered, as the resolver does for new products.
     """
     warehouse = warehouse.rstrip("/")
     accepted, quarantine = {}, {}
     for name in TABLES:
         judged = judge(name, typed_rows(name, raw[name]))
-        path = f"{warehouse}/judged/{name}"
-        judged.rows.write.mode("overwrite").partitionBy("aceito").parquet(path)
-        stored = spark.read.schema(judged.rows.schema).parquet(path)
-        accepted[name] = stored.where("aceito").drop("_faults", "aceito")
-        quarantine[name] = stored.where("NOT aceito").drop("aceito")
+        path = f"{warehouse}/quarantine/{name}"
+        judged.quarantined.write.mode("overwrite").parquet(path)
+        quarantine[name] = spark.read.schema(judged.quarantined.schema).parquet(path)
+        accepted[name] = judged.accepted
     products, registered = backfill(accepted["branch_product"], accepted["supplier"])
     accepted["branch_product"] = products
     accepted["supplier"] = accepted["supplier"].unionByName(registered)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -13,11 +15,11 @@ class ReferenceGate:
     """Writes each micro-batch once, split by ``aceito``.
 
     A batch that is replayed after a failure overwrites its own folder, so no
-    row is stored twice. The parent is read anew for every batch, so parents
-    added meanwhile count. Stored history is not looked at.
+    row is stored twice. ``parent`` opens the parent table; it is called for every
+    batch, so parents added meanwhile count. Stored history is not looked at.
     """
 
-    def __init__(self, fk: ForeignKey, parent: DataFrame, folder: str):
+    def __init__(self, fk: ForeignKey, parent: Callable[[], DataFrame], folder: str):
         self.fk = fk
         self.parent = parent
         self.folder = folder.rstrip("/")
@@ -35,7 +37,7 @@ class ReferenceGate:
     def _store(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            judged = admit(self.fk, batch, self.parent)
+            judged = admit(self.fk, batch, self.parent())
             judged.write.mode("overwrite").partitionBy("aceito").parquet(
                 f"{self.folder}/rows/batch={batch_id}"
             )

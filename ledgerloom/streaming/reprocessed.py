@@ -15,7 +15,7 @@ def as_instant(local: Column) -> Column:
 
 
 def repeated_keys(stream: DataFrame, keys: list[str], time: str, delay: str = "2 days") -> DataFrame:
-    """Running count of arrivals per key and day.
+    """Running count of arrivals per key and day, and of the different times among them.
 
     State is kept per key and day until the day is ``delay`` behind the newest
     arrival. Rows later than that no longer raise an alert; the batch check on
@@ -25,7 +25,11 @@ def repeated_keys(stream: DataFrame, keys: list[str], time: str, delay: str = "2
         stream.withColumns({"_at": as_instant(F.col(time)), "dia": F.to_date(time)})
         .withWatermark("_at", delay)
         .groupBy(F.window("_at", "1 day").alias("_day"), "dia", *keys)
-        .agg(F.count("*").alias("ocorrencias"))
+        # A day has a bounded number of seconds, so the set of times is bounded too.
+        .agg(
+            F.count("*").alias("ocorrencias"),
+            F.size(F.collect_set(F.date_format(time, "HH:mm:ss"))).alias("horarios_distintos"),
+        )
         .drop("_day")
     )
 
@@ -60,5 +64,5 @@ class RepeatAlerts:
             spark.read.schema(schema)
             .parquet(f"{self.folder}/counts")
             .groupBy("dia", *self.keys)
-            .agg(F.max("ocorrencias").alias("ocorrencias"))
+            .agg(F.max("ocorrencias").alias("ocorrencias"), F.max("horarios_distintos").alias("horarios_distintos"))
         )

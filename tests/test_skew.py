@@ -7,9 +7,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.numbering import next_number, number_rows
-from ledgerloom.operators.skew import SkewPolicy, hot_keys, lookup_join
+from ledgerloom.operators.skew import count_rows, crowded_keys, lookup_join
 
-EAGER = SkewPolicy(max_keys=4, min_rows=3)
+FEW = 3
 
 
 @pytest.fixture
@@ -24,17 +24,36 @@ def skewed(spark):
     )
 
 
-def test_hot_key_is_found(skewed):
-    assert len(hot_keys(skewed, ["k"], EAGER)) == 1
-    assert hot_keys(skewed, ["k"]) == []
+def test_crowded_keys_and_their_parts(skewed):
+    counts = count_rows(skewed, ["k"])
+    assert rows_of(crowded_keys(counts, ["k"], 100), "_crowded_k", "_parts") == [(0, 4)]
+    assert crowded_keys(counts, ["k"]).isEmpty()
+
+
+def test_many_medium_keys_are_all_split(spark):
+    """Keys that each hold far less than a 256th of the rows, but more than a task should take."""
+    left = spark.range(40_000).select((F.col("id") % 1000).alias("k"), F.col("id").alias("v"))
+    right = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    assert crowded_keys(count_rows(left, ["k"]), ["k"], 10).where("_parts = 4").count() == 1000
+    joined = lookup_join(left, right, ["k"], "inner", rows_per_task=10)
+    assert joined.count() == 40_000 and joined.where("w <> 2 * k").isEmpty()
+
+
+def test_building_the_plan_runs_nothing(spark, skewed):
+    right = spark.range(60).select(F.col("id").alias("k"), F.lit(1).alias("w"))
+    spark.sparkContext.setJobGroup("plan-only", "")
+    try:
+        lookup_join(skewed, right, ["k"], "left", rows_per_task=FEW)
+        assert not list(spark.sparkContext.statusTracker().getJobIdsForGroup("plan-only"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_empty_sides(spark, skewed):
     empty = skewed.where("false")
     right = spark.range(3).select(F.col("id").alias("k"), F.lit(1).alias("w"))
-    assert hot_keys(empty, ["k"], EAGER) == []
-    assert lookup_join(empty, right, ["k"], "left", policy=EAGER).count() == 0
-    assert lookup_join(skewed, right.where("false"), ["k"], "left", policy=EAGER).count() == 900
+    assert lookup_join(empty, right, ["k"], "left", rows_per_task=FEW).count() == 0
+    assert lookup_join(skewed, right.where("false"), ["k"], "left", rows_per_task=FEW).count() == 900
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -43,25 +62,15 @@ def test_hot_path_gives_the_same_rows(spark, skewed, how, type_of_key):
     right = spark.range(0, 60).select(
         F.col("id").cast(type_of_key).alias("k"), (F.col("id") * 10).alias("w")
     )
-    assert rows_of(lookup_join(skewed, right, ["k"], how, policy=EAGER)) == rows_of(
+    assert rows_of(lookup_join(skewed, right, ["k"], how, rows_per_task=FEW)) == rows_of(
         skewed.join(right, "k", how)
     )
 
 
-def test_hot_rows_are_not_shuffled(spark, skewed, capsys):
-    right = spark.range(0, 60).select(F.col("id").alias("k"), F.lit(1).alias("w"))
-    lookup_join(skewed, right, ["k"], "left", policy=EAGER).explain()
-    plan = capsys.readouterr().out
-    assert "Union" in plan and "BroadcastHashJoin" in plan
-
-
-def test_wide_right_side_is_not_broadcast(spark, skewed, capsys):
-    right = spark.range(0, 500).select(F.lit(0).cast("bigint").alias("k"), F.col("id").alias("w"))
-    policy = SkewPolicy(max_keys=4, min_rows=3, max_broadcast_rows=100)
-    joined = lookup_join(skewed, right, ["k"], "inner", policy=policy)
-    assert joined.count() == skewed.where("k = 0").count() * 500
-    joined.explain()
-    assert "Union" not in capsys.readouterr().out
+def test_right_keys_may_repeat(spark, skewed):
+    right = spark.range(0, 50).select(F.lit(0).cast("bigint").alias("k"), F.col("id").alias("w"))
+    joined = lookup_join(skewed, right, ["k"], "inner", rows_per_task=FEW)
+    assert joined.count() == skewed.where("k = 0").count() * 50
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -73,7 +82,7 @@ def test_wide_right_side_is_not_broadcast(spark, skewed, capsys):
 def test_two_part_keys_match_the_plain_join(spark, left, right, how):
     df = spark.createDataFrame(left, "a string, b int")
     looked_up = spark.createDataFrame([(*r, 1) for r in right], "a string, b int, w int")
-    assert rows_of(lookup_join(df, looked_up, ["a", "b"], how, policy=EAGER)) == rows_of(
+    assert rows_of(lookup_join(df, looked_up, ["a", "b"], how, rows_per_task=FEW)) == rows_of(
         df.join(looked_up, ["a", "b"], how)
     )
 

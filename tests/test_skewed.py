@@ -18,14 +18,15 @@ def folder(tmp_path_factory):
 
 
 @pytest.fixture(autouse=True)
-def eager(monkeypatch):
-    monkeypatch.setattr(skew, "DEFAULT", skew.SkewPolicy(max_keys=8, min_rows=100))
+def small_tasks(monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 100)
 
 
 def test_the_data_is_skewed(spark, folder):
     lines = spark.read.parquet(f"{folder}/lineitem.parquet")
-    assert len(skew.hot_keys(lines, ["l_orderkey"])) >= 1
-    assert len(skew.hot_keys(lines, ["l_partkey"])) >= 1
+    for key in ("l_orderkey", "l_partkey"):
+        crowded = skew.crowded_keys(skew.count_rows(lines, [key]), [key])
+        assert crowded.agg({"_parts": "max"}).first()[0] > 10
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -122,8 +122,11 @@ def test_onboarding(spark, raw, tmp_path):
 
 def test_proofs(raw):
     typed = load.load_all(raw)
-    assert ("supplier", 2, 1, 1) in rows_of(reconcile.row_count_differences(raw, typed))
-    assert [str(v) for v in reconcile.financial_checksum(raw, typed).first()] == ["75.08", "75.08", "0.00"]
+    assert ("supplier", 2, 1, 1) in rows_of(reconcile.row_count_differences(reconcile.row_counts(raw, typed)))
+    assert rows_of(reconcile.load_counts(raw)) == rows_of(reconcile.row_counts(raw, typed))
+    assert [str(v) for v in reconcile.financial_checksum(raw, typed).first()] == [
+        "75.08", "75.08", "0.00", "1",
+    ]
     traced = reconcile.trace_sales(raw, typed)
     assert traced.where("linhas_destino IS NULL").count() == 1
     assert reconcile.trace_document(raw, typed, 1).count() == 2
@@ -171,3 +174,18 @@ def test_date_filter_reaches_the_files(spark, frame, tmp_path, capsys):
     plan = capsys.readouterr().out
     assert "GreaterThanOrEqual(data_emissao,2025-02-01)" in plan
     assert "ReadSchema: struct<venda_id:bigint,data_emissao:date>" in plan
+
+
+def test_checksum_shows_what_a_load_loses(raw_frame):
+    """A word, a price that no column holds, and a quantity with five decimals."""
+    base = {"data_emissao": "2025-02-01", "horariomov": "08:00:00", "produto_id": "P1", "filial_id": "1", "item": "1"}
+    amounts = (("10", "2.00"), ("doze", "5.00"), ("1", "123456789012.00"), (" 1.23456 ", "1000"))
+    sales = [
+        {**base, "venda_id": str(i), "qtde_vendida": q, "valor_unitario": p} for i, (q, p) in enumerate(amounts, 1)
+    ]
+    raw = RetailTables(**{n: raw_frame(n, sales if n == "sales" else []) for n in TABLES})
+    row = reconcile.financial_checksum(raw, load.load_all(raw)).first()
+    assert str(row["total_origem"]) == "123456790266.56" and row["linhas_ilegiveis"] == 1
+    assert row["diferenca"] == row["total_origem"] - row["total_destino"] > 123456789000
+    left_out = rows_of(load.quarantine(raw), "tabela", "motivo")
+    assert left_out == [("sales", "ilegivel:qtde_vendida"), ("sales", "ilegivel:valor_unitario")]

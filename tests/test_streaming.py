@@ -35,8 +35,7 @@ def test_gate_over_two_arrivals_with_a_parent_added_between(spark, frame, tmp_pa
     _arrive(first, inbox)
 
     def run():
-        parents = spark.read.parquet(catalogue)
-        gate = ReferenceGate(SALES.foreign_keys[0], parents, out)
+        gate = ReferenceGate(SALES.foreign_keys[0], lambda: spark.read.parquet(catalogue), out)
         gate.run(_stream(spark, first.schema, inbox))
         return gate.rows(first)
 
@@ -47,6 +46,26 @@ def test_gate_over_two_arrivals_with_a_parent_added_between(spark, frame, tmp_pa
     assert run().count() == 4  # nothing new: nothing stored again
 
 
+def test_parent_added_between_two_batches_of_one_run(spark, frame, tmp_path):
+    inbox, out, catalogue = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cat")
+    base = {"filial_id": 1, "item": 1, "data_emissao": "2025-02-01", "produto_id": "P2"}
+    frame("branch_product", [{"filial_id": 1, "idproduto": "P1"}]).write.parquet(catalogue)
+    for i in (1, 2):
+        _arrive(frame("sales", [{**base, "venda_id": i}]), inbox)
+
+    def parents():
+        """What is there now; afterwards the product arrives."""
+        now = spark.read.parquet(catalogue)
+        if now.where("idproduto = 'P2'").isEmpty():
+            frame("branch_product", [{"filial_id": 1, "idproduto": "P2"}]).write.mode("append").parquet(catalogue)
+        return now
+
+    schema = frame("sales", []).schema
+    gate = ReferenceGate(SALES.foreign_keys[0], parents, out)
+    gate.run(_stream(spark, schema, inbox))
+    assert sorted(r["aceito"] for r in gate.rows(frame("sales", [])).collect()) == [False, True]
+
+
 def test_supplier_stream_numbers_once_and_replays_alike(spark, frame, tmp_path):
     inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
     suppliers = frame("supplier", [{"idfornecedor": "F1", "fornecedor_num": 1, "razao_social": "Um"}])
@@ -97,7 +116,7 @@ def test_repeats_across_arrivals(spark, tmp_path):
     counts = repeated_keys(_stream(spark, schema, inbox), ["doc"], "at")
     alerts = RepeatAlerts(["doc"], out)
     alerts.run(counts)
-    assert rows_of(alerts.alerts(counts)) == [(date(2025, 2, 1), 1, 3)]
+    assert rows_of(alerts.alerts(counts)) == [(date(2025, 2, 1), 1, 3, 3)]
 
 
 def test_history_of_the_scoreboard(spark, tables, tmp_path):
