@@ -62,6 +62,7 @@ AROUND_NAMES = frozenset(
     pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar sidenav
     signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar tracking widget widgets""".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_TAGS = frozenset("article main".split())
 #: A class or id of which these parts both appear, or the id alone, holds the article.
 MAIN_OWNERS, MAIN_KINDS = frozenset("article entry main post story".split()), frozenset("body content text".split())
@@ -126,11 +127,11 @@ def _is_main(tag: str, attributes: str) -> bool:
 class _Block:
     """Text of one block, its linked characters, and where it stands."""
 
-    __slots__ = ("parts", "linked", "around", "main", "text")
+    __slots__ = ("parts", "linked", "around", "main", "text", "heading")
 
     def __init__(self, around: bool, main: bool) -> None:
         self.parts: list[str] = []
-        self.linked, self.around, self.main, self.text = 0, around, main, ""
+        self.linked, self.around, self.main, self.text, self.heading = 0, around, main, "", False
 
 
 def blocks_of(page: str) -> list[_Block]:
@@ -194,6 +195,7 @@ def blocks_of(page: str) -> list[_Block]:
                 if tag in BLOCK_TAGS:
                     links = 0
                     close()
+                    block.heading = tag in HEADINGS
         position = _TAG.search(page, at)
     add(page[at:])
     close()
@@ -215,11 +217,12 @@ def _first_pass(block: _Block, has_main: bool) -> int:
     return GOOD if size >= SOME and stops >= STOPS and block.linked <= LINKED / 2 * size else OPEN
 
 
-def _second_pass(labels: list[int], main: list[bool]) -> list[int]:
+def _second_pass(labels: list[int], blocks: list[_Block]) -> list[int]:
     """Labels in which every ambiguous block has that of its nearest decided neighbours.
 
-    If they are as near as each other and differ, or if none is decided, a block
-    of the article proper is good; without any decided block, so are all.
+    A heading goes with what follows it. If neighbours as near as each other
+    differ, a block of the article proper is good; without any decided block, so
+    are all.
     """
     if not any(labels):
         return [GOOD] * len(labels)
@@ -235,9 +238,11 @@ def _second_pass(labels: list[int], main: list[bool]) -> list[int]:
     for i, label in enumerate(labels):
         if label == OPEN:
             near = [(abs(i - j), labels[j]) for j in (before[i], after[i]) if j is not None]
+            if blocks[i].heading and after[i] is not None:
+                near = near[-1:]
             least = min(d for d, _ in near)
             labels_there = {x for d, x in near if d == least}
-            label = labels_there.pop() if len(labels_there) == 1 else GOOD if main[i] else BAD
+            label = labels_there.pop() if len(labels_there) == 1 else GOOD if blocks[i].main else BAD
         result.append(label)
     return result
 
@@ -250,9 +255,9 @@ def main_text(page: str | None) -> str:
     for inside, run in groupby(range(len(blocks)), key=lambda i: has_main and blocks[i].main and not blocks[i].around):
         at = list(run)
         if inside:
-            for i, label in zip(at, _second_pass([labels[i] for i in at], [True] * len(at))):
+            for i, label in zip(at, _second_pass([labels[i] for i in at], [blocks[i] for i in at])):
                 labels[i] = label
-    labels = _second_pass(labels, [b.main for b in blocks])
+    labels = _second_pass(labels, blocks)
     return " ".join(b.text for b, label in zip(blocks, labels) if label == GOOD)
 
 

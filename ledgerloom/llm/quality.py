@@ -42,8 +42,8 @@ GRADES = 3
 DIMENSIONS = 1 << 18
 #: Labelled documents to fit on, at most.
 SAMPLE = 8000
-#: A feature takes part if so many documents of the sample have it and its mean
-#: grade is so many standard errors away from that of the sample.
+#: A feature takes part if so many documents of the sample have it and its amount
+#: correlates with the grade by so many standard errors.
 LEAST_DOCUMENTS, LEAST_Z = 5, 4.0
 PENALTY, STEPS = 1e-3, 800
 #: Words that a worker remembers.
@@ -162,24 +162,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: str
     amounts = np.concatenate([np.frombuffer(r[3], np.float32) for r in rows]).astype(np.float64)
     row = np.repeat(np.arange(len(rows)), [len(f) for f in features])
     column = np.concatenate(features)
-    chosen = _telling(row, column, grades)
+    chosen = _telling(row, column, amounts, grades)
     at = np.full(DIMENSIONS, -1)
     at[chosen] = np.arange(len(chosen))
     used = at[column] >= 0
     row, column, amounts = row[used], at[column[used]], amounts[used]
-    # In units of its mean where it occurs, a rare word weighs like a common shape.
-    usual = np.bincount(column, weights=amounts, minlength=len(chosen)) / np.bincount(column, minlength=len(chosen))
+    # In units of its usual amount where it occurs, a rare word weighs like a common shape.
+    usual = np.sqrt(np.bincount(column, weights=amounts**2, minlength=len(chosen)) / np.bincount(column, minlength=len(chosen)))
     weights, thresholds = _maximise(row, column, amounts / usual[column], grades, len(chosen))
     weights = weights / usual
     return Model(dict(zip(chosen.tolist(), weights.tolist())), tuple(thresholds.tolist()))
 
 
-def _telling(row: np.ndarray, column: np.ndarray, grades: np.ndarray) -> np.ndarray:
-    """Features whose documents' mean grade differs from that of all."""
-    spread = grades.std() or 1.0
+def _telling(row: np.ndarray, column: np.ndarray, amounts: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """Features whose amount goes with the grade beyond chance."""
+    sums = lambda x: np.bincount(column, weights=x, minlength=DIMENSIONS)
     n = np.bincount(column, minlength=DIMENSIONS)
-    total = np.bincount(column, weights=(grades - grades.mean())[row], minlength=DIMENSIONS)
-    z = np.abs(total) / (spread * np.sqrt(np.maximum(n, 1)))
+    spread = np.sqrt(np.maximum(sums(amounts**2) - sums(amounts) ** 2 / len(grades), 1e-12)) * (grades.std() or 1.0)
+    z = np.abs(sums(amounts * (grades - grades.mean())[row])) / spread
     return np.flatnonzero((n >= LEAST_DOCUMENTS) & (z >= LEAST_Z))
 
 
