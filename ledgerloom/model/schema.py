@@ -47,6 +47,8 @@ class Table:
     checks: dict[str, str] = field(default_factory=dict)
     unique: tuple[str, ...] = ()
     foreign_keys: tuple[ForeignKey, ...] = ()
+    #: Columns of the stored table that say when a row was stored; no comparison reads them.
+    stamps: dict[str, str] = field(default_factory=dict)
 
     @property
     def required(self) -> list[str]:
@@ -76,6 +78,7 @@ SUPPLIER = Table(
     row_key="idfornecedor",
     unique=("fornecedor_num",),
     checks={"razao_social_preenchida": "length(trim(razao_social)) > 0"},
+    stamps={"criado_em": "now()"},
 )
 
 BRANCH_PRODUCT = Table(

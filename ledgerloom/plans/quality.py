@@ -289,12 +289,8 @@ def _counted(df: DataFrame, counts: dict[str, Column]) -> DataFrame:
     return df.agg(lines.alias("lines")).select(F.inline("lines"))
 
 
-def scoreboard(tables: RetailTables) -> DataFrame:
-    """One line per rule: code, title, severity and number of findings.
-
-    Counts, unlike the views, need no row detail, so rules that read the same
-    table share a pass over it and rows are counted per key before any join.
-    """
+def _sales_lines(tables: RetailTables) -> DataFrame:
+    """QA-01, -02, -03 and -10 from one pass over the sales, counted per key before any join."""
     sold = tables.sales.groupBy("filial_id", "produto_id", "valor_unitario").agg(
         F.count("*").alias("n"),
         F.count_if(F.expr(_FRACTION)).alias("fractions"),
@@ -302,6 +298,7 @@ def scoreboard(tables: RetailTables) -> DataFrame:
     prices = tables.branch_product.select(
         "filial_id", F.col("idproduto").alias("produto_id"), "preco_venda", F.lit(True).alias("listed")
     )
+    branches = tables.branch_product.select("filial_id", F.lit(True).alias("stocked")).distinct()
     # Two steps: a catalogue key that repeats must not count a sale twice.
     priced = (
         sold.join(prices, _SALE_KEY, "left")
@@ -312,33 +309,62 @@ def scoreboard(tables: RetailTables) -> DataFrame:
             F.first("listed").alias("listed"),
             F.sum(F.when(F.expr("valor_unitario <> preco_venda"), F.col("n"))).alias("off_price"),
         )
+        .groupBy("filial_id")
+        .agg(
+            F.sum(F.when(F.col("listed").isNull(), F.col("n"))).alias("unlisted"),
+            F.sum("fractions").alias("fractions"),
+            F.sum("off_price").alias("off_price"),
+        )
+        .join(branches, "filial_id", "left")
+    )
+    return _counted(
+        priced,
+        {
+            "QA-01": F.sum("unlisted"),
+            "QA-02": F.count_if(F.col("stocked").isNull()),
+            "QA-03": F.sum("fractions"),
+            "QA-10": F.sum("off_price"),
+        },
     )
+
+
+def _order_lines(tables: RetailTables) -> DataFrame:
+    """QA-04, -06, -07 and -08 from one pass over the orders, counted per grain before the join."""
     grain = ["ordem_compra", "pedido_id", "produto_id", "qtde_pedida"]
-    by_delivery = _received(
-        tables, tables.purchase_order, ["ordem_compra"], [*grain, "qtde_entregue"]
-    ).withColumn("delivery_off", F.expr("recebida <> qtde_entregue"))
-    linked = by_delivery.groupBy(*grain).agg(
-        F.sum("recebida").alias("recebida"), F.count_if("delivery_off").alias("off")
+    lines = tables.purchase_order.groupBy(*grain, "qtde_entregue").agg(
+        F.count("*").alias("n"), F.count_if(F.expr(_INVERTED)).alias("inverted")
     )
+    receipts = tables.goods_receipt.groupBy("ordem_compra").agg(F.sum("qtde_recebida").cast(QTY_SUM).alias("received"))
+    # Lines that agree in the grain each count the receipt once.
+    met = lookup_join(lines, receipts.where("ordem_compra <> 0"), ["ordem_compra"], "left")
+    met = met.withColumn("recebida", (F.col("received") * F.col("n")).cast(QTY_SUM))
+    per_order = met.groupBy(*grain).agg(
+        F.sum("recebida").alias("recebida"),
+        F.count_if(F.expr("recebida <> qtde_entregue")).alias("off"),
+        F.sum(F.when(F.expr(_ZEROED), F.col("n"))).alias("zeroed"),
+        F.sum("inverted").alias("inverted"),
+    )
+    return _counted(
+        per_order,
+        {
+            "QA-04": F.sum("zeroed"),
+            "QA-06": F.sum("inverted"),
+            "QA-07": F.count_if(F.expr("recebida > qtde_pedida")),
+            "QA-08": F.sum("off"),
+        },
+    )
+
+
+def scoreboard(tables: RetailTables) -> DataFrame:
+    """One line per rule: code, title, severity and number of findings.
+
+    Counts, unlike the views, need no row detail, so rules that read the same
+    table share a pass over it. Twin orders need groups of their own.
+    """
     parts = [
-        _counted(
-            priced,
-            {
-                "QA-01": F.sum(F.when(F.col("listed").isNull(), F.col("n"))),
-                "QA-03": F.sum("fractions"),
-                "QA-10": F.sum("off_price"),
-            },
-        ),
-        _counted(branches_without_catalogue(tables), {"QA-02": F.count("*")}),
-        _counted(
-            tables.purchase_order,
-            {"QA-04": F.count_if(F.expr(_ZEROED)), "QA-06": F.count_if(F.expr(_INVERTED))},
-        ),
+        _sales_lines(tables),
+        _order_lines(tables),
         _counted(_twins(tables), {"QA-05": F.sum("ocorrencias")}),
-        _counted(
-            linked,
-            {"QA-07": F.count_if(F.expr("recebida > qtde_pedida")), "QA-08": F.sum("off")},
-        ),
         _counted(tables.branch_product, {"QA-09": F.count_if(F.expr(_BELOW_COST))}),
         _counted(idle_suppliers(tables), {"QA-11": F.count("*")}),
     ]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.casts import blank_to_null, to_date, to_decimal, to_whole
 from ledgerloom.model.schema import DATE, INT, LONG, TEXT, PURCHASE_ORDER
+from ledgerloom.sources.csv import write_text
 
 # Names a reader gives to columns without heading, date pattern
 _NO_HEADING = re.compile(r"^(Unnamed.*|_c\d+)$")
@@ -90,6 +91,15 @@ def extract(name: str, df: DataFrame, contract: int) -> Sheet:
     return Sheet(name, len(df.columns), table, overflow_block(df))
 
 
+def write_side_file(sheet: Sheet, folder: str) -> str | None:
+    """The overflow block of a tab as text beside its table; where it lies, if there is one."""
+    if sheet.overflow is None:
+        return None
+    path = f"{folder.rstrip('/')}/{sheet.name}_sem_cabecalho"
+    write_text(sheet.overflow, path, mode="overwrite")
+    return path
+
+
 def ingest_report(sheets: list[Sheet]) -> DataFrame:
     """Per tab: rows, columns kept and found, and the size of its overflow block."""
     report = None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.model.schema import TABLES
 from ledgerloom.model.tables import RetailTables
@@ -23,6 +24,7 @@ def write_table(name: str, df: DataFrame, warehouse: str) -> str:
     narrow date ranges and a date filter skips the others.
     """
     path = f"{warehouse.rstrip('/')}/{name}"
+    df = df.withColumns({c: F.expr(e) for c, e in TABLES[name].stamps.items() if c not in df.columns})
     if name in _DATE_OF:
         date = _DATE_OF[name]
         df = df.repartitionByRange(date, *[k for k in TABLES[name].key if k != date]).sortWithinPartitions(date)

@@ -189,3 +189,16 @@ def test_checksum_shows_what_a_load_loses(raw_frame):
     assert row["diferenca"] == row["total_origem"] - row["total_destino"] > 123456789000
     left_out = rows_of(load.quarantine(raw), "tabela", "motivo")
     assert left_out == [("sales", "ilegivel:qtde_vendida"), ("sales", "ilegivel:valor_unitario")]
+
+
+def test_side_file_holds_the_block_without_headings(spark, tmp_path):
+    tab = spark.createDataFrame([("1", "a", "x"), ("2", "b", None)], "`id` string, `name` string, `Unnamed: 2` string")
+    path = sheet.write_side_file(sheet.extract("pedido_compra", tab, 2), str(tmp_path))
+    assert rows_of(csv.read_sheet(spark, path)) == [("x",)]
+    assert sheet.write_side_file(sheet.extract("venda", tab.drop("Unnamed: 2"), 2), str(tmp_path)) is None
+
+
+def test_stored_suppliers_say_when(spark, raw, tmp_path):
+    warehouse.onboard(spark, raw, str(tmp_path / "wh"))
+    stored = spark.read.parquet(str(tmp_path / "wh/typed/supplier"))
+    assert stored.where("criado_em IS NOT NULL").count() == 2
