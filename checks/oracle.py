@@ -893,12 +893,14 @@ FROM (SELECT cat.*,
             "r_ven l_ven",
             "SELECT * FROM antes FULL JOIN depois USING (venda_id, produto_id, item)",
             antes=f"SELECT {_whole('venda_id', 'BIGINT')} AS venda_id, trim(produto_id) AS produto_id,"
-            f" {_whole('item', 'INT')} AS item, count(*) AS linhas_origem, min(data_emissao) AS data_origem,"
+            f" {_whole('item', 'INT')} AS item, count(*) AS linhas_origem, min(data_emissao) AS data_origem, max(data_emissao) AS ultima_data_origem,"
             f" {_qsum('sum(TRY_CAST(qtde_vendida AS DECIMAL(14,3)))')} AS qtde_origem,"
+            " CAST(sum(TRY_CAST(trim(valor_unitario) AS DECIMAL(18,6))) AS DECIMAL(28,6)) AS soma_valor_origem,"
             f" max(valor_unitario) AS valor_origem FROM r_ven WHERE {_blank('venda_id')} IS NOT NULL"
             " GROUP BY 1, 2, 3",
-            depois="SELECT venda_id, produto_id, item, count(*) AS linhas_destino, min(data_emissao) AS data_destino,"
-            f" {_qsum('sum(qtde_vendida)')} AS qtde_destino, max(valor_unitario) AS valor_destino FROM l_ven"
+            depois="SELECT venda_id, produto_id, item, count(*) AS linhas_destino, min(data_emissao) AS data_destino, max(data_emissao) AS ultima_data_destino,"
+            f" {_qsum('sum(qtde_vendida)')} AS qtde_destino, max(valor_unitario) AS valor_destino,"
+            " CAST(sum(valor_unitario) AS DECIMAL(28,6)) AS soma_valor_destino FROM l_ven"
             " GROUP BY 1, 2, 3",
         ),
         "R6": _query(

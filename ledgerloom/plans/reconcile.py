@@ -103,6 +103,8 @@ def trace_sales(raw: RetailTables, typed: RetailTables) -> DataFrame:
 
     Both sides are summed up per key first, so a line entered many times meets
     its counterpart as one row. A key on one side only shows NULL on the other.
+    First and last dates, largest prices and sums of prices tell a change in any
+    of the rows of a key.
     """
     before = (
         raw.sales.where(blank_to_null(F.col("venda_id")).isNotNull())
@@ -110,15 +112,19 @@ def trace_sales(raw: RetailTables, typed: RetailTables) -> DataFrame:
         .agg(
             F.count("*").alias("linhas_origem"),
             F.min("data_emissao").alias("data_origem"),
+            F.max("data_emissao").alias("ultima_data_origem"),
             F.sum(F.col("qtde_vendida").try_cast(QTY)).cast(QTY_SUM).alias("qtde_origem"),
             F.max("valor_unitario").alias("valor_origem"),
+            F.sum(F.trim("valor_unitario").try_cast(_WIDE)).cast("decimal(28,6)").alias("soma_valor_origem"),
         )
     )
     after = typed.sales.groupBy(*_TRACE_KEY).agg(
         F.count("*").alias("linhas_destino"),
         F.min("data_emissao").alias("data_destino"),
+        F.max("data_emissao").alias("ultima_data_destino"),
         F.sum("qtde_vendida").cast(QTY_SUM).alias("qtde_destino"),
         F.max("valor_unitario").alias("valor_destino"),
+        F.sum("valor_unitario").cast("decimal(28,6)").alias("soma_valor_destino"),
     )
     return before.join(after, _TRACE_KEY, "full")
 

@@ -29,6 +29,7 @@ class Sheet:
     found: int  # columns in the tab
     table: DataFrame
     overflow: DataFrame | None
+    source: DataFrame  # all columns as they arrived
 
 
 def overflow_names(df: DataFrame) -> list[str]:
@@ -88,7 +89,7 @@ def extract(name: str, df: DataFrame, contract: int) -> Sheet:
     The overflow block keeps its date texts as they are.
     """
     table = trim_midnights(first_columns(df, contract))
-    return Sheet(name, len(df.columns), table, overflow_block(df))
+    return Sheet(name, len(df.columns), table, overflow_block(df), df)
 
 
 def write_side_file(sheet: Sheet, folder: str) -> str | None:
@@ -101,26 +102,18 @@ def write_side_file(sheet: Sheet, folder: str) -> str | None:
 
 
 def ingest_report(sheets: list[Sheet]) -> DataFrame:
-    """Per tab: rows, columns kept and found, and the size of its overflow block."""
+    """Per tab: rows, columns kept and found, and the size of its overflow block; one pass each."""
     report = None
     for sheet in sheets:
-        line = sheet.table.agg(
+        names = overflow_names(sheet.source)
+        filled = F.coalesce(*[F.col(f"`{c}`") for c in names]).isNotNull() if names else F.lit(False)
+        line = sheet.source.agg(
             F.lit(sheet.name).alias("tabela"),
             F.count("*").alias("linhas"),
             F.lit(len(sheet.table.columns)).alias("colunas_mantidas"),
             F.lit(sheet.found).alias("colunas_encontradas"),
+            F.lit(len(names)).alias("colunas_sem_cabecalho"),
+            F.count_if(filled).alias("linhas_sem_cabecalho"),
         )
-        if sheet.overflow is None:
-            line = line.withColumns(
-                {"colunas_sem_cabecalho": F.lit(0), "linhas_sem_cabecalho": F.lit(0).cast("bigint")}
-            )
-        else:
-            filled = sheet.overflow.agg(F.count("*").alias("n")).scalar()
-            line = line.withColumns(
-                {
-                    "colunas_sem_cabecalho": F.lit(len(sheet.overflow.columns)),
-                    "linhas_sem_cabecalho": filled,
-                }
-            )
         report = line if report is None else report.unionByName(line)
     return report

@@ -16,9 +16,12 @@ from ledgerloom.plans.load import judge, typed_rows
 _DATE_OF = {"sales": "data_emissao", "purchase_order": "data_pedido", "goods_receipt": "data_entrada"}
 
 
-def write_table(name: str, df: DataFrame, warehouse: str) -> str:
+def write_table(name: str, df: DataFrame, warehouse: str, partitions: int | None = None) -> str:
     """Replace a typed table as a whole.
 
+    ``partitions`` is the number of ranges of a fact, by default that of the
+    session's shuffles; choose it so that a range holds what a task can sort.
+
     Facts are range-partitioned by date, with the key behind it so that one
     busy day is spread out, and sorted inside each file: row groups carry
     narrow date ranges and a date filter skips the others.
@@ -27,7 +30,8 @@ def write_table(name: str, df: DataFrame, warehouse: str) -> str:
     df = df.withColumns({c: F.expr(e) for c, e in TABLES[name].stamps.items() if c not in df.columns})
     if name in _DATE_OF:
         date = _DATE_OF[name]
-        df = df.repartitionByRange(date, *[k for k in TABLES[name].key if k != date]).sortWithinPartitions(date)
+        ranges = [date, *[k for k in TABLES[name].key if k != date]]
+        df = df.repartitionByRange(*([partitions] if partitions else []), *ranges).sortWithinPartitions(date)
     df.write.mode("overwrite").parquet(path)
     return path
 
@@ -38,7 +42,7 @@ class Onboarded:
     quarantine: dict[str, DataFrame]
 
 
-def onboard(spark: SparkSession, raw: RetailTables, warehouse: str) -> Onboarded:
+def onboard(spark: SparkSession, raw: RetailTables, warehouse: str, partitions: int | None = None) -> Onboarded:
     """Raw tables to typed tables: cast, judge, link suppliers, write.
 
     Cast rows are written once, by the judgement that reads them twice; from
@@ -58,5 +62,5 @@ def onboard(spark: SparkSession, raw: RetailTables, warehouse: str) -> Onboarded
     accepted["branch_product"] = products
     accepted["supplier"] = accepted["supplier"].unionByName(registered)
     for name in TABLES:
-        write_table(name, accepted[name], f"{warehouse}/typed")
+        write_table(name, accepted[name], f"{warehouse}/typed", partitions)
     return Onboarded(RetailTables.read(spark, f"{warehouse}/typed"), quarantine)
