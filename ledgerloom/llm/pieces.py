@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,7 +54,8 @@ def cut(docs: DataFrame, seq_len: int, vocabulary: str | None = None, id_column:
     One that is longer than ``seq_len`` is cut from its end into whole pieces, the
     first of which may be shorter. ``number`` counts the pieces of a length within
     a slice, which is what one task wrote. With ``with_ids`` the ids themselves
-    come as a column of 16-bit (or, for larger vocabularies, 32-bit) values.
+    come along, as :func:`unpacked` reads them: they are most of what is written
+    and shuffled then, so they are compressed.
     """
     path = vocabulary or bpe.default_path()
 
@@ -70,9 +72,16 @@ def id_type(vocab: bpe.Vocabulary) -> np.dtype:
     return np.dtype("<u2") if most < 1 << 16 else np.dtype("<u4")
 
 
+def unpacked(ids: list[bytes]) -> list[bytes]:
+    """Little-endian ids, of the vocabulary's :func:`id_type`."""
+    read = zstandard.ZstdDecompressor().decompress
+    return [read(x) for x in ids]
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, seq_len: int, with_ids: bool) -> Iterator[tuple]:
     vocab, numbers = bpe.vocabulary(path), {}
     place, stored = TaskContext.get().partitionId(), id_type(vocab)
+    pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
     for doc_id, text in rows_of(batches, "doc_id", "text"):
         ids = np.append(bpe.text_ids(vocab, text), np.uint32(END)).astype("<u4")
         first = len(ids) % seq_len
@@ -82,7 +91,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, seq_len: int, with_ids
             part = ids[start:end]
             number = numbers[end - start] = numbers.get(end - start, -1) + 1
             row = doc_id, piece, start, end - start, zlib.crc32(part), place, number
-            yield (*row, part.astype(stored).tobytes()) if with_ids else row
+            yield (*row, pack(part.astype(stored).tobytes())) if with_ids else row
             start = end
 
 

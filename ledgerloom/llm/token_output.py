@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Row
 
 from . import bpe
 from .common import batches_of, rows_of
-from .pieces import END, Slot, cut, id_type, place
+from .pieces import END, Slot, cut, id_type, place, unpacked
 
 
 class RoomTree:
@@ -130,7 +130,8 @@ def _assembled(batches: Iterator[pa.RecordBatch], seq_len: int, stored: np.dtype
 
 
 def _sequence(at: int, segments: list[tuple], seq_len: int, stored: np.dtype) -> tuple:
-    doc_ids, pieces, starts, ids = zip(*segments)
+    doc_ids, pieces, starts, packed = zip(*segments)
+    ids = unpacked(packed)
     lengths = [len(x) // stored.itemsize for x in ids]
     ends = np.cumsum([0, *lengths])
     used = int(ends[-1])
