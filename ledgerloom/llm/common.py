@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import pinned, scratch_path
 
-__all__ = ["batches_of", "digest", "empty_if_null", "keep_rows", "pinned", "read", "rows_of", "scratch_path", "unused"]
+__all__ = ["batches_of", "digest", "empty_if_null", "keep_rows", "map_side", "pinned", "read", "row_key", "rows_of", "scratch_path", "unused"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,17 +37,36 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(empty_if_null(text).cast("binary")))
 
 
+#: Rows of a written table that a join may broadcast.
+FEW_ROWS = 500_000
+
+
+def map_side(table: DataFrame) -> DataFrame:
+    """A narrow written table, to be broadcast if it has at most ``FEW_ROWS`` rows.
+
+    The count comes from the files' footers. A larger table is joined by a
+    shuffle, with the same result.
+    """
+    return F.broadcast(table) if table.count() <= FEW_ROWS else table
+
+
+def row_key(id_: Column, digest_: Column) -> Column:
+    """128 bits of a row's id, which may be null, and of its text's digest."""
+    name = F.coalesce(id_.cast("string"), F.lit("null"))
+    return F.unhex(F.md5(F.concat(name, F.lit(":"), F.hex(digest_)).cast("binary")))
+
+
 def keep_rows(docs: DataFrame, keys: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows of ``docs`` whose id and text digest are in ``keys`` (id, digest), each once.
 
     Both columns take part, so rows that share an id but not a text stay apart,
     and null ids match one another. Rows that repeat id and text come out once.
     """
-    at = unused(docs.columns, "_digest")
-    left = docs.withColumn(at, digest(F.col(text_column)))
-    right = keys.toDF("_key_id", "_key_digest").dropDuplicates()
-    same = left[id_column].eqNullSafe(right["_key_id"]) & (left[at] == right["_key_digest"])
-    return left.join(right, same, "left_semi").dropDuplicates([id_column, at]).drop(at)
+    # One key, never null, for the join and for dropping repeats: texts move once.
+    at = unused(docs.columns, "_row")
+    left = docs.withColumn(at, row_key(F.col(id_column).cast("long"), digest(F.col(text_column))))
+    right = keys.toDF("_id", "_digest").select(row_key(F.col("_id"), F.col("_digest")).alias(at))
+    return left.join(right, at, "left_semi").dropDuplicates([at]).drop(at)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:

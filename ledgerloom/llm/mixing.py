@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, digest, empty_if_null, pinned, rows_of, unused
+from .common import batches_of, digest, empty_if_null, pinned, row_key, rows_of, unused
 
 #: What counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -189,9 +189,9 @@ def _rounded(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
 def take(docs: DataFrame, weights: dict[str | None, float] | None = None, most: int = 3, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """The mixed rows with all their columns, each as often as it is taken."""
     taken = mix(docs, weights, most, id_column, text_column, source_column).where("copies > 0")
-    copies = taken.groupBy(F.col("doc_id").alias("_key_id"), F.col("_digest").alias("_key_digest")).agg(F.sum("copies").alias("_copies"))
-    at, times = unused(docs.columns, "_digest"), unused(docs.columns, "_time")
-    left = docs.withColumn(at, digest(F.col(text_column)))
-    same = left[id_column].eqNullSafe(copies["_key_id"]) & (left[at] == copies["_key_digest"])
-    met = left.join(copies, same).dropDuplicates([id_column, at])
-    return met.withColumn(times, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(left[c] for c in docs.columns))
+    at, times = unused(docs.columns, "_row"), unused(docs.columns, "_time")
+    key = row_key(F.col("doc_id"), F.col("_digest")).alias(at)
+    copies = taken.groupBy(key).agg(F.sum("copies").cast("int").alias("_copies"))
+    left = docs.withColumn(at, row_key(F.col(id_column).cast("long"), digest(F.col(text_column))))
+    met = left.join(copies, at).dropDuplicates([at])
+    return met.withColumn(times, F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(left[c] for c in docs.columns))
