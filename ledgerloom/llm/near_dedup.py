@@ -10,7 +10,7 @@ confirmed on the full sets, so every link is exact. The roots branch on enough
 coordinates that a pair at the threshold escapes with a probability of 0.25^16.
 
 Sizes: identical sets are one from the start, so a third of all rows may be one
-text. Rows that move between tasks are signatures (256 bytes); full sets move
+text. Rows that move between tasks are signatures (160 bytes); full sets move
 only for candidates. No pair is written: a group hands on at most one link per
 document, which keeps its connections. Comparisons hold at most two blocks.
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import batches_of, digest, empty_if_null, keep_rows, pinned, rows_of
+from .common import batches_of, digest, empty_if_null, keep_rows, map_side, pinned, rows_of
 from .components import connected_components
 
 #: Coordinates of a signature, and how many of them the roots branch on.
@@ -41,9 +41,11 @@ COORDINATES, ROOTS = 64, 16
 #: deviations below the 48 that a pair at the threshold has on average.
 LEAST_AGREEING = 30
 #: Documents of one block; a node of up to ``WHOLE`` of them is compared exhaustively.
-BLOCK, WHOLE = 512, 4096
+BLOCK, WHOLE = 1024, 4096
 #: Children per node below the roots; depth at which nodes are compared as they are.
 BRANCHES, DEPTH = 3, 4
+#: Bits by which a scan tells documents that may be candidates, as a power of two.
+FILTER_BITS = 26
 #: From this average similarity on, branching does not part a node's documents.
 ALIKE = 0.5
 
@@ -64,7 +66,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     uid = TaskContext.get().partitionId() << 40
     for doc_id, digest_, text in rows_of(batches, "doc_id", "digest", "text"):
         values = shingles.shingle_set(text)
-        signature = shingles.minwise(values, _FACTORS).tobytes() if len(values) else None
+        signature = _packed(shingles.minwise(values, _FACTORS)) if len(values) else None
         yield uid, doc_id, digest_, len(values), _set_key(values), signature
         uid += 1
 
@@ -83,8 +85,20 @@ def _mixed(path: np.ndarray | int, coordinate: np.ndarray | int, values: np.ndar
         return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
+def _packed(signature: np.ndarray) -> bytes:
+    """A signature as stored: 32 bits where the roots branch, 16 elsewhere.
+
+    Roots part the whole corpus. Elsewhere values are compared for two documents
+    at a time or part one node, where one accidental match in 65536 does no harm.
+    """
+    return signature[:ROOTS].tobytes() + signature[ROOTS:].astype(np.uint16).tobytes()
+
+
+def _signatures(stored: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(stored), np.uint8).reshape(len(stored), -1)
+    roots = np.ascontiguousarray(raw[:, : 4 * ROOTS]).view(np.uint32)
+    others = np.ascontiguousarray(raw[:, 4 * ROOTS :]).view(np.uint16)
+    return np.concatenate([roots, others.astype(np.uint32)], axis=1)
 
 
 def _node_batch(node: np.ndarray, parent: np.ndarray, coordinate: np.ndarray, uid: np.ndarray) -> pa.RecordBatch:
@@ -98,7 +112,7 @@ _NODE_DDL = "node long, parent long, coordinate int, uid long"
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            values, uid = _signatures(batch.column("sig")), batch.column("uid").to_numpy()
+            values, uid = _signatures(batch.column("sig").to_pylist()), batch.column("uid").to_numpy()
             for c in range(ROOTS):
                 yield _node_batch(_mixed(0, c, values[:, c]), np.zeros(len(uid), np.int64), np.full(len(uid), c), uid)
 
@@ -106,7 +120,7 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            values, uid = _signatures(batch.column("sig")), batch.column("uid").to_numpy()
+            values, uid = _signatures(batch.column("sig").to_pylist()), batch.column("uid").to_numpy()
             path = batch.column("node").to_numpy()
             for k in range(BRANCHES):
                 # The path chooses; documents in one node choose alike.
@@ -128,7 +142,7 @@ def _leaves(sets: DataFrame, whole: int, depth: int) -> tuple[DataFrame, DataFra
     spark = sets.sparkSession
     nodes = sets.mapInArrow(_roots, _NODE_DDL)
     sizes = _sized(nodes, "nodes")
-    met = nodes.drop("parent").join(sizes.drop("parent"), "node")
+    met = nodes.drop("parent").join(map_side(sizes.drop("parent")), "node")
     leaves = [met.where(F.col("n") <= whole)]
     opened = spark.createDataFrame([], "uid long, open long")
     large = sizes.where(F.col("n") > whole)
@@ -216,7 +230,7 @@ def _suggested(batches: Iterator[pa.RecordBatch], least: int, hundredths: int) -
         if len(rows) < 2:
             continue
         uid, coordinate, side, opened, sizes, signatures = zip(*rows)
-        values = np.frombuffer(b"".join(signatures), np.uint32).reshape(-1, COORDINATES)
+        values = _signatures(list(signatures))
         size, side_, open_ = np.array(sizes), np.array(side), np.array(opened)
         groups, met = Union(len(rows)), set()
         bits = 1 << np.arange(ROOTS)
@@ -282,16 +296,62 @@ def linked(sets: list[np.ndarray], hundredths: int) -> Union:
     return groups
 
 
-def _shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, shingles) of texts whose set is the one that ``key`` names."""
+def _bit(doc_id: int | None) -> int:
+    """The bit of an id in the filter; ids may share one."""
+    return 0 if doc_id is None else xxhash.xxh3_64_intdigest(doc_id.to_bytes(8, "little", signed=True)) & ((1 << FILTER_BITS) - 1)
+
+
+def _filter(ids: DataFrame) -> bytes:
+    """2 ** FILTER_BITS bits (8 MB), in which those of ``ids`` (column _id) are set.
+
+    However many ids there are, what comes to the driver is at most the bits.
+    """
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("chunk", pa.int32()), ("bit", pa.int32())])
+        return batches_of(((b >> 13, b & 8191) for b in (_bit(i) for (i,) in rows_of(batches, "_id"))), schema)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for chunk, there in rows_of(batches, "chunk", "there"):
+                held = np.zeros(8192, np.uint8)
+                held[there] = 1
+                yield chunk, np.packbits(held, bitorder="little").tobytes()
+
+        return batches_of(rows(), pa.schema([("chunk", pa.int32()), ("held", pa.binary())]))
+
+    chunks = ids.mapInArrow(bits, "chunk int, bit int").groupBy("chunk").agg(F.collect_set("bit").alias("there"))
+    found = bytearray(1 << (FILTER_BITS - 3))
+    for row in chunks.mapInArrow(packed, "chunk int, held binary").collect():
+        found[row["chunk"] << 10 : (row["chunk"] + 1) << 10] = row["held"]
+    return bytes(found)
+
+
+def _full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (cluster, uid, key, _id) with ``shingles``, from the texts.
+
+    The scan passes over documents whose bit is not set, so few texts are looked
+    at and none is shuffled; those that only share a bit go in the join behind.
+    """
+    wanted = map_side(pinned(wanted, "wanted"))
+    held = texts.sparkSession.sparkContext.broadcast(_filter(wanted.select("_id").distinct()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = held.value
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                column = batch.column("text")
+                for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                    bit = _bit(doc_id)
+                    if there[bit >> 3] >> (bit & 7) & 1:
+                        values = shingles.shingle_set(column[i].as_py())
+                        yield doc_id, _set_key(values), values.tobytes()
 
-    def rows() -> Iterator[tuple]:
-        for uid, key, text in rows_of(batches, "uid", "key", "text"):
-            values = shingles.shingle_set(text)
-            if _set_key(values) == key:
-                yield uid, values.tobytes()
+        return batches_of(rows(), pa.schema([("doc_id", pa.int64()), ("found", pa.binary()), ("shingles", pa.binary())]), most_bytes=4 << 20)
 
-    return batches_of(rows(), pa.schema([("uid", pa.int64()), ("shingles", pa.binary())]), most_bytes=4 << 20)
+    found = texts.select("doc_id", "text").mapInArrow(run, "doc_id long, found binary, shingles binary")
+    return found.join(wanted, found["doc_id"].eqNullSafe(wanted["_id"]) & (found["found"] == wanted["key"])).select("cluster", "uid", "shingles")
 
 
 def similar_texts(
@@ -311,20 +371,18 @@ def similar_texts(
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), empty_if_null(F.col(text_column)).alias("text"))
     marks = pinned(texts.select("doc_id", digest(F.col("text")).alias("digest"), "text").mapInArrow(_mark, _MARK_DDL), "marks")
     classes = pinned(marks.where("n_shingles > 0").groupBy("key").agg(F.min("uid").alias("uid")), "classes")
-    sets = pinned(marks.join(classes.select("uid"), "uid", "left_semi").select("uid", "doc_id", "key", "n_shingles", "sig"), "sets")
+    sets = pinned(marks.join(map_side(classes.select("uid")), "uid", "left_semi").select("uid", "doc_id", "key", "n_shingles", "sig"), "sets")
 
     leaves, opened = _leaves(sets.select("uid", "sig"), whole, depth)
-    places = _in_blocks(leaves, block).join(sets.select("uid", "n_shingles", "sig"), "uid").join(opened, "uid", "left")
-    places = places.select("place", "uid", "coordinate", "side", F.coalesce("open", F.lit(0)).alias("open"), "n_shingles", "sig")
+    signed = sets.select("uid", "n_shingles", "sig").join(opened, "uid", "left").withColumn("open", F.coalesce("open", F.lit(0)))
+    places = _in_blocks(leaves, block).join(signed, "uid").select("place", "uid", "coordinate", "side", "open", "n_shingles", "sig")
     suggested = places.repartition("place").sortWithinPartitions("place").mapInArrow(
         lambda batches: _suggest(batches, least, hundredths), "cluster long, uid long"
     )
     clusters = pinned(suggested, "clusters")
 
-    wanted = sets.join(clusters.select("uid"), "uid", "left_semi").select("uid", "key", F.col("doc_id").alias("_id"))
-    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"])).select("uid", "key", "text")
-    full = clusters.join(found.mapInArrow(_shingles_of, "uid long, shingles binary"), "uid")
-    links = full.select("cluster", "uid", "shingles").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(
+    wanted = clusters.join(sets.select("uid", "key", F.col("doc_id").alias("_id")), "uid")
+    links = _full_sets(texts, wanted).repartition("cluster").sortWithinPartitions("cluster").mapInArrow(
         lambda batches: _confirm(batches, hundredths), "a long, b long"
     )
     groups = connected_components(links)
