@@ -274,7 +274,13 @@ class PrefixCounts:
         for k in range(min(full + 1, len(pieces) - 1), full - 1, -1):
             piece = pieces[k]
             first = k - 1 if k and pieces[k - 1].isspace() else k
+            long = self._long_run(piece)
             for end in range(len(piece) - (k > full), 0, -1):
+                if long is not None and end > 1:
+                    # A long run is of one kind, so its prefixes are runs as well.
+                    if ahead[k] + long[end] <= budget:
+                        return int(starts[k]) + end
+                    continue
                 tail = piece[:end]
                 # White space before it joins a tail of white space, as nothing follows.
                 start = first if tail.isspace() else k
@@ -283,6 +289,17 @@ class PrefixCounts:
                     return int(starts[k]) + end
         return int(starts[full])
 
+    def _long_run(self, piece: str) -> list[int] | None:
+        """Token counts of all prefixes of a run that is too long to be remembered, by code points."""
+        run = piece.encode()
+        if len(run) <= LONG_PIECE:
+            return None
+        counts, at, found = self.within_piece(run), 0, [0]
+        for letter in piece:
+            at += len(letter.encode())
+            found.append(counts[at])
+        return found
+
 
 class _Remembered(dict):
     """Token counts of runs; what is missing is worked out."""
