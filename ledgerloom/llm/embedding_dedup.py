@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, pinned, rows_of
+from .common import batches_of, bounded_sample, pinned, rows_of
 from .components import connected_components
 
 #: Vectors that the centres are fitted on, and vectors per centre.
@@ -89,7 +89,7 @@ def _units(column: list[bytes]) -> np.ndarray:
 def _centres(points: DataFrame) -> dict[int, np.ndarray]:
     """Centres by length of vector, from at most ``SAMPLE`` vectors."""
     sizes = {r["dim"]: r["n"] for r in points.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(16).collect()}
-    rows = points.select("dim", "unit").orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE).collect()
+    rows = bounded_sample(points.select("uid", "dim", "unit"), "uid", SAMPLE).collect()
     found = {}
     for dim, n in sizes.items():
         sample = [bytes(r["unit"]) for r in rows if r["dim"] == dim]
@@ -351,7 +351,7 @@ class _Place:
 
 def _audit(points: DataFrame, counts: DataFrame, least: float) -> float:
     """Share of the links of a bounded set of vectors, by brute force over all rows, that were found."""
-    chosen = points.where("dim > 0").orderBy(F.xxhash64("uid", F.lit(3)), "uid").limit(AUDITED)
+    chosen = bounded_sample(points, "uid", AUDITED)
     asked = {r["uid"]: (r["dim"], bytes(r["unit"])) for r in chosen.select("uid", "dim", "unit").collect()}
     if not asked:
         return 1.0

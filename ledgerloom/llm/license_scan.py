@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, empty_if_null, rows_of
+from .common import batches_of, bounded_sample, empty_if_null, rows_of
 
 UNKNOWN = "unknown"
 
@@ -152,10 +152,11 @@ class Model(NamedTuple):
 
 def _ordinary(docs: DataFrame, sample: int, id_column: str, text_column: str) -> list[list[str]]:
     """Paragraphs like no template, from the documents with the smallest id hashes."""
-    chosen = docs.select(F.xxhash64(F.col(id_column).cast("long")).alias("h"), empty_if_null(F.col(text_column)).alias("text"))
+    chosen = docs.select(F.col(id_column).cast("long").alias("id"), empty_if_null(F.col(text_column)).alias("text"))
     # Two lines of a document at most, of at most 400 letters, are looked at on the driver.
     lines = F.slice(F.filter(F.split("text", "\n"), lambda x: x != ""), 1, 2)
-    rows = chosen.select("h", F.transform(lines, lambda x: F.substring(x, 1, 400)).alias("lines")).orderBy("h").limit(sample).collect()
+    short = chosen.select("id", F.transform(lines, lambda x: F.substring(x, 1, 400)).alias("lines"))
+    rows = bounded_sample(short, "id", sample).collect()
     found = [words_of(line) for r in rows for line in r["lines"]]
     return [w for w in found if w and held(w) < 0.3][:PARAGRAPHS]
 
