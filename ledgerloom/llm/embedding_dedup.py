@@ -9,7 +9,10 @@ from their medoids, and from itself where it is a member; around each vector
 found within range the search expands until nothing new is in range. Links are
 verified by their cosine in double precision. An audit of ``AUDITED`` vectors
 against all rows measures recall; while it is below ``recall``, the search is
-repeated over twice as many shards and with twice the beam.
+repeated over twice as many shards and with twice the beam. If that is not enough
+after ``ROUNDS`` rounds, every vector is compared with all members of every shard
+that can hold a vector in range: shards are left out only where the angles of
+their members to the centre, or the plane that parts two centres, rule it out.
 
 Sizes: equal vectors are one from the start. A shard is split so that a place
 holds at most ``PLACE`` members and ``PLACE`` searching vectors, so a third of
@@ -52,6 +55,8 @@ PLACE = 4096
 #: Vectors that a greedy search keeps at first; medoids that it starts from.
 BEAM, MEDOIDS = 24, 8
 AUDITED, RECALL, ROUNDS = 256, 0.99, 4
+#: Members, and comparing vectors, of one place of a whole scan; allowance for rounding of angles.
+WIDE, SLACK = 16_384, 1e-6
 
 _POINT_DDL = "uid long, vec_id long, dim int, key binary, unit binary"
 _POINT_SCHEMA = pa.schema([("uid", pa.int64()), ("vec_id", pa.int64()), ("dim", pa.int32()), ("key", pa.binary()), ("unit", pa.binary())])
@@ -349,6 +354,146 @@ class _Place:
             yield int(self.names[i]), 0, int(self.names[self.label[i]])
 
 
+def _homes(points: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """(uid, dim, region, angle): the nearest centre of each vector that has centres, and the angle to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("uid", pa.int64()), ("dim", pa.int32()), ("region", pa.int64()), ("angle", pa.float64())])
+
+        def rows() -> Iterator[tuple]:
+            for uid, dim, unit in rows_of(batches, "uid", "dim", "unit"):
+                if dim in centres:
+                    near = centres[dim] @ np.frombuffer(unit)
+                    region = int(near.argmax())
+                    yield uid, dim, region, math.acos(min(1.0, max(-1.0, float(near[region]))))
+
+        return batches_of(rows(), schema)
+
+    return points.select("uid", "dim", "unit").mapInArrow(run, "uid long, dim int, region long, angle double")
+
+
+class _Reach:
+    """The shards of vectors of one length: bundles of neighbouring ones, and which of them can hold a vector in range."""
+
+    def __init__(self, centres: np.ndarray, shards: list[tuple[int, int, float, float]], least: float) -> None:
+        self.centres, self.range = centres, math.acos(min(1.0, max(-1.0, least)))
+        self.sine = math.sqrt(1 - least * least) if 0 < least <= 1 else math.inf
+        #: Smallest and largest angle of members to their centre; shards without members reach nowhere.
+        self.least, self.most = np.full(len(centres), np.inf), np.full(len(centres), -np.inf)
+        counts = np.zeros(len(centres), np.int64)
+        for region, n, low, high in shards:
+            counts[region], self.least[region], self.most[region] = n, low, high
+        self.bundle = np.zeros(len(centres), np.int64)
+        left, at, bundle, held = np.ones(len(centres), bool), 0, 0, 0
+        for _ in range(len(centres)):
+            left[at] = False
+            if held and held + counts[at] > WIDE:
+                bundle, held = bundle + 1, 0
+            self.bundle[at], held = bundle, held + counts[at]
+            at = int(np.where(left, centres @ centres[at], -np.inf).argmax())
+
+    def __call__(self, unit: np.ndarray) -> tuple[int, list[int]]:
+        """The bundle that a vector is a member of, and those that it is compared with."""
+        near = self.centres @ unit
+        home = int(near.argmax())
+        angle = np.arccos(np.clip(near, -1, 1))
+        can = (angle - self.range <= self.most + SLACK) & (angle + self.range >= self.least - SLACK)
+        apart = np.sqrt(np.maximum(0, 2 - 2 * self.centres @ self.centres[home]))
+        can &= near[home] - near <= self.sine * apart + SLACK
+        can[home] = True
+        return int(self.bundle[home]), np.unique(self.bundle[can]).tolist()
+
+
+def _scanned(points: DataFrame, centres: dict[int, np.ndarray], least: float) -> DataFrame:
+    """(uid, found, other) like those of :func:`_found`, of all links.
+
+    A vector is a member of one shard only, so that no link counts twice.
+    """
+    shards: dict[int, list[tuple]] = {}
+    spread = _homes(points, centres).groupBy("dim", "region").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
+    # At most as many rows as there are centres.
+    for r in spread.collect():
+        shards.setdefault(r["dim"], []).append((r["region"], r["n"], r["low"], r["high"]))
+    reach = {dim: _Reach(centres[dim], found, least) for dim, found in shards.items()}
+
+    def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("uid", pa.int64()), ("home", pa.int64()), ("bundles", pa.list_(pa.int64()))])
+
+        def rows() -> Iterator[tuple]:
+            for uid, dim, unit in rows_of(batches, "uid", "dim", "unit"):
+                home, others = reach[dim](np.frombuffer(unit)) if dim in reach else (0, [0])
+                yield uid, (dim << 32) + home, [(dim << 32) + b for b in others]
+
+        return batches_of(rows(), schema)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches_of(_compared(batches, least), pa.schema([("uid", pa.int64()), ("found", pa.int64()), ("other", pa.int64())]))
+
+    asked = pinned(points.select("uid", "dim", "unit").mapInArrow(bundles, "uid long, home long, bundles array<long>"), "bundles")
+    asked = asked.select("uid", "home", F.explode("bundles").alias("bundle"))
+    sizes = asked.groupBy("bundle").agg(
+        F.ceil(F.count_if(F.col("bundle") == F.col("home")) / F.lit(WIDE)).cast("int").alias("parts"), F.ceil(F.count("*") / F.lit(WIDE)).cast("int").alias("blocks")
+    )
+    split = asked.join(pinned(sizes, "bundle_sizes"), "bundle")
+    part, block = F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("uid", F.lit(1)), F.col("blocks")).cast("int")
+    here = split.where("bundle = home").select("uid", "bundle", F.lit(True).alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"))
+    # A bundle of shards without members has nothing to compare with.
+    there = split.where("parts > 0").select("uid", "bundle", F.lit(False).alias("member"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = here.unionByName(there).withColumn("place", F.xxhash64("bundle", "part", "block"))
+    rows = both.join(points.select("uid", "unit", "copies"), "uid").select("place", "bundle", "part", "block", "member", "uid", "unit", "copies")
+    order = "place", "bundle", "part", "block", F.desc("member"), "uid"
+    return rows.repartition("place").sortWithinPartitions(*order).mapInArrow(compared, "uid long, found long, other long")
+
+
+def _compared(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[tuple]:
+    rows = rows_of(batches, "bundle", "part", "block", "member", "uid", "unit", "copies")
+    for _, run in groupby(rows, key=lambda r: r[:3]):
+        members, chunk, place = [], [], None
+        for row in run:
+            if row[3]:
+                members.append(row[4:])
+            elif members:
+                place = place or _Whole(members)
+                chunk.append(row[4:])
+                if len(chunk) == 256:
+                    place.take(chunk, least)
+                    chunk = []
+        if chunk:
+            place.take(chunk, least)
+        if place:
+            yield from place.links()
+
+
+class _Whole(_Place):
+    """The members of a place, all of which are compared."""
+
+    def __init__(self, members: list[tuple]) -> None:
+        uid, units, copies = zip(*members)
+        self.at = {u: i for i, u in enumerate(uid)}
+        self.names, self.units, self.copies = np.array(uid), _units(list(units)), np.array(copies)
+        self.label = np.arange(len(uid))
+        self.counted = []
+
+    def take(self, chunk: list[tuple], least: float) -> None:
+        uid, units, _ = zip(*chunk)
+        queries = _units(list(units))
+        cosine = queries @ self.units.T
+        near = cosine >= least
+        # What is as near as rounding goes is told alike from both ends.
+        q, x = np.nonzero(np.abs(cosine - least) < 1e-12)
+        near[q, x] = np.einsum("ij,ij->i", queries[q], self.units[x]) >= least
+        for q, u in enumerate(uid):
+            own = self.at.get(u, -1)
+            met = np.flatnonzero(near[q])
+            others = met[met != own]
+            if not len(others):
+                continue
+            labels = self.label[others] if own < 0 else self.label[np.append(others, own)]
+            if (labels != labels[0]).any():
+                self.label[np.isin(self.label, labels)] = labels.min()
+            self.counted.append((u, int(self.copies[others].sum()), int(others[0])))
+
+
 def _audit(points: DataFrame, counts: DataFrame, least: float) -> float:
     """Share of the links of a bounded set of vectors, by brute force over all rows, that were found."""
     chosen = bounded_sample(points, "uid", AUDITED)
@@ -395,9 +540,13 @@ def similar_vectors(
         links = pinned(_found(members, searches, points, lists, least, beam), "links")
         counts = links.groupBy("uid").agg(F.sum("found").alias("found"))
         measured = _audit(points, counts, least)
-        if measured >= recall or attempt + 1 == ROUNDS or not centres and beam >= PLACE:
+        if measured >= recall:
             break
         probes, beam = probes * 2, beam * 2
+    else:
+        links = pinned(_scanned(points, centres, least), "links")
+        counts = links.groupBy("uid").agg(F.sum("found").alias("found"))
+        measured = _audit(points, counts, least)
     groups = connected_components(links.select(F.col("uid").alias("a"), F.col("other").alias("b")))
     named = classes.join(counts, "uid", "left").join(groups.withColumnRenamed("id", "uid"), "uid", "left")
     named = named.select("key", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "uid").alias("_label"))

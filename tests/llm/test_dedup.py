@@ -171,6 +171,34 @@ def test_vectors_of_many_shards(spark, monkeypatch):
     assert got == expected
 
 
+def test_a_crowd_of_distinct_vectors_in_more_shards_than_are_searched(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD", 20)
+    monkeypatch.setattr(embedding_dedup, "WIDE", 150, raising=False)
+    rng = np.random.default_rng(6)
+    middle = rng.normal(size=16)
+    points = [middle / np.linalg.norm(middle) + 0.085 * rng.normal(size=16) for _ in range(900)] + list(rng.normal(size=(300, 16)))
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)] + [(2000 + i, [1.0, float(i)]) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    expected = links_of(rows)
+    assert linked_vectors(df, probes=1, beam=1) == expected
+    assert embedding_dedup.similar_vectors(df, probes=1, beam=1).first().audited_recall == 1.0
+
+
+def test_shards_out_of_range_are_left_out():
+    rng = np.random.default_rng(7)
+    units = np.concatenate([c + 0.1 * rng.normal(size=(40, 8)) for c in 3 * np.eye(8)])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    centres = embedding_dedup._fit(units, 30)
+    near = units @ centres.T
+    home, angle = near.argmax(axis=1), np.arccos(np.minimum(1, near.max(axis=1)))
+    shards = [(int(c), int((home == c).sum()), angle[home == c].min(), angle[home == c].max()) for c in np.unique(home)]
+    reach = embedding_dedup._Reach(centres, shards, 0.98)
+    reach.bundle = np.arange(len(centres))
+    searched = [set(reach(u)[1]) for u in units]
+    assert all(set(home[units @ u >= 0.98]) <= s for u, s in zip(units, searched))
+    assert max(map(len, searched)) < 15
+
+
 def test_awkward_vectors(spark):
     rows = [
         (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, []), (7, [1.0, None]),
