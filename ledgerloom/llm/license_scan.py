@@ -6,12 +6,17 @@ the templates whole, cut, with words lost and set among words of the corpus, and
 on paragraphs of a bounded sample of documents that resemble no template. A
 temperature and the probability from which a family is believed are set on rows
 held out from training. A believed family is confirmed by comparing the paragraph
-with the family's templates: it must hold most of the word pairs of one of them.
+with the family's templates: it must hold most of the word pairs of one of them. Notices
+that are wrapped are looked for in runs of adjacent lines with words: a stretch of
+lines that together hold most of a template's pairs, within twice the template's
+length, is judged like a paragraph.
 
 A document is read whole, alone and in place; nothing is shuffled. The sample of
-documents, fixed in size, is the only thing that reaches the driver.
+documents, fixed in size, is the only thing that reaches the driver: of two lines
+from anywhere in each, read at full length, their n-grams and some of their words.
 
-Defined results: a paragraph is a line with a word; null and empty texts have
+Defined results: a paragraph is a line with a word; a wrapped notice counts at its
+first line, and its lines by themselves no more; null and empty texts have
 none, and no licence; repeated rows come out each; among equally probable
 families the first by name counts; an empty table gives an empty one; other
 columns are not read.
@@ -22,6 +27,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -103,6 +109,10 @@ def words_of(paragraph: str) -> list[str]:
     return ["0" if w[0].isdigit() else w for w in _WORD.findall(paragraph.lower())]
 
 
+#: Words that open a comment line; other comment signs are no words.
+_COMMENT = re.compile(r"\s*(?:rem|dnl)\s", re.IGNORECASE)
+
+
 def _pairs(words: list[str]) -> set[tuple[str, str]]:
     return set(zip(words, words[1:])) or {(w, "") for w in words}
 
@@ -110,6 +120,11 @@ def _pairs(words: list[str]) -> set[tuple[str, str]]:
 _TEMPLATE_WORDS = [(family, words_of(t)) for family, ts in TEMPLATES.items() for t in ts]
 _TEMPLATE_PAIRS = [(family, _pairs(w)) for family, w in _TEMPLATE_WORDS]
 _FAMILIES = [*sorted(TEMPLATES), UNKNOWN]
+#: The templates, by number, that have a pair of words.
+_TEMPLATES_OF: dict[tuple[str, str], list[int]] = {}
+for _number, (_, _own) in enumerate(_TEMPLATE_PAIRS):
+    for _pair in sorted(_own):
+        _TEMPLATES_OF.setdefault(_pair, []).append(_number)
 #: n-grams of the templates by number; a text's other words make one more feature.
 _GRAMS = {g: i for i, g in enumerate(sorted({tuple(w[i : i + n]) for _, w in _TEMPLATE_WORDS for n in (1, 2, 3) for i in range(len(w) - n + 1)}))}
 _KNOWN = {g[0] for g in _GRAMS if len(g) == 1}
@@ -150,21 +165,47 @@ class Model(NamedTuple):
         return chances / chances.sum()
 
 
-def _ordinary(docs: DataFrame, sample: int, id_column: str, text_column: str) -> list[list[str]]:
+class Ordinary(NamedTuple):
+    """An ordinary paragraph: the numbers of its n-grams, and some of its words."""
+
+    found: list[int]
+    words: list[str]
+
+
+def _looked_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document, what :class:`Ordinary` has of two lines from anywhere in it, if they are like no template."""
+    kind = pa.list_(pa.struct([("found", pa.list_(pa.int64())), ("words", pa.list_(pa.string()))]))
+
+    def rows() -> Iterator[tuple]:
+        for id_, text in rows_of(batches, "id", "text"):
+            lines = [line for line in text.split("\n") if line]
+            rng, out = random.Random(str(id_)), []
+            for line in rng.sample(lines, min(2, len(lines))):
+                words = words_of(line)
+                if words and held(words) < 0.3:
+                    # Words that no template has are all alike to the model.
+                    some = ["" if w not in _KNOWN else w for w in words[:: -(-len(words) // 80)]]
+                    out.append({"found": features(words), "words": some})
+            yield id_, out
+
+    return batches_of(rows(), pa.schema([("id", pa.int64()), ("lines", kind)]))
+
+
+def _ordinary(docs: DataFrame, sample: int, id_column: str, text_column: str) -> list[Ordinary]:
     """Paragraphs like no template, from the documents with the smallest id hashes."""
     chosen = docs.select(F.col(id_column).cast("long").alias("id"), empty_if_null(F.col(text_column)).alias("text"))
-    # Two lines of a document at most, of at most 400 letters, are looked at on the driver.
-    lines = F.slice(F.filter(F.split("text", "\n"), lambda x: x != ""), 1, 2)
-    short = chosen.select("id", F.transform(lines, lambda x: F.substring(x, 1, 400)).alias("lines"))
-    rows = bounded_sample(short, "id", sample).collect()
-    found = [words_of(line) for r in rows for line in r["lines"]]
-    return [w for w in found if w and held(w) < 0.3][:PARAGRAPHS]
+    # A cut by hash first, wider than the sample, so that few texts are looked at.
+    share = min(1.0, 4 * sample / max(1, chosen.count()))
+    few = chosen.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) <= F.lit(int(share * (1 << 40))))
+    seen = few.mapInArrow(_looked_at, "id long, lines array<struct<found:array<long>,words:array<string>>>")
+    rows = bounded_sample(seen, "id", sample).collect()
+    return [Ordinary(list(x["found"]), list(x["words"])) for r in rows for x in r["lines"]][:PARAGRAPHS]
 
 
-def _examples(ordinary: list[list[str]], seed: int) -> tuple[list[list[int]], np.ndarray]:
+def _examples(ordinary: list[Ordinary], seed: int) -> tuple[list[list[int]], np.ndarray]:
     """Feature lists and family numbers, of templates varied and of ordinary paragraphs."""
     rng = random.Random(seed)
-    among = [w for p in ordinary for w in p] or ["a"]
+    among = [w for p in ordinary for w in p.words] or ["a"]
     rows, families = [], []
     for family, words in _TEMPLATE_WORDS:
         for _ in range(VARIANTS):
@@ -181,8 +222,8 @@ def _examples(ordinary: list[list[str]], seed: int) -> tuple[list[list[int]], np
         rng.shuffle(loose)
         rows.append(features(loose))
         families.append(len(_FAMILIES) - 1)
-    for p in [*ordinary, *([words_of(d) for d in DECOYS] * 10), []]:
-        rows.append(features(p))
+    for p in [*(x.found for x in ordinary), *([features(words_of(d)) for d in DECOYS] * 10), []]:
+        rows.append(p)
         families.append(len(_FAMILIES) - 1)
     return rows, np.array(families)
 
@@ -232,21 +273,89 @@ class Notice(NamedTuple):
     confirmed: bool
 
 
+def _judged(model: Model, words: list[str], paragraph: int, start: int) -> Notice | None:
+    """A paragraph's notice, if the model believes one."""
+    hits = features(words)
+    if hits:
+        chances = model.probabilities(hits)
+        family = int(chances[:-1].argmax())
+        if 1 - chances[-1] >= model.believed:
+            name = _FAMILIES[family]
+            return Notice(paragraph, start, name, float(chances[family]), held(words, name) >= HELD)
+    return None
+
+
+class _Line(NamedTuple):
+    paragraph: int
+    start: int
+    words: list[str]
+    #: Whether the line is a confirmed notice by itself.
+    sure: bool
+
+
+def _wrapped(model: Model, run: list[_Line]) -> list[tuple[Notice, int]]:
+    """Confirmed notices that take several lines of a run, each with its last paragraph."""
+    words = [w for line in run for w in line.words]
+    at = [i for i, line in enumerate(run) for _ in line.words]
+    hits: dict[int, list[tuple[int, tuple[str, str]]]] = {}
+    for i, pair in enumerate(zip(words, words[1:])):
+        for number in _TEMPLATES_OF.get(pair, ()):
+            hits.setdefault(number, []).append((i, pair))
+    stretches = set()
+    for number, places in hits.items():
+        pairs, reach = len(_TEMPLATE_PAIRS[number][1]), 2 * len(_TEMPLATE_WORDS[number][1])
+        if len(places) < HELD * pairs:
+            continue
+        inside: Counter = Counter()
+        first, best = 0, (0, 0, 0, 0)
+        for last, (i, pair) in enumerate(places):
+            inside[pair] += 1
+            while i - places[first][0] > reach or inside[places[first][1]] > 1:
+                inside[places[first][1]] -= 1
+                if not inside[places[first][1]]:
+                    del inside[places[first][1]]
+                first += 1
+            if len(inside) >= HELD * pairs:
+                # Of stretches that overlap, the one that holds most.
+                if best[0] and places[first][0] > best[3]:
+                    stretches.add((best[0] / pairs, best[2], best[3]))
+                    best = (0, 0, 0, 0)
+                best = max(best, (len(inside), places[first][0] - i, places[first][0], i + 1))
+        if best[0]:
+            stretches.add((best[0] / pairs, best[2], best[3]))
+    found, taken = [], {i for i, line in enumerate(run) if line.sure}
+    for _, first, last in sorted(stretches, key=lambda x: (-x[0], x[1], x[2])):
+        lines = range(at[first], at[last] + 1)
+        if len(lines) > 1 and taken.isdisjoint(lines):
+            notice = _judged(model, words[first : last + 1], run[lines[0]].paragraph, run[lines[0]].start)
+            if notice and notice.confirmed:
+                found.append((notice, run[lines[-1]].paragraph))
+                taken.update(lines)
+    return found
+
+
 def notices(model: Model, text: str) -> tuple[int, list[Notice]]:
     """Paragraphs of a text, and those that look like a licence notice."""
     found, count, start = [], 0, 0
+    run: list[_Line] = []
+    spans: list[tuple[Notice, int]] = []
     for line in text.split("\n"):
-        words = words_of(line)
+        words = words_of(_COMMENT.sub("", line, count=1) if _COMMENT.match(line) else line)
         if words or line.strip():
-            hits = features(words)
-            if hits:
-                chances = model.probabilities(hits)
-                family = int(chances[:-1].argmax())
-                if 1 - chances[-1] >= model.believed:
-                    name = _FAMILIES[family]
-                    found.append(Notice(count, start, name, float(chances[family]), held(words, name) >= HELD))
-            count += 1
+            notice = _judged(model, words, count, start)
+            if notice:
+                found.append(notice)
+        if words:
+            run.append(_Line(count, start, words, bool(notice and notice.confirmed)))
+        elif run:
+            spans += _wrapped(model, run) if len(run) > 1 else []
+            run = []
+        count += bool(words or line.strip())
         start += len(line) + 1
+    spans += _wrapped(model, run) if len(run) > 1 else []
+    if spans:
+        inside = {p for x, last in spans for p in range(x.paragraph, last + 1)}
+        found = sorted([x for x in found if x.paragraph not in inside] + [x for x, _ in spans], key=lambda x: x.paragraph)
     return count, found
 
 

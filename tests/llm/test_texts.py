@@ -103,6 +103,41 @@ def test_held_out_notices(spark):
         assert not [x for x in license_scan.notices(model, text)[1] if x.confirmed]
 
 
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:""",
+    "gpl": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+}
+
+
+@pytest.mark.parametrize("sign", ["", "# ", " * ", "// ", "dnl "])
+def test_wrapped_notices(spark, sign):
+    if not hasattr(test_wrapped_notices, "model"):
+        test_wrapped_notices.model = license_scan.fit(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    for family, text in WRAPPED.items():
+        before = "The river was low that year.\nNobody went to the mill.\n\n"
+        whole = before + "\n".join(sign + line for line in text.split("\n")) + "\n\nThe end of it."
+        sure = [x for x in license_scan.notices(test_wrapped_notices.model, whole)[1] if x.confirmed]
+        assert [(x.family, x.paragraph, x.start) for x in sure] == [(family, 2, len(before))]
+
+
+def test_ordinary_lines_come_from_anywhere_at_full_length(spark):
+    long = "so " * 300 + "the license of the software"
+    docs = spark.createDataFrame([(i, "one\ntwo\n" + "\n".join([long] * 6)) for i in range(30)], "doc_id long, text string")
+    found = license_scan._ordinary(docs, 100, "doc_id", "text")
+    assert len(found) == 60 and license_scan.features(license_scan.words_of(long)) in [x.found for x in found]
+
+
 def test_licences_of_awkward_rows(awkward, nothing):
     rows = license_scan.scan(awkward, license_scan.fit(awkward)).collect()
     assert len(rows) == len(AWKWARD) and all(r.license is None for r in rows)
