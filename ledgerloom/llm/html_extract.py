@@ -4,8 +4,10 @@ Method: a page is cut into blocks at the tags that browsers set apart. First
 pass: stop-word density, length and link density call each block good, bad or
 ambiguous; blocks in menus, headers, footers, sidebars, notices, adverts, forms
 and comments, told by their tags, roles and class names, are bad. Second pass:
-ambiguous blocks, which are short ones, take the label of the nearest decided
-neighbours. Good blocks, in page order, are the text.
+ambiguous blocks, most of them short, take the label of the nearest decided
+neighbours that are not around the article. Where most of what long blocks with
+few links hold is not in a language of the stop words, such blocks are good without
+them. Good blocks, in page order, are the text.
 
 Each page is read alone, in one pass over its tags, so work is in proportion to
 its length and nothing is shuffled.
@@ -217,6 +219,13 @@ def _first_pass(block: _Block, has_main: bool) -> int:
     return GOOD if size >= SOME and stops >= STOPS and block.linked <= LINKED / 2 * size else OPEN
 
 
+def _without_stop_words(labels: list[int], blocks: list[_Block]) -> list[int]:
+    """Labels in which long blocks with few links are good if stop words vouch for less than half of what those hold."""
+    long = {i for i, b in enumerate(blocks) if labels[i] != BAD and len(b.text) >= LONG and b.linked <= LINKED / 2 * len(b.text)}
+    vouched, all_ = (sum(len(blocks[i].text) for i in long if labels[i] in which) for which in ((GOOD,), (GOOD, OPEN)))
+    return labels if 2 * vouched >= all_ else [GOOD if i in long else label for i, label in enumerate(labels)]
+
+
 def _second_pass(labels: list[int], blocks: list[_Block]) -> list[int]:
     """Labels in which every ambiguous block has that of its nearest decided neighbours.
 
@@ -257,7 +266,11 @@ def main_text(page: str | None) -> str:
         if inside:
             for i, label in zip(at, _second_pass([labels[i] for i in at], [blocks[i] for i in at])):
                 labels[i] = label
-    labels = _second_pass(labels, blocks)
+    # What is around the article says nothing about what stands beside it.
+    at = [i for i, b in enumerate(blocks) if not b.around]
+    beside = [blocks[i] for i in at]
+    for i, label in zip(at, _second_pass(_without_stop_words([labels[i] for i in at], beside), beside)):
+        labels[i] = label
     return " ".join(b.text for b, label in zip(blocks, labels) if label == GOOD)
 
 

@@ -185,6 +185,21 @@ def test_pages_without_an_article_element():
     assert html_extract.main_text(page) == f"A title {good} Short one. {good}"
 
 
+@pytest.mark.parametrize(
+    "good",
+    [
+        "Река берёт начало в горах к северу от города и течёт через широкую долину, где весной цветут сады, а осенью собирают виноград; местные жители ловят рыбу. Дорога идёт вдоль берега.",
+        "这条河发源于城市北部的山区,流经宽阔的山谷。" * 9,
+        "Iron 7.9 g/cm3, copper 8.96 g/cm3, zinc 7.1 g/cm3, tin 7.3 g/cm3, lead 11.3 g/cm3, silver 10.5 g/cm3, gold 19.3 g/cm3, nickel 8.9 g/cm3, cobalt 8.9 g/cm3.",
+    ],
+)
+def test_pages_without_stop_words_or_an_article_element(good):
+    links = "".join(f'<li><a href="/{i}">Раздел {i}</a></li>' for i in range(8))
+    page = f"<body><nav><ul>{links}</ul></nav><div><h2>T</h2><p>{good}</p><p>Да.</p><p>{good}</p></div><ul>{links}</ul><footer><p>{good}</p></footer>"
+    assert html_extract.main_text(page) == f"T {good} Да. {good}"
+    assert html_extract.main_text(f"<nav>{links}</nav><p>Да.</p><footer>{links}</footer>") == "Да."
+
+
 def test_articles_of_a_corpus(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     import html
