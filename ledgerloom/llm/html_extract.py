@@ -3,7 +3,9 @@
 Method: a page is cut into blocks at the tags that browsers set apart. First
 pass: stop-word density, length and link density call each block good, bad or
 ambiguous; blocks in menus, headers, footers, sidebars, notices, adverts, forms
-and comments, told by their tags, roles and class names, are bad. Second pass:
+and comments, told by their tags, roles and class names, are bad; within the
+article only whole names count, and ids of headings and sections, which are made
+from titles, do not. Second pass:
 ambiguous blocks, most of them short, take the label of the nearest decided
 neighbours that are not around the article. Where most of what long blocks with
 few links hold is not in a language of the stop words, such blocks are good without
@@ -64,6 +66,11 @@ AROUND_NAMES = frozenset(
     pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar sidenav
     signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar tracking widget widgets""".split()
 )
+#: Words that make a name of one in AROUND_NAMES, as in share-buttons or related-posts.
+AROUND_COMPOUNDS = frozenset(
+    """area bar block bottom box btn button buttons container count head icon icons inline inner item items link links list
+    news outer page panel posts section site slot title top unit wrap wrapper""".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_TAGS = frozenset("article main".split())
 #: A class or id of which these parts both appear, or the id alone, holds the article.
@@ -103,13 +110,23 @@ def _is_around(tag: str, attributes: str, main: bool) -> bool:
         if name == "role" and value.lower() in AROUND_ROLES or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
             return True
         if name in ("class", "id") and tag not in ("html", "body", *MAIN_TAGS) or name in ("class", "id") and tag == "article":
+            if name == "id" and (tag in HEADINGS or main and _is_section(tag, attributes)):
+                continue
+            whole = main or tag in ("article", "section") or tag in HEADINGS
             for word in value.split():
                 parts = {p.lower() for p in _NAME_PARTS.findall(word)}
-                if parts & AROUND_NAMES and not parts & MAIN_NAMES:
+                if parts & AROUND_NAMES and not parts & MAIN_NAMES and not (whole and parts - AROUND_NAMES - AROUND_COMPOUNDS):
                     return True
     return False
 
 
+def _is_section(tag: str, attributes: str) -> bool:
+    """Whether an element is a section of a text, by its tag or a class as generators give it."""
+    return tag == "section" or any(
+        name.lower() == "class" and "section" in next(filter(None, values), "").lower().split() for name, *values in _ATTRIBUTE.findall(attributes)
+    )
+
+
 def _is_main(tag: str, attributes: str) -> bool:
     if tag in MAIN_TAGS:
         return True

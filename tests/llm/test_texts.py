@@ -200,6 +200,20 @@ def test_pages_without_stop_words_or_an_article_element(good):
     assert html_extract.main_text(f"<nav>{links}</nav><p>Да.</p><footer>{links}</footer>") == "Да."
 
 
+def test_names_made_from_titles():
+    part = "This is one of the paragraphs of the page, and it is long enough for the rules to take it as a part of the text that they look for."
+    sections = (
+        f'<h2 id="the-search-for-life">The search</h2><p>{part}</p><section id="discussion"><h2 id="discussion-1">Discussion</h2><p>{part}</p></section>'
+        f'<section id="form-and-function"><p>{part}</p></section><div class="section" id="related"><p>{part}</p></div><div id="notice-of-death"><p>{part}</p></div>'
+    )
+    around = f'<div class="share-buttons"><p>{part}</p></div><div class="related-posts"><p>{part}</p></div><div class="comments"><p>{part}</p></div>'
+    text = f"The search {part} Discussion {part} {part} {part} {part}"
+    assert html_extract.main_text(f"<article>{sections}{around}</article>") == text
+    assert html_extract.main_text(f'<article class="post tag-search" id="ad-astra">{sections}{around}</article>') == text
+    page = f'<div><h2 id="the-search-for-life">The search</h2><p>{part}</p><section id="form-and-function"><p>{part}</p></section>{around}</div>'
+    assert html_extract.main_text(f'{page}<section id="comments"><p>{part}</p></section>') == f"The search {part} {part}"
+
+
 def test_articles_of_a_corpus(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     import html
