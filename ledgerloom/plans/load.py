@@ -123,15 +123,6 @@ def load(name: str, raw: DataFrame) -> DataFrame:
     return readable.select(*_typed(table))
 
 
-def loadable(name: str) -> Column:
-    """Whether a load takes a raw row in."""
-    table = TABLES[name]
-    taken = ~is_blank(F.col(table.row_key))
-    for bad in _unreadable(table).values():
-        taken = taken & ~bad
-    return taken
-
-
 BLANK_KEY = "chave em branco"
 
 

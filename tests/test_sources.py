@@ -120,6 +120,13 @@ def test_onboarding(spark, raw, tmp_path):
     assert again.tables.sales.count() == 3 and again.tables.supplier.count() == 2
 
 
+def test_load_counts_see_a_row_that_the_load_loses(raw, monkeypatch):
+    whole = dict(rows_of(reconcile.load_counts(raw), "tabela", "final"))
+    monkeypatch.setattr(reconcile, "load", lambda name, rows: load.load(name, rows).where("false"), raising=False)
+    lost = dict(rows_of(reconcile.load_counts(raw), "tabela", "final"))
+    assert any(whole.values()) and not any(lost.values())
+
+
 def test_proofs(raw):
     typed = load.load_all(raw)
     assert ("supplier", 2, 1, 1) in rows_of(reconcile.row_count_differences(reconcile.row_counts(raw, typed)))
