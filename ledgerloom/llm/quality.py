@@ -62,7 +62,7 @@ class Model(NamedTuple):
 def shape(word: str) -> str:
     """Letters as a or A, digits as 9, runs of one sign as one."""
     out = []
-    for c in word[:64]:
+    for c in word:
         c = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != c:
             out.append(c)

@@ -252,6 +252,10 @@ def test_quality_on_held_out_labels(spark):
     assert mean([r for r in held_out if r.quality == 0]) < mean(toxic) < mean(clean)
 
 
+def test_shapes_are_of_whole_words():
+    assert quality.shape("x" * 100 + "42/Y") == "a9/A"
+
+
 def test_quality_of_awkward_rows(spark, awkward, nothing):
     labels = spark.createDataFrame(
         [(1, 1, 0), (1, 0, 0), (2, 1, None), (None, 1, 0), (99, 1, 1), (3, None, 0)], "doc_id long, quality int, toxic int"
