@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     embedding_dedup,
     exact_dedup,
+    exact_search,
     html_extract,
     license_scan,
     mixing,
@@ -17,6 +18,7 @@ from . import (
     quality,
     token_counts,
     token_output,
+    vector_codes,
 )
 from .common import read
 
@@ -66,6 +68,59 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade_documents(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.top_products(read(spark, sf_dir, "embeddings"), k=5, scale=256)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The training written out, one pair of tables a round."""
+    steps = [
+        f"""
+        WITH kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), places AS (
+            SELECT vec_id, label, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS w
+            FROM kept CROSS JOIN range({parts}) AS r(p)
+        ), book_0 AS (
+            SELECT p, dense_rank() OVER (ORDER BY vec_id) - 1 AS e, w
+            FROM places WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})
+        )"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""
+        assigned_{r} AS (
+            SELECT vec_id, label, a.p, a.w, arg_min(e, (d, e)) AS e, min(d) AS d
+            FROM (SELECT x.*, e, list_sum(list_transform(list_zip(x.w, b.w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+                  FROM places x JOIN book_{r} b ON b.p = x.p) a
+            GROUP BY ALL
+        )""")
+        if r < rounds:
+            steps.append(f"""
+        sums_{r} AS (
+            SELECT p, e, i, sum(w[i + 1]) AS s, count(*) AS n FROM assigned_{r}, range(len(w)) AS t(i) GROUP BY p, e, i
+        ), book_{r + 1} AS (
+            SELECT b.p, b.e, coalesce(any_value(m.w), any_value(b.w)) AS w
+            FROM book_{r} b LEFT JOIN (
+                SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS w FROM sums_{r} GROUP BY p, e
+            ) m ON m.p = b.p AND m.e = b.e GROUP BY b.p, b.e
+        )""")
+    return ",".join(steps) + f"""
+        , coded AS (
+            SELECT vec_id, label, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+            FROM assigned_{rounds} GROUP BY vec_id, label
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY p, e)) FROM book_{rounds}) AS codebooks_sha256
+        FROM coded
+    """
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_counts": op2_token_counts,
@@ -77,6 +132,8 @@ QUERIES: dict[str, Query] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_exact_topk": op11_exact_topk,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 ORACLE: dict[str, str] = {
@@ -138,4 +195,17 @@ ORACLE: dict[str, str] = {
         SELECT r.vec_id, coalesce(any_value(n), 0) AS n_links, min(other) AS component_id, r.vec_id = min(other) AS kept
         FROM reach r LEFT JOIN counted c ON c.vec_id = r.vec_id GROUP BY r.vec_id
     """,
+    "op11_exact_topk": """
+        WITH kept AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM kept q JOIN kept c ON c.vec_id IS DISTINCT FROM q.vec_id AND len(c.v) = len(q.v)
+            WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+        FROM scored QUALIFY rank <= 5
+    """,
+    "op12_vector_codes": _vector_codes_sql(),
 }
