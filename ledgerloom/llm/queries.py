@@ -16,6 +16,7 @@ from . import (
     near_dedup,
     packing,
     quality,
+    token_alignment,
     token_counts,
     token_output,
     vector_codes,
@@ -76,6 +77,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(read(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(read(spark, sf_dir, "documents"))
+
+
 def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
     """The training written out, one pair of tables a round."""
     steps = [
@@ -134,6 +139,7 @@ QUERIES: dict[str, Query] = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_exact_topk": op11_exact_topk,
     "op12_vector_codes": op12_vector_codes,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE: dict[str, str] = {
