@@ -30,9 +30,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +49,11 @@ SHARDS = 512
 #: Branches that a node of the summing tree adds up, and tasks of a branch.
 FAN = 16
 #: Remembered stretches of text and their tokens, beyond which a task starts afresh.
-STRETCHES = 200_000
+STRETCHES = 300_000
 TOKENS = 4_000_000
+#: Stretches of texts that are read before what is new is aligned, and letters that are aligned at once.
+AHEAD = 200_000
+AT_ONCE = 16_384
 #: Distinct pairs that a task tallies before it hands them on.
 TALLIED = 1_000_000
 #: Occurrences of infrequent pairs that one task looks up in a shard.
@@ -269,7 +272,10 @@ def _rare_counts(aligned: DataFrame, table: DataFrame, shared) -> DataFrame:
 
 
 class Aligner:
-    """Aligned stretches of text, numbered as they come; each worker keeps one for its tasks."""
+    """Aligned stretches of text, numbered as they come; each worker keeps one for its tasks.
+
+    New stretches wait until :meth:`align_waiting` encodes and aligns them together.
+    """
 
     _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -278,25 +284,35 @@ class Aligner:
         from tokenizers import Tokenizer
 
         self.a = bpe.vocabulary(a_path)
-        self.a_bytes = {i: token for token, i in self.a.ids.items()}
         self.a_library = Tokenizer.from_file(a_path)
         self.a_library.encode_special_tokens = True
         self.b = b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        n_a, n_b = max(self.a.ids.values()) + 1, b.get_piece_size()
+        self.a_bytes = [b""] * n_a
+        for token, i in self.a.ids.items():
+            self.a_bytes[i] = token
         # No text holds the byte FF, so an unknown piece differs from any.
-        self.b_bytes = [b"\xff" if b.is_unknown(i) else bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.get_piece_size())]
-        self.cuttable = not any("▁" in b.id_to_piece(i).lstrip("▁") for i in range(b.get_piece_size()))
+        self.b_bytes = [b"\xff" if b.is_unknown(i) else bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(n_b)]
+        self.a_lengths, self.b_lengths = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.cuttable = not any("▁" in b.id_to_piece(i).lstrip("▁") for i in range(n_b))
+        # Each id as text with what may stand behind it, in the order of the offsets below.
+        self.written = [f"{i}{mark}" for mark, n in ((",", n_a), ("|", n_a), (",", n_b), (";", n_b), ("\n", n_b)) for i in range(n)]
+        self.n_a, self.n_b = n_a, n_b
         self.clear()
 
     def clear(self) -> None:
         self.numbers = _Numbers(self)
-        self.facts = {name: array("q") for name in ("n_a", "n_b", "n_groups", "valid")}
-        self.links, self.ends = array("q"), array("q", [0])
+        self.waiting: list[str] = []
+        self.facts = np.zeros((4, 0), np.int64)
+        self.links, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
         self.groups: list[str] = []
 
     @property
     def full(self) -> bool:
         return len(self.groups) > STRETCHES or len(self.links) > TOKENS
 
+    n_a_of, n_b_of, n_groups_of, valid = (property(lambda self, k=k: self.facts[k]) for k in range(4))
+
     def stretches(self, text: str) -> list[int]:
         """The numbers of a text's stretches, in order."""
         if not self.cuttable:
@@ -307,42 +323,87 @@ class Aligner:
             found = list(map(self.numbers.__getitem__, self._CUT.split(" " + text)))
         return found
 
-    def fact(self, name: str) -> np.ndarray:
-        return np.array(self.facts[name], np.int64)
-
-    def add(self, stretch: str) -> int:
-        """``stretch`` begins with a space."""
-        a, b = self._ids(stretch), self.b.encode(stretch[1:])
-        whole = stretch.encode()
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        valid = b"".join(a_bytes) == whole and b"".join(b_bytes) == whole
-        links, groups = _linked(a, b, list(map(len, a_bytes)), list(map(len, b_bytes))) if valid else ([], [])
-        for name, fact in zip(self.facts, (len(a), len(b), len(groups), valid)):
-            self.facts[name].append(fact)
-        self.links.extend(links)
-        self.ends.append(len(self.links))
-        self.groups.append(";".join(groups))
-        return len(self.groups) - 1
-
-    def _ids(self, stretch: str) -> list[int]:
-        if self.a.fast is None or self.a.needs_library(stretch):
-            return self.a_library.encode(stretch, add_special_tokens=False).ids
-        return self.a.fast.encode_ordinary(stretch)
+    def align_waiting(self) -> None:
+        """Align what is new, many stretches at once."""
+        waiting, self.waiting = self.waiting, []
+        found: list[tuple] = []
+        at = 0
+        while at < len(waiting):
+            end, size = at, 0
+            while end < len(waiting) and (size < AT_ONCE or end == at):
+                size += len(waiting[end])
+                end += 1
+            found += self._each(waiting[at:end])
+            at = end
+        facts, links, ends = ([f[k] for f in found] for k in range(3))
+        ahead = len(self.links) + np.cumsum([0, *map(len, links)])
+        self.ends = np.concatenate([self.ends, *(e + n for e, n in zip(ends, ahead))])
+        self.facts, self.links = np.concatenate([self.facts, *facts], axis=1), np.concatenate([self.links, *links])
+        for f in found:
+            self.groups += f[3]
+
+    def _each(self, stretches: list[str]) -> list[tuple]:
+        found = self._aligned(stretches)
+        if found is not None:
+            return [found]
+        if len(stretches) == 1:
+            return [(np.zeros((4, 1), np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), [""])]
+        # One of them does not come back whole: each half by itself.
+        half = len(stretches) // 2
+        return self._each(stretches[:half]) + self._each(stretches[half:])
+
+    def _aligned(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]] | None:
+        """Facts, links and where they end, and groups of each stretch; None if any has no tokens.
+
+        Tokens of the stretches one behind another are those of each stretch.
+        """
+        text = "".join(stretches)
+        whole = text.encode()
+        a, b = self._ids(text), np.array(self.b.encode(text[1:]), np.int64)
+        for ids, tokens in ((a, self.a_bytes), (b, self.b_bytes)):
+            if b"".join(map(tokens.__getitem__, ids.tolist())) != whole:
+                return None
+        a_ends, b_ends = np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b])
+        cuts = np.cumsum([len(x.encode()) for x in stretches])
+        # Between two ends that follow one another lies the overlap of one token of each side.
+        both = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+        ends = both[np.r_[both[1:] != both[:-1], True]]
+        of_a, of_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+        common = ends[(a_ends[of_a] == ends) & (b_ends[of_b] == ends)]
+        if not np.isin(cuts, common).all():
+            raise ValueError("a token crosses the beginning of a word")
+        per = [np.searchsorted(x, cuts, "right") for x in (a_ends, b_ends, common, ends)]
+        facts = np.array([*(np.diff(x, prepend=0) for x in per[:3]), np.ones(len(cuts), np.int64)])
+        return facts, a[of_a] << 32 | b[of_b], per[3], self._written(a, b, a_ends, b_ends, common, cuts)
+
+    def _written(self, a, b, a_ends, b_ends, common, cuts) -> list[str]:
+        """The groups of each stretch as text."""
+        a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+        last = np.isin(b_ends, cuts).astype(np.int64)
+        codes = np.concatenate([a + self.n_a * (common[a_group] == a_ends), 2 * self.n_a + b + self.n_b * ((common[b_group] == b_ends) + last)])
+        # A group's tokens of A, then its tokens of B.
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        return "".join(map(self.written.__getitem__, codes[order].tolist())).split("\n")[:-1]
+
+    def _ids(self, text: str) -> np.ndarray:
+        if self.a.fast is None or self.a.needs_library(text):
+            return np.array(self.a_library.encode(text, add_special_tokens=False).ids, np.int64)
+        return np.array(self.a.fast.encode_ordinary(text), np.int64)
 
 
 class _Numbers(dict):
-    """Numbers of stretches; one that is new is aligned."""
+    """Numbers of stretches; one that is new waits to be aligned."""
 
     def __init__(self, aligner: Aligner) -> None:
         self.aligner = aligner
 
     def __missing__(self, stretch: str) -> int:
-        if stretch[:1] == " ":
-            number = self.aligner.add(stretch)
-        elif stretch.strip() != stretch or not stretch:
+        known = self.aligner
+        if stretch[:1] != " " and (stretch.strip() != stretch or not stretch):
             number = _NOT_ALONE
         else:
-            number = self.aligner.add(" " + stretch)
+            number = len(known.groups) + len(known.waiting)
+            known.waiting.append(stretch if stretch[:1] == " " else " " + stretch)
         self[stretch] = number
         return number
 
@@ -352,29 +413,6 @@ def aligner(paths: tuple[str, str]) -> Aligner:
     return Aligner(*paths)
 
 
-def _linked(a: list[int], b: list[int], a_lengths: list[int], b_lengths: list[int]) -> tuple[list[int], list[str]]:
-    """The pairs of all overlapping tokens, and the groups between common ends."""
-    links, groups = [], []
-    i = j = first_a = first_b = 0
-    a_end, b_end = a_lengths[0], b_lengths[0]
-    while True:
-        links.append(a[i] << 32 | b[j])
-        if a_end == b_end:
-            groups.append(",".join(map(str, a[first_a : i + 1])) + "|" + ",".join(map(str, b[first_b : j + 1])))
-            i, j = i + 1, j + 1
-            first_a, first_b = i, j
-            if i == len(a):
-                return links, groups
-            a_end += a_lengths[i]
-            b_end += b_lengths[j]
-        elif a_end < b_end:
-            i += 1
-            a_end += a_lengths[i]
-        else:
-            j += 1
-            b_end += b_lengths[j]
-
-
 class _Tally:
     """Pair counts of a task, folded whenever many have come together."""
 
@@ -408,22 +446,26 @@ def _texts(batches: Iterator[pa.RecordBatch], known: Aligner) -> Iterator[tuple[
         for text in batch.column("text").to_pylist():
             held.append(known.stretches(text) if text else [])
             n += len(held[-1])
-            if known.full or n > TOKENS:
+            if n > AHEAD:
+                known.align_waiting()
                 yield batch, start, start + len(held), held
                 start, held, n = start + len(held), [], 0
                 if known.full:
                     known.clear()
         if held:
+            known.align_waiting()
             yield batch, start, start + len(held), held
+            if known.full:
+                known.clear()
 
 
 def _flat(held: list[list[int]], known: Aligner) -> tuple[np.ndarray, np.ndarray]:
     """The stretches of all texts that have tokens, and how many each text has; 0 for others."""
     lengths = np.array([len(x) for x in held], np.int64)
-    flat = np.fromiter((i for x in held for i in x), np.int64, int(lengths.sum()))
+    flat = np.fromiter(chain.from_iterable(held), np.int64, int(lengths.sum()))
     owner = np.repeat(np.arange(len(held)), lengths)
     wrong = np.zeros(len(held), bool)
-    wrong[owner[known.fact("valid")[flat] == 0]] = True
+    wrong[owner[known.valid[flat] == 0]] = True
     return flat[~wrong[owner]], np.where(wrong, 0, lengths)
 
 
@@ -433,11 +475,8 @@ def _tallied(paths: tuple[str, str]):
         branch = TaskContext.get().partitionId() // FAN
         for _, _, _, held in _texts(batches, known):
             flat, _ = _flat(held, known)
-            times = np.bincount(flat, minlength=len(known.groups))
-            ends = np.array(known.ends, np.int64)
-            links = np.array(known.links, np.int64)
-            each = np.repeat(times, np.diff(ends))
-            tally.add(links[each > 0], each[each > 0])
+            each = np.repeat(np.bincount(flat, minlength=len(known.groups)), np.diff(known.ends))
+            tally.add(known.links[each > 0], each[each > 0])
             if tally.waiting > 4 * TALLIED and tally.fold() > TALLIED:
                 yield tally.rows(branch)
         yield tally.rows(branch)
@@ -461,8 +500,8 @@ class _Looked:
         start, n = len(self.best), len(known.groups)
         if n == start:
             return
-        ends = np.array(known.ends[start:], np.int64)
-        keys = np.array(known.links[ends[0] : ends[-1]], np.int64)
+        ends = known.ends[start:]
+        keys = known.links[ends[0] : ends[-1]]
         counts, found = self.frequent.find(keys)
         best = found & (counts == self.highest[np.minimum(keys & 0xFFFFFFFF, len(self.highest) - 1)])
         of = np.repeat(np.arange(n - start), np.diff(ends))
@@ -505,8 +544,8 @@ def _aligned_rows(batch: pa.RecordBatch, held: list[list[int]], known: Aligner,
     def per_text(fact: np.ndarray) -> np.ndarray:
         return np.diff(np.r_[0, np.cumsum(fact[flat])][ends])
 
-    n_a, n_b, n_groups = (per_text(known.fact(c)) for c in ("n_a", "n_b", "n_groups"))
-    n_links = per_text(np.diff(np.array(known.ends, np.int64)))
+    n_a, n_b, n_groups = map(per_text, (known.n_a_of, known.n_b_of, known.n_groups_of))
+    n_links = per_text(np.diff(known.ends))
     n_rare = per_text(looked.rare)
     digests, rare = [], ([], [], [])
     for k, n in enumerate(lengths.tolist()):

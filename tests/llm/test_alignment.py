@@ -100,17 +100,16 @@ def test_memory_that_is_full_changes_nothing(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     paths = token_alignment.default_paths()
 
-    def rows(stretches, tallied, tokens):
-        for name, value in (("STRETCHES", stretches), ("TALLIED", tallied), ("TOKENS", tokens)):
+    def rows(stretches, tallied, ahead):
+        for name, value in (("STRETCHES", stretches), ("TALLIED", tallied), ("AHEAD", ahead)):
             monkeypatch.setattr(token_alignment, name, value)
         tallies, known = token_alignment._Tally(), token_alignment.Aligner(*paths)
         batch = df.toArrow().to_batches()[0]
         facts = []
         for _, start, end, held in token_alignment._texts(iter([batch]), known):
             flat, lengths = token_alignment._flat(held, known)
-            links, ends = np.array(known.links, np.int64), np.array(known.ends, np.int64)
-            each = np.repeat(np.bincount(flat, minlength=len(known.groups)), np.diff(ends))
-            tallies.add(links[each > 0], each[each > 0])
+            each = np.repeat(np.bincount(flat, minlength=len(known.groups)), np.diff(known.ends))
+            tallies.add(known.links[each > 0], each[each > 0])
             facts += [(len(x) if n else 0) for x, n in zip(held, lengths)]
         tallies.fold()
         return facts, tallies.keys[0].tolist(), tallies.times[0].tolist()
