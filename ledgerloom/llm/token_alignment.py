@@ -355,11 +355,17 @@ class Aligner:
     def _aligned(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]] | None:
         """Facts, links and where they end, and groups of each stretch; None if any has no tokens.
 
-        Tokens of the stretches one behind another are those of each stretch.
+        Tokens of stretches one behind another are those of each stretch, unless one
+        ends in white space, as the last of a text may: there the encoding starts anew.
         """
-        text = "".join(stretches)
-        whole = text.encode()
-        a, b = self._ids(text), np.array(self.b.encode(text[1:]), np.int64)
+        runs, start = [], 0
+        for k, stretch in enumerate(stretches, 1):
+            if stretch[-1].isspace() or k == len(stretches):
+                runs.append("".join(stretches[start:k]))
+                start = k
+        whole = "".join(runs).encode()
+        a = np.concatenate([self._ids(r) for r in runs])
+        b = np.fromiter(chain.from_iterable(self.b.encode([r[1:] for r in runs], num_threads=1)), np.int64)
         for ids, tokens in ((a, self.a_bytes), (b, self.b_bytes)):
             if b"".join(map(tokens.__getitem__, ids.tolist())) != whole:
                 return None
