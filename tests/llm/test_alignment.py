@@ -57,10 +57,15 @@ def plainly(texts):
     for (ids, spans), here in zip(found, links):
         groups = []
         if ids:
-            cuts = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
-            for start, end in zip([0, *cuts], cuts):
-                sides = (",".join(str(i) for i, (s, e) in zip(x, y) if start <= s and e <= end) for x, y in zip(ids, spans))
-                groups.append("|".join(sides))
+            cuts = {e for _, e in spans[0]} & {e for _, e in spans[1]}
+            sides = []
+            for x, y in zip(ids, spans):
+                sides.append([[]])
+                for i, (_, e) in zip(x, y):
+                    sides[-1][-1].append(str(i))
+                    if e in cuts:
+                        sides[-1].append([])
+            groups = [",".join(p) + "|" + ",".join(q) for p, q in zip(*sides)][:-1]
         best = sum(counts[p] == highest[p[1]] for p in here)
         digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
         n_a, n_b = (len(x) for x in ids) if ids else (0, 0)

@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     assert {*QUERIES, "pipeline"} <= set(queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE) <= set(oracle_sql())
 
 
