@@ -295,13 +295,26 @@ def _scoreboard_history(spark: SparkSession, folder: str) -> DataFrame:
     return trend(spark, path)
 
 
+_EVENT_KEYS = ["user_id", "event_type"]
+
+
 def _repeat_stream(spark: SparkSession, folder: str) -> DataFrame:
     events = StarSchema(spark, folder).stream("events")
-    keys = ["user_id", "event_type"]
-    counts = repeated_keys(events, keys, "ts")
-    alerts = RepeatAlerts(keys, scratch_path(spark, "repeats"))
-    alerts.run(counts)
-    return alerts.alerts(counts)
+    found = repeated_keys(events, _EVENT_KEYS, "ts")
+    alerts = RepeatAlerts(_EVENT_KEYS, scratch_path(spark, "repeats"))
+    alerts.run(found)
+    return alerts.alerts(found)
+
+
+def _late_events(spark: SparkSession, folder: str) -> DataFrame:
+    """All events in three arrivals, every tenth of them only with the last, each taken in by a run of its own."""
+    events = StarSchema(spark, folder).table("events")
+    inbox, alerts = scratch_path(spark, "inbox"), RepeatAlerts(_EVENT_KEYS, scratch_path(spark, "repeats"))
+    for arrival in ("event_id % 10 <> 9 AND ts < DATE '2024-01-16'", "event_id % 10 <> 9 AND ts >= DATE '2024-01-16'", "event_id % 10 = 9"):
+        events.where(arrival).write.mode("append").parquet(inbox)
+        found = repeated_keys(spark.readStream.schema(events.schema).parquet(inbox), _EVENT_KEYS, "ts")
+        alerts.run(found)
+    return alerts.late(found)
 
 
 # ---- contract ---------------------------------------------------------------
@@ -400,6 +413,7 @@ def _queries() -> dict[str, Query]:
         "ST2": _supplier_stream,
         "ST3": _scoreboard_history,
         "ST4": _repeat_stream,
+        "ST4-late": _late_events,
     }
 
 

@@ -926,5 +926,8 @@ FROM (SELECT cat.*,
         "ST4": "SELECT CAST(ts AS DATE) AS dia, user_id, event_type, count(*) AS ocorrencias,"
         " count(DISTINCT strftime(ts, '%H:%M:%S')) AS horarios_distintos FROM events"
         " GROUP BY 1, 2, 3 HAVING count(*) > 1",
+        "ST4-late": "SELECT CAST(ts AS DATE) AS dia, user_id, event_type, date_trunc('second', ts) AS horario FROM events"
+        " WHERE event_id % 10 = 9 AND CAST(ts AS DATE) + INTERVAL 1 DAY <="
+        " (SELECT date_trunc('milliseconds', max(ts)) FROM events WHERE event_id % 10 <> 9) - INTERVAL 2 DAY",
     }
     return out

@@ -1,10 +1,29 @@
-"""Alert on documents that arrive more than once within a day."""
+"""Alert on documents that arrive more than once within a day, and on rows too late to tell.
+
+State is kept per document: for each day that is still open the number of rows
+and their different times of day. A day closes when the watermark passes its
+end; a timer then drops it. So a document's state holds the days within ``delay``
+of the newest arrival, and a day at most as many times as it has seconds. Rows
+of a closed day are counted nowhere and come out as a result of their own.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import date, datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+REPEATED, LATE = "REPETIDO", "ATRASADO"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_EPOCH = date(1970, 1, 1)
+_DAY_MS = 86_400_000
 
 
 def as_instant(local: Column) -> Column:
@@ -14,55 +33,109 @@ def as_instant(local: Column) -> Column:
     )
 
 
+class OpenDays(StatefulProcessor):
+    """Counts a document's rows by day, and sets aside rows of days that are closed."""
+
+    def __init__(self, keys: list[str]):
+        self.keys = keys
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # The different times are whole seconds of the day, as 32-bit numbers in order.
+        self.days = handle.getMapState("days", "dia int", "ocorrencias long, horarios binary")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        arrived: dict[int, list[int]] = {}
+        for row in rows:
+            if (row._day + 1) * _DAY_MS <= watermark:
+                yield self._row(key, LATE, row._day, row._second, None, None)
+            else:
+                arrived.setdefault(row._day, []).append(row._second)
+        for day, seconds in arrived.items():
+            count, times = self.days.getValue((day,)) if self.days.containsKey((day,)) else (0, b"")
+            if not count:
+                self.handle.registerTimer((day + 1) * _DAY_MS)
+            known = array("I", bytes(times))
+            different = sorted({*known, *seconds})
+            count += len(seconds)
+            self.days.updateValue((day,), (count, array("I", different).tobytes()))
+            if count > 1:
+                yield self._row(key, REPEATED, day, None, count, len(different))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.days.removeKey((expiredTimerInfo.getExpiryTimeInMs() // _DAY_MS - 1,))
+        yield from ()
+
+    def _row(self, key, kind: str, day: int, second: int | None, count: int | None, different: int | None) -> Row:
+        dia = _EPOCH + timedelta(days=day)
+        at = None if second is None else datetime.combine(dia, datetime.min.time()) + timedelta(seconds=second)
+        return Row(**dict(zip(self.keys, key)), tipo=kind, dia=dia, horario=at, ocorrencias=count, horarios_distintos=different)
+
+
 def repeated_keys(stream: DataFrame, keys: list[str], time: str, delay: str = "2 days") -> DataFrame:
-    """Running count of arrivals per key and day, and of the different times among them.
+    """Per document and day the count so far, if above one, and each late row.
 
-    State is kept per key and day until the day is ``delay`` behind the newest
-    arrival. Rows later than that no longer raise an alert; the batch check on
-    the stored rows still finds them.
+    Columns: the keys, ``tipo`` (REPETIDO or ATRASADO), ``dia``, ``horario`` of a
+    late row, and for repeated documents ``ocorrencias`` and
+    ``horarios_distintos``. A row counts as late once its day ended ``delay``
+    before the newest row that arrived with an earlier micro-batch.
     """
-    return (
-        stream.withColumns({"_at": as_instant(F.col(time)), "dia": F.to_date(time)})
-        .withWatermark("_at", delay)
-        .groupBy(F.window("_at", "1 day").alias("_day"), "dia", *keys)
-        # A day has a bounded number of seconds, so the set of times is bounded too.
-        .agg(
-            F.count("*").alias("ocorrencias"),
-            F.size(F.collect_set(F.date_format(time, "HH:mm:ss"))).alias("horarios_distintos"),
-        )
-        .drop("_day")
-    )
+    second = F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)
+    marked = stream.where(F.col(time).isNotNull()).withColumn("_at", as_instant(F.col(time))).withWatermark("_at", delay)
+    # Without the time column itself the late rows are not filtered out ahead of the processor.
+    rows = marked.select(*keys, F.unix_date(F.to_date(time)).alias("_day"), second.cast("int").alias("_second"))
+    fields = [*[stream.schema[k] for k in keys], T.StructField("tipo", T.StringType()), T.StructField("dia", T.DateType())]
+    fields += [T.StructField("horario", T.TimestampNTZType()), T.StructField("ocorrencias", T.LongType()), T.StructField("horarios_distintos", T.IntegerType())]
+    return rows.groupBy(*keys).transformWithState(OpenDays(keys), T.StructType(fields), "Update", "EventTime")
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    """State with timers needs this store; the session's own choice is put back."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
 
 
 class RepeatAlerts:
-    """Stores the counts each micro-batch changed; the latest count per key is the alert."""
+    """Stores what each micro-batch found; the latest count of a document and day is the alert.
+
+    A batch that is replayed after a failure overwrites its own folder.
+    """
 
     def __init__(self, keys: list[str], folder: str):
         self.keys = keys
         self.folder = folder.rstrip("/")
 
-    def run(self, counts: DataFrame) -> None:
-        query = (
-            counts.writeStream.outputMode("update")
-            .foreachBatch(self._store)
-            .option("checkpointLocation", f"{self.folder}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
+    def run(self, found: DataFrame) -> None:
+        """Take in everything that has arrived, then stop; a later run goes on from there."""
+        with _rocksdb(found.sparkSession):
+            query = (
+                found.writeStream.outputMode("update")
+                .foreachBatch(self._store)
+                .option("checkpointLocation", f"{self.folder}/checkpoint")
+                .trigger(availableNow=True)
+                .start()
+            )
+            query.awaitTermination()
 
     def _store(self, batch: DataFrame, batch_id: int) -> None:
-        batch.where("ocorrencias > 1").write.mode("overwrite").parquet(
-            f"{self.folder}/counts/batch={batch_id}"
-        )
+        batch.write.mode("overwrite").partitionBy("tipo").parquet(f"{self.folder}/found/batch={batch_id}")
 
-    def alerts(self, like: DataFrame) -> DataFrame:
-        """Keys seen more than once in a day; counts only grow, so the largest is current."""
-        spark = like.sparkSession
+    def _found(self, like: DataFrame, kind: str) -> DataFrame:
         schema = T.StructType([*like.schema.fields, T.StructField("batch", T.LongType())])
-        return (
-            spark.read.schema(schema)
-            .parquet(f"{self.folder}/counts")
-            .groupBy("dia", *self.keys)
-            .agg(F.max("ocorrencias").alias("ocorrencias"), F.max("horarios_distintos").alias("horarios_distintos"))
+        return like.sparkSession.read.schema(schema).parquet(f"{self.folder}/found").where(F.col("tipo") == kind)
+
+    def alerts(self, like: DataFrame) -> DataFrame:
+        """Documents seen more than once in a day; counts only grow, so the largest is current."""
+        return self._found(like, REPEATED).groupBy("dia", *self.keys).agg(
+            F.max("ocorrencias").alias("ocorrencias"), F.max("horarios_distintos").alias("horarios_distintos")
         )
+
+    def late(self, like: DataFrame) -> DataFrame:
+        """Rows that came when their day was closed."""
+        return self._found(like, LATE).select("dia", *self.keys, "horario")

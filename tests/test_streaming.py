@@ -1,6 +1,6 @@
 """Streams over several arrivals, and batches that run twice."""
 
-from datetime import date
+from datetime import date, datetime
 
 from conftest import rows_of
 
@@ -119,6 +119,55 @@ def test_repeats_across_arrivals(spark, tmp_path):
     assert rows_of(alerts.alerts(counts)) == [(date(2025, 2, 1), 1, 3, 3)]
 
 
+def _documents(spark, rows, folder):
+    values = ", ".join(f"({'NULL' if d is None else d}, timestamp_ntz'{at}')" if at else f"({d}, NULL)" for d, at in rows)
+    df = spark.sql(f"SELECT * FROM VALUES {values} AS t(doc, at)").selectExpr("CAST(doc AS BIGINT) doc", "CAST(at AS TIMESTAMP_NTZ) at")
+    _arrive(df, folder)
+    return df.schema
+
+
+def test_late_rows_are_told_over_restarts(spark, tmp_path):
+    """Every arrival is a run of its own that goes on from the checkpoint."""
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    arrivals = [
+        [(1, "2025-02-01 08:00:00"), (2, "2025-02-01 09:00:00"), (None, "2025-02-01 09:00:00"), (3, None)],
+        # The day before is open for two more days; a repeated second is one time.
+        [(1, "2025-02-01 08:00:00.5"), (1, "2025-02-01 23:59:59"), (None, "2025-02-01 10:00:00"), (9, "2025-02-04 00:00:00")],
+        # Now it is closed, and its rows are late, also a document's first; the third of February is not.
+        [(1, "2025-02-01 12:00:00"), (4, "2025-02-01 12:00:00"), (1, "2025-02-03 12:00:00"), (1, "2025-02-03 12:00:00")],
+        [(1, "2025-02-03 13:00:00"), (9, "2025-02-09 00:00:00")],
+        [(1, "2025-02-03 14:00:00")],
+    ]
+    late = []
+    for rows in arrivals:
+        schema = _documents(spark, rows, inbox)
+        alerts = RepeatAlerts(["doc"], out)
+        found = repeated_keys(_stream(spark, schema, inbox), ["doc"], "at")
+        alerts.run(found)
+        late.append(alerts.late(found).count())
+    assert late == [0, 0, 2, 2, 3]
+    assert rows_of(alerts.late(found), "doc", "dia", "horario") == [
+        (1, date(2025, 2, 1), datetime(2025, 2, 1, 12)),
+        (1, date(2025, 2, 3), datetime(2025, 2, 3, 14)),
+        (4, date(2025, 2, 1), datetime(2025, 2, 1, 12)),
+    ]
+    assert rows_of(alerts.alerts(found)) == [
+        (date(2025, 2, 1), 1, 3, 2),
+        (date(2025, 2, 1), None, 2, 2),
+        (date(2025, 2, 3), 1, 3, 2),
+    ]
+
+
+def test_state_of_closed_days_is_dropped(spark, tmp_path):
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in ([(i, "2025-02-01 08:00:00") for i in range(20)], [(0, "2025-02-07 08:00:00")]):
+        schema = _documents(spark, rows, inbox)
+        alerts = RepeatAlerts(["doc"], out)
+        alerts.run(repeated_keys(_stream(spark, schema, inbox), ["doc"], "at"))
+    state = spark.read.format("statestore").option("stateVarName", "days").load(f"{out}/checkpoint")
+    assert rows_of(state.selectExpr("key.doc", "user_map_key.dia")) == [(0, (date(2025, 2, 7) - date(1970, 1, 1)).days)]
+
+
 def test_history_of_the_scoreboard(spark, tables, tmp_path):
     folder = str(tmp_path / "runs")
     empty = tables()
