@@ -246,7 +246,7 @@ def _new_suppliers(spark: SparkSession, folder: str) -> DataFrame:
     star = StarSchema(spark, folder)
     events = resolve.code_wins(star.changes)
     suppliers = star.typed.supplier
-    return resolve.register(resolve.unknown_codes(events, suppliers), suppliers)
+    return resolve.register(resolve.unknown_codes(events, suppliers), suppliers).drop("desde")
 
 
 def _backfill(spark: SparkSession, folder: str) -> DataFrame:

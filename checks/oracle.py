@@ -180,34 +180,43 @@ SELECT *, op = 'UPDATE' AND new_idfornecedor IS DISTINCT FROM old_idfornecedor A
             THEN new_idfornecedor_num END AS num,
        nullif(trim(new_idfornecedor), '') AS codigo
 FROM mud"""
+# The events one by one: ``novos`` are the codes registered so far, in that order.
+_CTES["ordem"] = """
+SELECT *, row_number() OVER (ORDER BY seq) AS i,
+       EXISTS (SELECT 1 FROM forn WHERE forn.idfornecedor = passo.codigo) AS cadastrado FROM passo"""
+_CTES["andar"] = """
+SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS novos
+UNION ALL
+SELECT o.i, CASE WHEN o.num IS NULL AND o.codigo IS NOT NULL AND NOT o.cadastrado AND NOT list_contains(a.novos, o.codigo)
+                 THEN list_append(a.novos, o.codigo) ELSE a.novos END
+FROM andar a JOIN ordem o ON o.i = a.i + 1"""
+_CTES["topo"] = "SELECT max(fornecedor_num) AS m FROM forn"
 _CTES["novos"] = """
-SELECT codigo AS idfornecedor,
-       CAST((SELECT max(fornecedor_num) FROM forn) + row_number() OVER (ORDER BY codigo) AS INT) AS fornecedor_num,
-       'FORNECEDOR PENDENTE DE CADASTRO - ' || codigo AS razao_social
-FROM (SELECT DISTINCT codigo FROM passo WHERE num IS NULL AND codigo IS NOT NULL) c
-WHERE NOT EXISTS (SELECT 1 FROM forn WHERE forn.idfornecedor = c.codigo)"""
+SELECT novos[k] AS idfornecedor, CAST(m + k AS INT) AS fornecedor_num,
+       'FORNECEDOR PENDENTE DE CADASTRO - ' || novos[k] AS razao_social
+FROM (SELECT novos, unnest(range(1, len(novos) + 1)) AS k FROM (SELECT novos FROM andar ORDER BY i DESC LIMIT 1)), topo"""
 _CTES["resolvido"] = """
-SELECT p.seq, p.op, p.filial_id, p.idproduto, p.new_idfornecedor, p.new_idfornecedor_num,
-       p.texto_mudou, p.numero_mudou,
-       CASE WHEN p.num IS NOT NULL AND n.idfornecedor IS NULL THEN 'RECUSADO'
-            WHEN p.num IS NOT NULL THEN 'NUMERO'
-            WHEN p.codigo IS NULL THEN 'VAZIO'
-            WHEN v.idfornecedor IS NOT NULL THEN 'CODIGO NOVO' ELSE 'CODIGO' END AS ramo,
-       CASE WHEN p.num IS NOT NULL AND n.idfornecedor IS NULL THEN NULL
-            WHEN p.num IS NOT NULL THEN
-                 CASE WHEN p.new_idfornecedor IS NULL OR p.numero_mudou THEN n.idfornecedor
-                      ELSE p.new_idfornecedor END
-            ELSE p.codigo END AS idfornecedor,
-       CASE WHEN p.num IS NOT NULL AND n.idfornecedor IS NULL THEN NULL
-            ELSE coalesce(p.num, f.fornecedor_num, v.fornecedor_num) END AS idfornecedor_num
-FROM passo p
-LEFT JOIN forn n ON n.fornecedor_num = p.num
-LEFT JOIN forn f ON p.num IS NULL AND f.idfornecedor = p.codigo
-LEFT JOIN novos v ON p.num IS NULL AND v.idfornecedor = p.codigo"""
+SELECT seq, op, filial_id, idproduto, new_idfornecedor, new_idfornecedor_num, texto_mudou, numero_mudou, ramo,
+       CASE WHEN ramo = 'NUMERO' AND (new_idfornecedor IS NULL OR numero_mudou) THEN dono
+            WHEN ramo = 'NUMERO' THEN new_idfornecedor
+            WHEN ramo <> 'RECUSADO' THEN codigo END AS idfornecedor,
+       CASE WHEN ramo = 'NUMERO' THEN num WHEN ramo = 'CODIGO' AND cadastrado THEN proprio
+            WHEN ramo IN ('CODIGO', 'CODIGO NOVO') THEN CAST(m + list_position(depois, codigo) AS INT) END AS idfornecedor_num
+FROM (
+    SELECT p.*, m, d.novos AS depois, f.fornecedor_num AS proprio, coalesce(n.idfornecedor, a.novos[p.num - m]) AS dono,
+           CASE WHEN p.num IS NOT NULL AND n.idfornecedor IS NULL AND NOT p.num - m BETWEEN 1 AND len(a.novos) THEN 'RECUSADO'
+                WHEN p.num IS NOT NULL THEN 'NUMERO'
+                WHEN p.codigo IS NULL THEN 'VAZIO'
+                WHEN NOT p.cadastrado AND NOT list_contains(a.novos, p.codigo) THEN 'CODIGO NOVO' ELSE 'CODIGO' END AS ramo
+    FROM ordem p JOIN andar a ON a.i = p.i - 1 JOIN andar d ON d.i = p.i, topo
+    LEFT JOIN forn n ON n.fornecedor_num = p.num
+    LEFT JOIN forn f ON p.num IS NULL AND f.idfornecedor = p.codigo
+)"""
 
 _NEEDS = {
     "l_forn": ["r_forn"], "l_cat": ["r_cat"], "l_ped": ["r_ped"], "l_ent": ["r_ent"], "l_ven": ["r_ven"],
-    "passo": ["mud"], "novos": ["passo", "forn"], "resolvido": ["novos", "passo", "forn"],
+    "passo": ["mud"], "ordem": ["passo", "forn"], "andar": ["ordem"], "topo": ["forn"],
+    "novos": ["andar", "topo"], "resolvido": ["andar", "ordem", "topo", "forn"],
 }
 
 
@@ -222,7 +231,7 @@ def _ordered(names: list[str]) -> list[str]:
 
 def _query(tables: str, body: str, **local: str) -> str:
     ctes = {name: _CTES[name] for name in _ordered(tables.split())} | local
-    return "WITH " + ",\n".join(f"{n} AS ({sql})" for n, sql in ctes.items()) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({sql})" for n, sql in ctes.items()) + "\n" + body
 
 
 def _day(expr: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.session import pinned
@@ -15,6 +15,40 @@ def next_number(df: DataFrame, column: str) -> int:
     return df.agg(F.coalesce(F.max(column), F.lit(0)).alias("top")).first()["top"] + 1
 
 
+class NumberMark:
+    """The highest number ever handed out, so that none is handed out twice.
+
+    Kept beside the register it belongs to, as rows that are only added: the
+    largest counts. A writer adds its row before its numbers are used, so a
+    failure between the two leaves a gap and never a number used twice. ``step``
+    names the writer's turn; with ``before`` a turn that is repeated starts where
+    it started the first time.
+    """
+
+    _SCHEMA = "step long, last long"
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, f"{folder.rstrip('/')}/numbers"
+
+    def last(self, before: int | None = None) -> int:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return 0
+        marks = self.spark.read.schema(self._SCHEMA).parquet(self.folder)
+        if before is not None:
+            marks = marks.where(F.col("step") < before)
+        return marks.agg(F.coalesce(F.max("last"), F.lit(0)).alias("top")).first()["top"]
+
+    def advance(self, last: int, step: int = 0) -> None:
+        row = self.spark.range(1).select(F.lit(step).cast("long").alias("step"), F.lit(last).cast("long").alias("last"))
+        row.write.mode("append").parquet(self.folder)
+
+    def restart(self, last: int) -> None:
+        """A full load begins its numbers anew."""
+        row = self.spark.range(1).select(F.lit(0).cast("long").alias("step"), F.lit(last).cast("long").alias("last"))
+        row.write.mode("overwrite").parquet(self.folder)
+
+
 def number_rows(df: DataFrame, order_by: Sequence[str], out: str, start: int | Column) -> DataFrame:
     """Add ``out`` = ``start``, ``start + 1``, ... in ``order_by`` order.
 

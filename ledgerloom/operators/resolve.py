@@ -1,9 +1,12 @@
-"""Supplier keys for product changes, as one set operation.
+"""Supplier keys for product changes, as one set operation in the order of events.
 
-Every change event carries the supplier code and number before and after. The
-outcome of an event depends on its own values and on the supplier table only,
-so all events are resolved together; the last accepted event per product then
-gives its final state.
+Every change event carries the supplier code and number before and after. An
+event sees the suppliers known before the batch and those that earlier events
+registered. Whether an event registers a supplier depends on its own values and
+on who comes first with a code, never on a number being accepted: so the first
+use of each unknown code settles all registrations at once, and an event's place
+behind or before them settles the rest. The last accepted event per product gives
+its final state.
 
 Order of precedence for an event:
 
@@ -12,7 +15,11 @@ Order of precedence for an event:
    missing or the number is what changed;
 3. no number and no code: both stay empty;
 4. a known code: its number is copied;
-5. an unknown code: a supplier is registered once and gets the next number.
+5. an unknown code: the first event that needs it registers a supplier, which gets
+   the next number; later events find a known code.
+
+A number that the batch hands out is accepted behind the event that registered
+it and rejected before it.
 
 An insert that brings a code and a valid number keeps both as they are, even
 if they belong to different suppliers; :func:`mismatched_pairs` lists those.
@@ -29,6 +36,7 @@ from ledgerloom.functions.casts import blank_to_null
 from ledgerloom.model.labels import PENDING_SUPPLIER, UNKNOWN_NUMBER
 from ledgerloom.operators.numbering import next_number, number_rows
 from ledgerloom.operators.skew import lookup_join
+from ledgerloom.session import pinned
 
 # Branch an event took (fixed values)
 NUMBER_KEPT = "NUMERO"
@@ -90,48 +98,54 @@ def code_wins(changes: DataFrame) -> DataFrame:
 
 
 def unknown_codes(events: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """Codes to register: used where a code decides, and absent from the suppliers."""
+    """Codes to register, with the first event that needs each: ``idfornecedor``, ``desde``.
+
+    A code is needed where it decides, and unknown if the suppliers lack it.
+    """
     codes = (
         events.where("num IS NULL")
-        .select(blank_to_null(F.col("new_idfornecedor")).alias("idfornecedor"))
+        .select(blank_to_null(F.col("new_idfornecedor")).alias("idfornecedor"), "seq")
         .where("idfornecedor IS NOT NULL")
-        .distinct()
+        .groupBy("idfornecedor")
+        .agg(F.min("seq").alias("desde"))
     )
     return codes.join(suppliers.select("idfornecedor"), ["idfornecedor"], "left_anti")
 
 
-def register(codes: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """New suppliers numbered above all numbers in use, in code order."""
-    return number_rows(
-        codes, ["idfornecedor"], "fornecedor_num", next_number(suppliers, "fornecedor_num")
-    ).select(
+def register(codes: DataFrame, suppliers: DataFrame, last_number: int = 0) -> DataFrame:
+    """New suppliers in the order of their first events, numbered above all numbers in use.
+
+    Numbers up to ``last_number`` were handed out before, maybe to suppliers that
+    are gone, and are not handed out again.
+    """
+    first = max(next_number(suppliers, "fornecedor_num"), last_number + 1)
+    return number_rows(codes, ["desde", "idfornecedor"], "fornecedor_num", first).select(
         "idfornecedor",
         "fornecedor_num",
         F.concat(F.lit(PENDING_SUPPLIER), "idfornecedor").alias("razao_social"),
+        "desde",
     )
 
 
-def resolve(changes: DataFrame, suppliers: DataFrame) -> Resolution:
-    """Resolve change events against the suppliers known before them.
+def resolve(changes: DataFrame, suppliers: DataFrame, last_number: int = 0) -> Resolution:
+    """Resolve change events, in the order of ``seq``, against a supplier register.
 
     ``changes``: seq, op (INSERT or UPDATE), filial_id, idproduto and the old
-    and new value of idfornecedor and idfornecedor_num. A number must exist
-    before the batch: one that the batch itself hands out is not accepted.
+    and new value of idfornecedor and idfornecedor_num.
     """
     events = code_wins(changes)
     suppliers = suppliers.select("idfornecedor", "fornecedor_num", "razao_social")
-    new = register(unknown_codes(events, suppliers), suppliers)
+    # Read three times below; numbers are handed out once.
+    new = pinned(register(unknown_codes(events, suppliers), suppliers, last_number), "registered")
 
+    known = suppliers.withColumn("desde", F.lit(None).cast("long")).unionByName(new)
     by_number = (
-        suppliers.where("fornecedor_num IS NOT NULL")
+        known.where("fornecedor_num IS NOT NULL")
         .groupBy(F.col("fornecedor_num").alias("num"))
-        .agg(F.min("idfornecedor").alias("code_of_num"))
+        .agg(F.min("idfornecedor").alias("code_of_num"), F.min("desde").alias("num_since"))
     )
-    by_code = (
-        suppliers.select("idfornecedor", "fornecedor_num", F.lit(False).alias("is_new"))
-        .unionByName(new.select("idfornecedor", "fornecedor_num", F.lit(True).alias("is_new")))
-        .groupBy(F.col("idfornecedor").alias("code"))
-        .agg(F.min("fornecedor_num").alias("num_of_code"), F.min("is_new").alias("is_new"))
+    by_code = known.groupBy(F.col("idfornecedor").alias("code")).agg(
+        F.min("fornecedor_num").alias("num_of_code"), F.min("desde").alias("code_since")
     )
     # Only rows whose number is empty look their code up.
     events = events.withColumn(
@@ -141,11 +155,12 @@ def resolve(changes: DataFrame, suppliers: DataFrame) -> Resolution:
     events = lookup_join(events, by_code, ["code"], "left")
 
     has_number = F.col("num").isNotNull()
+    not_there = F.col("code_of_num").isNull() | F.coalesce(F.col("num_since") >= F.col("seq"), F.lit(False))
     branch = (
-        F.when(has_number & F.col("code_of_num").isNull(), REJECTED)
+        F.when(has_number & not_there, REJECTED)
         .when(has_number, NUMBER_KEPT)
         .when(F.col("code").isNull(), EMPTY)
-        .when(F.col("is_new"), NEW_CODE)
+        .when(F.col("code_since") == F.col("seq"), NEW_CODE)
         .otherwise(KNOWN_CODE)
     )
     follows = F.col("new_idfornecedor").isNull() | F.col("numero_mudou")
@@ -162,7 +177,7 @@ def resolve(changes: DataFrame, suppliers: DataFrame) -> Resolution:
         {"idfornecedor": text, "idfornecedor_num": number}
     )
     kept = [*changes.columns, "texto_mudou", "numero_mudou", "ramo", "idfornecedor", "idfornecedor_num"]
-    return Resolution(resolved.select(*kept), new)
+    return Resolution(resolved.select(*kept), new.drop("desde"))
 
 
 def unlinked_products(products: DataFrame) -> DataFrame:
@@ -179,9 +194,9 @@ def unlinked_products(products: DataFrame) -> DataFrame:
     )
 
 
-def backfill(products: DataFrame, suppliers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Products with their numbers filled in, and the suppliers this registered."""
-    outcome = resolve(unlinked_products(products), suppliers)
+def backfill(products: DataFrame, suppliers: DataFrame, last_number: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Products with their numbers filled in, and the suppliers this registered, in code order."""
+    outcome = resolve(unlinked_products(products), suppliers, last_number)
     linked = products.where("idfornecedor_num IS NOT NULL")
     keys = ["filial_id", "idproduto"]
     found = products.where("idfornecedor_num IS NULL").drop("idfornecedor", "idfornecedor_num").join(

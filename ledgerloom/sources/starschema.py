@@ -211,7 +211,9 @@ CHANGES = {
     "new_idfornecedor_num": (
         "CASE WHEN p_partkey % 5 <= 1 AND turn = 0 AND p_partkey % 10 <> 5 THEN NULL"
         " WHEN p_partkey % 10 = 5 AND turn = 0 THEN CAST((p_partkey + 4) % 9 AS INT)"
-        " WHEN p_partkey % 5 = 4 THEN 99999999"
+        # Some of these numbers exist, some are handed out on the way, most never are.
+        " WHEN p_partkey % 10 = 9 THEN CAST(p_partkey + 2 AS INT)"
+        " WHEN p_partkey % 5 = 4 THEN CAST(p_partkey + 1 AS INT)"
         " WHEN p_partkey % 5 = 3 AND p_partkey % 7 = 0 THEN NULL"
         f" WHEN p_partkey % 5 = 3 OR p_partkey % 15 = 2 THEN CAST({_NEXT} AS INT)"
         " ELSE CAST(p_partkey % 9 AS INT) END"

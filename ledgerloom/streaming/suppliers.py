@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.model.schema import SUPPLIER
+from ledgerloom.operators.numbering import NumberMark
 from ledgerloom.operators.resolve import resolve
 
 _NEW = T.StructType([*SUPPLIER.typed_schema.fields, T.StructField("batch", T.LongType())])
@@ -16,15 +17,16 @@ class SupplierStream:
     """Resolves micro-batches against a supplier register that grows with them.
 
     Batch ``n`` sees the given suppliers and those registered by batches below
-    ``n``, never its own: a replay gives the same numbers and overwrites the
-    same folders. One writer at a time, as numbers are handed out from the
-    largest in use.
+    ``n``; its own register as its events come. A replay gives the same numbers and
+    overwrites the same folders. One writer at a time: numbers are handed out above
+    the highest that ever was, also if its supplier has been removed since.
     """
 
     def __init__(self, suppliers: DataFrame, folder: str):
         self.base = suppliers.select("idfornecedor", "fornecedor_num", "razao_social")
         self.spark = suppliers.sparkSession
         self.folder = folder.rstrip("/")
+        self.mark = NumberMark(self.spark, self.folder)
 
     def run(self, changes: DataFrame) -> None:
         query = (
@@ -38,7 +40,10 @@ class SupplierStream:
     def _resolve(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            outcome = resolve(batch, self.suppliers(before=batch_id))
+            outcome = resolve(batch, self.suppliers(before=batch_id), self.mark.last(before=batch_id))
+            top = outcome.new_suppliers.agg(F.max("fornecedor_num").alias("top")).first()["top"]
+            if top is not None:
+                self.mark.advance(top, step=batch_id)
             outcome.new_suppliers.write.mode("overwrite").parquet(
                 f"{self.folder}/suppliers/batch={batch_id}"
             )

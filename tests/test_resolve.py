@@ -1,9 +1,12 @@
 """Supplier resolution, branch by branch."""
 
+import random
+
 import pytest
 from conftest import rows_of
 
 from ledgerloom.operators import resolve
+from ledgerloom.operators.numbering import NumberMark
 
 SCHEMA = (
     "seq bigint, op string, filial_id int, idproduto string, old_idfornecedor string,"
@@ -66,10 +69,12 @@ def test_branches(outcome, op, old, new, expected):
 def test_one_registration_for_many_rows(outcome):
     result = outcome(*[("INSERT", f"P{i}", NONE, (code, None)) for i, code in enumerate(["F99", " F99", "F98", "F99"])])
     assert rows_of(result.new_suppliers) == [
-        ("F98", 21, "FORNECEDOR PENDENTE DE CADASTRO - F98"),
-        ("F99", 22, "FORNECEDOR PENDENTE DE CADASTRO - F99"),
+        ("F98", 22, "FORNECEDOR PENDENTE DE CADASTRO - F98"),
+        ("F99", 21, "FORNECEDOR PENDENTE DE CADASTRO - F99"),
+    ]
+    assert rows_of(result.events, "seq", "ramo", "idfornecedor_num") == [
+        (0, "CODIGO NOVO", 21), (1, "CODIGO", 21), (2, "CODIGO NOVO", 22), (3, "CODIGO", 21),
     ]
-    assert {r["idfornecedor_num"] for r in result.events.collect()} == {21, 22}
     assert result.notices.count() == 2
 
 
@@ -135,3 +140,81 @@ def test_apply_keeps_products_without_events_and_adds_new_ones(outcome, tables):
         ("P2", "F6", 6),
         ("P3", "F7", 7),
     ]
+
+
+def test_a_number_counts_from_the_event_that_registered_it(outcome):
+    result = outcome(
+        ("INSERT", "P1", NONE, (None, 21)),  # not there yet
+        ("INSERT", "P2", NONE, ("F99", None)),  # registers 21
+        ("INSERT", "P3", NONE, (None, 21)),
+        ("UPDATE", "P4", ("F1", 1), ("F1", 21)),
+        ("INSERT", "P5", NONE, (None, 22)),
+        ("INSERT", "P6", NONE, ("F50", None)),  # registers 22
+        ("INSERT", "P7", NONE, ("F2", 22)),  # a pair that does not belong together stays
+    )
+    assert rows_of(result.events, "seq", "ramo", "idfornecedor", "idfornecedor_num") == [
+        (0, "RECUSADO", None, None),
+        (1, "CODIGO NOVO", "F99", 21),
+        (2, "NUMERO", "F99", 21),
+        (3, "NUMERO", "F99", 21),
+        (4, "RECUSADO", None, None),
+        (5, "CODIGO NOVO", "F50", 22),
+        (6, "NUMERO", "F2", 22),
+    ]
+
+
+def one_by_one(events, register):
+    """The rule applied to one event after the other, as a trigger would."""
+    register, found = dict(register), []
+    for seq, op, _, _, old_code, old_num, code, num in events:
+        text_changed, number_changed = (op == "UPDATE" and a != b for a, b in ((code, old_code), (num, old_num)))
+        if text_changed:
+            num = None
+        if num is not None:
+            owner = next((c for c, n in register.items() if n == num), None)
+            if owner is None:
+                found.append((seq, "RECUSADO", None, None))
+            else:
+                found.append((seq, "NUMERO", owner if code is None or number_changed else code, num))
+            continue
+        code = (code or "").strip(" ") or None
+        if code is None:
+            found.append((seq, "VAZIO", None, None))
+            continue
+        branch = "CODIGO" if code in register else "CODIGO NOVO"
+        register.setdefault(code, max(register.values()) + 1)
+        found.append((seq, branch, code, register[code]))
+    return found, register
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_events_as_one_by_one(spark, suppliers, seed):
+    draw = random.Random(seed)
+    codes = [None, "", " ", *[f"F{i}" for i in (1, 2, 3, 30, 31, 32, 33, 34)], " F30", "F31 "]
+    numbers = [None, None, 1, 2, 20, *range(21, 28)]
+    events = []
+    for seq in draw.sample(range(1000), 150):
+        old = (draw.choice(codes), draw.choice(numbers)) if draw.random() < 0.6 else (None, None)
+        new = (draw.choice([draw.choice(codes), old[0]]), draw.choice([draw.choice(numbers), old[1]]))
+        events.append((seq, draw.choice(["INSERT", "UPDATE"]), 1, f"P{draw.randrange(30)}", *old, *new))
+    result = resolve.resolve(spark.createDataFrame(events, SCHEMA).repartition(4), suppliers)
+    expected, register = one_by_one(sorted(events), {f"F{i}": i for i in range(1, 21)})
+    assert rows_of(result.events, "seq", "ramo", "idfornecedor", "idfornecedor_num") == sorted(expected, key=lambda r: [str(v) for v in r])
+    assert dict(rows_of(result.new_suppliers, "idfornecedor", "fornecedor_num")) == {c: n for c, n in register.items() if n > 20}
+
+
+def test_numbers_are_never_handed_out_twice(spark, suppliers, tmp_path):
+    """The largest supplier is registered, removed, and its number stays used."""
+    mark = NumberMark(spark, str(tmp_path))
+    assert mark.last() == 0
+    insert = [(0, "INSERT", 1, "P1", None, None, "F99", None)]
+    first = resolve.resolve(spark.createDataFrame(insert, SCHEMA), suppliers, mark.last()).new_suppliers
+    assert rows_of(first, "idfornecedor", "fornecedor_num") == [("F99", 21)]
+    mark.advance(21, step=0)
+    # F99 is deleted: the register is what it was before.
+    again = resolve.resolve(spark.createDataFrame(insert, SCHEMA), suppliers, mark.last()).new_suppliers
+    assert rows_of(again, "idfornecedor", "fornecedor_num") == [("F99", 22)]
+    mark.advance(22, step=1)
+    assert (mark.last(), mark.last(before=1), mark.last(before=0)) == (22, 21, 0)
+    mark.restart(20)
+    assert mark.last() == 20
