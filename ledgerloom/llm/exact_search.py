@@ -168,7 +168,7 @@ def _of_length(place: pa.Table, length: int, k: int, parts: int, named) -> Itera
     asked = place.column("query").is_valid().to_numpy()
     if not asked.any() or asked.all():
         return
-    flat = place.column("v").combine_chunks().flatten().to_numpy().reshape(-1, length)
+    flat = place.column("v").combine_chunks().flatten().to_numpy().reshape(len(asked), length)
     exact = _numbers_for(flat[asked], flat[~asked])
     questions, candidates = flat[asked].astype(exact), flat[~asked].astype(exact)
     ids, known = _ids(place.column("vec_id"))
