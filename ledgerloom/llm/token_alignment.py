@@ -49,13 +49,15 @@ SHARDS = 512
 #: Branches that a node of the summing tree adds up, and tasks of a branch.
 FAN = 16
 #: Remembered stretches of text and their tokens, beyond which a task starts afresh.
-STRETCHES = 300_000
-TOKENS = 4_000_000
+STRETCHES = 120_000
+TOKENS = 2_000_000
 #: Stretches of texts that are read before what is new is aligned, and letters that are aligned at once.
-AHEAD = 200_000
+AHEAD = 100_000
 AT_ONCE = 16_384
+#: Texts that are Python strings at once.
+TEXTS = 256
 #: Distinct pairs that a task tallies before it hands them on.
-TALLIED = 1_000_000
+TALLIED = 500_000
 #: Occurrences of infrequent pairs that one task looks up in a shard.
 LOOKED_UP = 4_000_000
 #: Marks the end of a space-separated stretch that cannot stand alone.
@@ -449,7 +451,8 @@ def _texts(batches: Iterator[pa.RecordBatch], known: Aligner) -> Iterator[tuple[
     """Runs of rows with the stretches of their texts; behind a run the aligner may be cleared."""
     for batch in batches:
         start, held, n = 0, [], 0
-        for text in batch.column("text").to_pylist():
+        texts = batch.column("text")
+        for text in chain.from_iterable(texts.slice(k, TEXTS).to_pylist() for k in range(0, len(texts), TEXTS)):
             held.append(known.stretches(text) if text else [])
             n += len(held[-1])
             if n > AHEAD:
@@ -483,7 +486,7 @@ def _tallied(paths: tuple[str, str]):
             flat, _ = _flat(held, known)
             each = np.repeat(np.bincount(flat, minlength=len(known.groups)), np.diff(known.ends))
             tally.add(known.links[each > 0], each[each > 0])
-            if tally.waiting > 4 * TALLIED and tally.fold() > TALLIED:
+            if tally.waiting > 2 * TALLIED and tally.fold() > TALLIED:
                 yield tally.rows(branch)
         yield tally.rows(branch)
 
