@@ -38,6 +38,7 @@ _CTES: dict[str, str] = {}
 for _name, (_source, _typed, _raw) in _SOURCES.items():
     _CTES[_ALIAS[_name]] = _select(_typed, _source)
     _CTES["r_" + _ALIAS[_name]] = _select(_raw, _source)
+_CTES["dia"] = "SELECT CAST(unnest(generate_series(DATE '1997-02-01', DATE '1997-02-28', INTERVAL 1 DAY)) AS DATE) AS d"
 _CTES["sheet"] = _select(star.ORDER_SHEET, _LINES)
 _CTES["mud"] = _select(
     star.CHANGES,
@@ -595,6 +596,40 @@ _P13 = (
 )
 
 
+_TEXT = "coalesce(CAST({} AS VARCHAR), '?')"
+
+
+def _row_text(values: list[str]) -> str:
+    return " || '|' || ".join(_TEXT.format(v) for v in values)
+
+
+_WIDE_RAW = "coalesce(CAST(TRY_CAST(trim({0}) AS DECIMAL(18,6)) AS VARCHAR), trim({0}))"
+_RAW_KEYS = [_whole("venda_id", "BIGINT"), "trim(produto_id)", _whole("item", "INT")]
+_RAW_KEY = ", ".join(f"{v} AS {c}" for v, c in zip(_RAW_KEYS, ("venda_id", "produto_id", "item")))
+_RAW_ROW = _row_text([
+    "trim(data_emissao)", f"coalesce({_blank('horariomov')}, '00:00:00')", _WIDE_RAW.format("qtde_vendida"), _WIDE_RAW.format("valor_unitario"),
+    f"coalesce(CAST({_whole('filial_id', 'INT')} AS VARCHAR), trim(filial_id))", _blank("unidade_medida"),
+])
+_TYPED_ROW = _row_text([
+    "data_emissao", "horariomov", "CAST(qtde_vendida AS DECIMAL(18,6))", "CAST(valor_unitario AS DECIMAL(18,6))", "filial_id", "unidade_medida",
+])
+_RAW_ALL = (
+    f"SELECT {_RAW_KEY}, md5({_row_text(_RAW_KEYS)}) AS k, md5({_row_text(_RAW_KEYS)} || '|' || {_RAW_ROW}) AS h"
+    f" FROM r_ven WHERE {_blank('venda_id')} IS NOT NULL"
+)
+_TYPED_KEYS = _row_text(["venda_id", "produto_id", "item"])
+_TYPED_ALL = f"SELECT venda_id, produto_id, item, md5({_TYPED_KEYS}) AS k, md5({_TYPED_KEYS} || '|' || {_TYPED_ROW}) AS h FROM l_ven"
+
+
+def _digests(by: str, side: str, rows: str) -> str:
+    sums = " || ':' || ".join(f"CAST(sum(CAST('0x' || substr(h, {at}, 15) AS BIGINT)) AS VARCHAR)" for at in (1, 16))
+    bucket = "CAST(CAST('0x' || substr(k, 1, 8) AS BIGINT) % 4096 AS INT)"
+    return (
+        f"SELECT {by}, count(*) AS linhas_{side}, {sums} AS digest_{side}"
+        f" FROM (SELECT *, {bucket} AS bucket FROM ({rows})) GROUP BY ALL"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         # ---- sources ----
@@ -691,6 +726,22 @@ def oracle_sql() -> dict[str, str]:
             " CASE WHEN fornecedor_num % 10 = 3 THEN idfornecedor || '-B' END AS novo"
             " FROM forn WHERE fornecedor_num % 10 IN (3, 5)",
         ),
+        "C9-all": _query(
+            "cat forn ped",
+            "SELECT 'supplier' AS tabela, CAST(NULL AS INT) AS parte, coalesce(m.novo, f.idfornecedor) AS chave,"
+            " coalesce(m.novo, f.idfornecedor) AS codigo, coalesce(m.numero, f.fornecedor_num) AS numero"
+            " FROM forn f LEFT JOIN mudanca m ON m.velho = f.idfornecedor WHERE NOT coalesce(m.fora, false)"
+            " UNION ALL SELECT 'branch_product', filial_id, idproduto,"
+            " CASE WHEN a.velho IS NULL THEN idfornecedor ELSE a.novo END, CASE WHEN b.velho IS NULL THEN idfornecedor_num ELSE b.numero END"
+            " FROM cat LEFT JOIN mudanca a ON a.velho = cat.idfornecedor LEFT JOIN mudanca b ON b.antes = cat.idfornecedor_num"
+            " UNION ALL SELECT 'purchase_order', item, CAST(pedido_id AS VARCHAR) || '|' || produto_id, NULL,"
+            " CASE WHEN b.velho IS NULL THEN fornecedor_id ELSE b.numero END"
+            " FROM ped LEFT JOIN mudanca b ON b.antes = ped.fornecedor_id",
+            mudanca="SELECT idfornecedor AS velho, fornecedor_num AS antes, fornecedor_num % 10 = 5 AS fora,"
+            " CASE fornecedor_num % 10 WHEN 3 THEN idfornecedor || '-B' WHEN 7 THEN idfornecedor END AS novo,"
+            " CAST(CASE fornecedor_num % 10 WHEN 3 THEN fornecedor_num WHEN 7 THEN fornecedor_num + 500000 END AS INT) AS numero"
+            " FROM forn WHERE fornecedor_num % 10 IN (3, 5, 7)",
+        ),
         "C10": _query(
             "ven",
             "SELECT venda_id, data_emissao, '00:00:00' AS horariomov, produto_id, qtde_vendida,"
@@ -859,10 +910,18 @@ FROM (SELECT cat.*,
         "P13-7": _P13,
         **{key: _QA[code] for key, code in _DECISIONS.items()},
         "P14": _query(
-            "ven",
-            f"SELECT {_day('d')} AS dia, strftime(d, '%a') AS dia_semana"
-            " FROM (SELECT CAST(unnest(generate_series(DATE '1997-02-01', DATE '1997-02-28', INTERVAL 1 DAY)) AS DATE) AS d)"
-            " WHERE isodow(d) < 6 AND d NOT IN (SELECT data_emissao FROM ven WHERE produto_id = 'P1')",
+            "ven dia",
+            "SELECT filial_id, produto_id, min(d) AS primeiro_dia, max(d) AS ultimo_dia,"
+            " CAST(count(*) FILTER (WHERE isodow(d) < 6) AS INT) AS dias_uteis"
+            " FROM (SELECT *, d - CAST(row_number() OVER (PARTITION BY filial_id, produto_id ORDER BY d) AS INT) AS ilha"
+            " FROM (SELECT DISTINCT filial_id, produto_id FROM ven), dia"
+            " WHERE (filial_id, produto_id, d) NOT IN (SELECT (filial_id, produto_id, data_emissao) FROM ven))"
+            " GROUP BY filial_id, produto_id, ilha HAVING count(*) FILTER (WHERE isodow(d) < 6) > 0",
+        ),
+        "P14-days": _query(
+            "ven dia",
+            f"SELECT {_day('d')} AS dia, strftime(d, '%a') AS dia_semana FROM dia"
+            " WHERE isodow(d) < 6 AND d NOT IN (SELECT data_emissao FROM ven)",
         ),
         # ---- quality ----
         **_QA,
@@ -870,6 +929,16 @@ FROM (SELECT cat.*,
         "QA-08-strict": _qa08(strict=True),
         "QA-P": _panel(),
         # ---- reconciliation ----
+        "LOAD-counts": _query(
+            _ALL_RAW + " " + _ALL_LOADED,
+            _per_table(
+                lambda t: f"SELECT '{t.name}' AS tabela, m.medida, m.valor FROM"
+                f" (SELECT count(*) AS lidas, count(*) FILTER (WHERE {_blank(t.row_key)} IS NULL) AS puladas FROM r_{_ALIAS[t.name]}) a,"
+                f" (SELECT count(*) AS final{''.join(f', count(*) FILTER (WHERE {c} IS NULL) AS n_{c}' for c in t.required)} FROM l_{_ALIAS[t.name]}) b,"
+                " (VALUES ('lidas', a.lidas), ('puladas', a.puladas), ('ilegiveis', a.lidas - a.puladas - b.final), ('final', b.final)"
+                f"{''.join(f", ('nulos:{c}', b.n_{c})" for c in t.required)}) m(medida, valor)"
+            ),
+        ),
         "LOAD-out": _query(_ALL_RAW, _per_table(_left_out)),
         "R1": _query(
             _ALL_RAW + " " + _ALL_LOADED,
@@ -900,17 +969,33 @@ FROM (SELECT cat.*,
         ),
         "R5": _query(
             "r_ven l_ven",
-            "SELECT * FROM antes FULL JOIN depois USING (venda_id, produto_id, item)",
-            antes=f"SELECT {_whole('venda_id', 'BIGINT')} AS venda_id, trim(produto_id) AS produto_id,"
-            f" {_whole('item', 'INT')} AS item, count(*) AS linhas_origem, min(data_emissao) AS data_origem, max(data_emissao) AS ultima_data_origem,"
+            "SELECT * EXCLUDE (todas_origem, todas_destino), todas_origem IS NOT DISTINCT FROM todas_destino AS igual"
+            " FROM antes FULL JOIN depois USING (venda_id, produto_id, item)",
+            antes=f"SELECT {_RAW_KEY}, count(*) AS linhas_origem, min(data_emissao) AS data_origem, max(data_emissao) AS ultima_data_origem,"
             f" {_qsum('sum(TRY_CAST(qtde_vendida AS DECIMAL(14,3)))')} AS qtde_origem,"
             " CAST(sum(TRY_CAST(trim(valor_unitario) AS DECIMAL(18,6))) AS DECIMAL(28,6)) AS soma_valor_origem,"
-            f" max(valor_unitario) AS valor_origem FROM r_ven WHERE {_blank('venda_id')} IS NOT NULL"
-            " GROUP BY 1, 2, 3",
+            f" max(valor_unitario) AS valor_origem, list({_RAW_ROW} ORDER BY {_RAW_ROW}) AS todas_origem"
+            f" FROM r_ven WHERE {_blank('venda_id')} IS NOT NULL GROUP BY 1, 2, 3",
             depois="SELECT venda_id, produto_id, item, count(*) AS linhas_destino, min(data_emissao) AS data_destino, max(data_emissao) AS ultima_data_destino,"
             f" {_qsum('sum(qtde_vendida)')} AS qtde_destino, max(valor_unitario) AS valor_destino,"
-            " CAST(sum(valor_unitario) AS DECIMAL(28,6)) AS soma_valor_destino FROM l_ven"
-            " GROUP BY 1, 2, 3",
+            " CAST(sum(valor_unitario) AS DECIMAL(28,6)) AS soma_valor_destino,"
+            f" list({_TYPED_ROW} ORDER BY {_TYPED_ROW}) AS todas_destino FROM l_ven GROUP BY 1, 2, 3",
+        ),
+        "R5-buckets": _query(
+            "r_ven l_ven",
+            "SELECT *, linhas_origem IS NOT DISTINCT FROM linhas_destino AND digest_origem IS NOT DISTINCT FROM digest_destino AS igual"
+            " FROM antes FULL JOIN depois USING (bucket)",
+            antes=_digests("bucket", "origem", _RAW_ALL),
+            depois=_digests("bucket", "destino", _TYPED_ALL),
+        ),
+        "R5-changed": _query(
+            "r_ven l_ven",
+            "SELECT *, false AS igual FROM antes FULL JOIN depois USING (venda_id, produto_id, item)"
+            " WHERE NOT (linhas_origem IS NOT DISTINCT FROM linhas_destino AND digest_origem IS NOT DISTINCT FROM digest_destino)",
+            movida="SELECT * REPLACE (CAST(qtde_vendida + CASE WHEN venda_id % 53 = 1 AND item = 1 THEN 1"
+            " WHEN venda_id % 53 = 1 AND item = 2 THEN -1 ELSE 0 END AS DECIMAL(14,3)) AS qtde_vendida) FROM l_ven",
+            antes=_digests("venda_id, produto_id, item", "origem", _RAW_ALL),
+            depois=_digests("venda_id, produto_id, item", "destino", _TYPED_ALL.replace("FROM l_ven", "FROM movida")),
         ),
         "R6": _query(
             "ven cat",

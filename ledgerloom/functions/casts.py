@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 # Wide enough for any id or amount before it is rounded to its column.
 _WIDE = T.DecimalType(38, 10)
 
+_DIGITS = r"^-?[0-9]{1,18}$"
 _ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
 _CLOCK = r"^([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d)?$"
 
@@ -29,9 +30,12 @@ def to_decimal(c: Column, dtype: T.DecimalType) -> Column:
 
 def to_whole(c: Column, dtype: T.DataType) -> Column:
     """Whole number from text such as ``7``, ``7.0`` or ``7.5`` (rounded, not cut)."""
-    # Through decimal for every value: a failed cast of text straight to an
-    # integer costs an exception, a hundred times the price of this one.
-    return F.round(F.trim(c).try_cast(_WIDE), 0).try_cast(dtype)
+    text = F.trim(c)
+    # A failed cast of text straight to an integer costs an exception, a hundred
+    # times the price of the way through decimals; digits alone cannot fail.
+    plain = F.when(text.rlike(_DIGITS), text.try_cast(T.LongType()))
+    wide = F.when(~text.rlike(_DIGITS), F.round(text.try_cast(_WIDE), 0).try_cast(dtype))
+    return F.coalesce(plain.try_cast(dtype), wide)
 
 
 def to_date(c: Column) -> Column:

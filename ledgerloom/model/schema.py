@@ -34,6 +34,7 @@ class ForeignKey:
     parent: str
     parent_columns: tuple[str, ...]
     prospective: bool = False  # history exempt, every new row checked
+    cascades: bool = False  # follows a renamed parent, and is cleared when the parent goes
 
 
 @dataclass(frozen=True)
@@ -108,8 +109,8 @@ BRANCH_PRODUCT = Table(
         "preco_unitario_nao_negativo": "preco_unitario >= 0",
     },
     foreign_keys=(
-        ForeignKey("produto_fornecedor_texto", ("idfornecedor",), "supplier", ("idfornecedor",)),
-        ForeignKey("produto_fornecedor_numero", ("idfornecedor_num",), "supplier", ("fornecedor_num",)),
+        ForeignKey("produto_fornecedor_texto", ("idfornecedor",), "supplier", ("idfornecedor",), cascades=True),
+        ForeignKey("produto_fornecedor_numero", ("idfornecedor_num",), "supplier", ("fornecedor_num",), cascades=True),
     ),
 )
 
@@ -144,7 +145,7 @@ PURCHASE_ORDER = Table(
         "preco_compra_nao_negativo": "preco_compra >= 0",
     },
     foreign_keys=(
-        ForeignKey("pedido_fornecedor_numero", ("fornecedor_id",), "supplier", ("fornecedor_num",)),
+        ForeignKey("pedido_fornecedor_numero", ("fornecedor_id",), "supplier", ("fornecedor_num",), cascades=True),
     ),
 )
 

@@ -7,6 +7,7 @@ passes when any part is NULL, a unique column ignores NULL.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -232,6 +233,74 @@ def cascade(child: DataFrame, column: str, changes: DataFrame) -> DataFrame:
     return joined.withColumn(column, value).select(*child.columns)
 
 
+def cascade_all(
+    tables: RetailTables, changes: dict[str, DataFrame], declared: dict[str, Table] = TABLES
+) -> RetailTables:
+    """Carry changed parent rows along all cascading references, table after table.
+
+    ``changes`` has by parent table one row per changed row: ``old_x`` and
+    ``new_x`` for each column x that references point at. A parent that is gone
+    has NULL in all new columns. The parents themselves change as well. Where a
+    child's own columns are pointed at, what its references changed in them goes
+    on to its children: ``declared`` lists parents before children.
+    """
+    changes, result = dict(changes), tables
+    targets = _referenced(declared)
+    for name, table in declared.items():
+        rows = tables[name]
+        given = changes.get(name)
+        followed = [fk for fk in table.foreign_keys if fk.cascades and fk.parent in changes]
+        if given is None and not followed:
+            continue
+        before = {c: f"_before_{c}" for c in rows.columns}
+        moved = rows
+        for fk in followed:
+            moved = _follow(moved, fk, changes[fk.parent], before)
+        if given is not None:
+            moved = _change_parent(moved, given, targets[name])
+        passed_on = [c for c in targets.get(name, []) if any(c in fk.columns for fk in followed)]
+        if passed_on:
+            pairs = moved.select(*[F.col(before[c] if before[c] in moved.columns else c).alias(f"old_{c}") for c in targets[name]], *[F.col(c).alias(f"new_{c}") for c in targets[name]])
+            own = pairs.where(~F.struct(*[f"old_{c}" for c in targets[name]]).eqNullSafe(F.struct(*[f"new_{c}" for c in targets[name]]))).distinct()
+            changes[name] = own if given is None else own.unionByName(given.select(own.columns))
+        result = result.with_table(name, moved.select(*rows.columns))
+    return result
+
+
+def _referenced(declared: dict[str, Table]) -> dict[str, list[str]]:
+    """Per table the columns that cascading references point at."""
+    found: dict[str, list[str]] = {}
+    for table in declared.values():
+        for fk in table.foreign_keys:
+            if fk.cascades:
+                columns = found.setdefault(fk.parent, [])
+                columns += [c for c in fk.parent_columns if c not in columns]
+    return found
+
+
+def _follow(child: DataFrame, fk: ForeignKey, changes: DataFrame, before: dict[str, str]) -> DataFrame:
+    """The child with one reference moved; what the reference was is kept under its name in ``before``."""
+    old = [F.col(f"old_{p}").alias(c) for c, p in zip(fk.columns, fk.parent_columns)]
+    new = [F.col(f"new_{p}").alias(f"_new_{c}") for c, p in zip(fk.columns, fk.parent_columns)]
+    changed = [~F.col(f"old_{p}").eqNullSafe(F.col(f"new_{p}")) for p in fk.parent_columns]
+    moves = changes.where(reduce(Column.__or__, changed)).select(*old, *new, F.lit(True).alias("_moved")).distinct()
+    joined = lookup_join(child, moves, fk.columns, "left")
+    joined = joined.withColumns({before[c]: F.col(c) for c in fk.columns if before[c] not in child.columns})
+    values = {c: F.when(F.col("_moved"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in fk.columns}
+    return joined.withColumns(values).drop("_moved", *[f"_new_{c}" for c in fk.columns])
+
+
+def _change_parent(parent: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
+    """The parent's own rows: renamed, or gone where all new values are NULL."""
+    renamed = [F.col(f"{side}_{c}").alias(f"_{side}_{c}") for side in ("old", "new") for c in columns]
+    known = changes.select(*renamed, F.lit(True).alias("_moved"))
+    joined = parent.join(known, [parent[c].eqNullSafe(known[f"_old_{c}"]) for c in columns], "left")
+    gone = F.col("_moved") & reduce(Column.__and__, [F.col(f"_new_{c}").isNull() for c in columns])
+    values = {c: F.when(F.col("_moved"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns}
+    kept = joined.where(~F.coalesce(gone, F.lit(False))).withColumns(values)
+    return kept.drop("_moved", *[f"_{side}_{c}" for side in ("old", "new") for c in columns])
+
+
 # ---- defaults ---------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.casts import blank_to_null, digits, is_blank, to_clock, to_date, to_decimal, to_whole
@@ -37,32 +37,26 @@ def _read_as(column: TableColumn) -> Column:
     return to_decimal(raw, dtype)
 
 
-# Columns that do not simply follow their declared type.
+# Columns that do not simply follow their declared type, from raw columns and from
+# what could be read in them (``_read_x`` of column x).
 _SPECIAL: dict[str, dict[str, Callable[[], Column]]] = {
     "supplier": {"fornecedor_num": lambda: digits(F.col("idfornecedor"))},
     "branch_product": {"idfornecedor_num": lambda: F.lit(None).cast(INT)},
     "purchase_order": {
-        "ordem_compra": lambda: F.coalesce(to_whole(F.col("ordem_compra"), LONG), F.lit(0)),
-        "qtde_entregue": lambda: F.coalesce(_decimal("qtde_entregue"), _zero()),
+        "ordem_compra": lambda: F.coalesce("_read_ordem_compra", F.lit(0)),
+        "qtde_entregue": lambda: F.coalesce("_read_qtde_entregue", _zero()),
         "qtde_pendente": lambda: F.greatest(
-            F.coalesce(_decimal("qtde_pedida"), _zero())
-            - F.coalesce(_decimal("qtde_entregue"), _zero()),
+            F.coalesce("_read_qtde_pedida", _zero()) - F.coalesce("_read_qtde_entregue", _zero()),
             _zero(),
         ).cast("decimal(14,3)"),
     },
     "goods_receipt": {},
     "sales": {
-        "horariomov": lambda: F.when(
-            blank_to_null(F.col("horariomov")).isNull(), F.lit("00:00:00")
-        ).otherwise(to_clock(F.col("horariomov"))),
+        "horariomov": lambda: F.when(is_blank(F.col("horariomov")), F.lit("00:00:00")).otherwise(F.col("_read_horariomov")),
     },
 }
 
 
-def _decimal(name: str) -> Column:
-    return to_decimal(F.col(name), TABLES["purchase_order"].typed_schema[name].dataType)
-
-
 def _zero() -> Column:
     return F.lit(0).cast("decimal(14,3)")
 
@@ -85,10 +79,25 @@ def skip_report(raw: RetailTables) -> DataFrame:
     return lines
 
 
+def _read(name: str, raw: DataFrame) -> DataFrame:
+    """Raw rows with ``_read_x`` for each raw column x.
+
+    The casts are made as one row of a generator, so that they are evaluated once
+    and not again in every filter and projection that the values end up in.
+    """
+    table = TABLES[name]
+    values = [
+        (to_clock(F.col(c.name)) if c.name == "horariomov" else _read_as(c)).alias(f"_read_{c.name}")
+        for c in table.columns
+        if c.name in table.raw_columns
+    ]
+    return raw.select(*table.raw_columns, F.inline(F.array(F.struct(*values))))
+
+
 def _typed(table: Table) -> list[Column]:
     special = _SPECIAL[table.name]
     return [
-        (special[c.name]() if c.name in special else _read_as(c)).alias(c.name)
+        (special[c.name]() if c.name in special else F.col(f"_read_{c.name}")).alias(c.name)
         for c in table.columns
     ]
 
@@ -96,19 +105,21 @@ def _typed(table: Table) -> list[Column]:
 def _unreadable(table: Table) -> dict[str, Column]:
     """Per raw column that can fail to parse: whether its text did."""
     return {
-        c.name: ~is_blank(F.col(c.name))
-        & (to_clock(F.col(c.name)) if c.name == "horariomov" else _read_as(c)).isNull()
+        c.name: F.col(f"_read_{c.name}").isNull() & ~is_blank(F.col(c.name))
         for c in table.columns
         if c.name in table.raw_columns and (c.type != TEXT or c.name == "horariomov")
     }
 
 
+def _faults(table: Table) -> Column:
+    return F.concat_ws(",", F.lit(None), *[F.when(bad, F.lit(f"ilegivel:{c}")) for c, bad in _unreadable(table).items()])
+
+
 def typed_rows(name: str, raw: DataFrame) -> DataFrame:
     """Raw rows with a key, cast to the typed columns, plus the ``_faults`` text."""
     table = TABLES[name]
-    faults = [F.when(bad, F.lit(f"ilegivel:{c}")) for c, bad in _unreadable(table).items()]
-    keyed = raw.where(~is_blank(F.col(table.row_key)))
-    return keyed.select(*_typed(table), F.concat_ws(",", F.lit(None), *faults).alias(FAULTS))
+    read = _read(name, raw.where(~is_blank(F.col(table.row_key))))
+    return read.select(*_typed(table), _faults(table).alias(FAULTS))
 
 
 def load(name: str, raw: DataFrame) -> DataFrame:
@@ -117,10 +128,10 @@ def load(name: str, raw: DataFrame) -> DataFrame:
     :func:`quarantine` has what is left out.
     """
     table = TABLES[name]
-    readable = raw.where(~is_blank(F.col(table.row_key)))
+    read = _read(name, raw.where(~is_blank(F.col(table.row_key))))
     for bad in _unreadable(table).values():
-        readable = readable.where(~bad)
-    return readable.select(*_typed(table))
+        read = read.where(~bad)
+    return read.select(*_typed(table))
 
 
 BLANK_KEY = "chave em branco"
@@ -133,10 +144,9 @@ def quarantine(raw: RetailTables) -> DataFrame:
     """
     found = None
     for name, table in TABLES.items():
-        faults = [F.when(bad, F.lit(f"ilegivel:{c}")) for c, bad in _unreadable(table).items()]
-        reason = F.when(is_blank(F.col(table.row_key)), F.lit(BLANK_KEY)).otherwise(F.concat_ws(",", F.lit(None), *faults))
+        reason = F.when(is_blank(F.col(table.row_key)), F.lit(BLANK_KEY)).otherwise(_faults(table))
         values = [F.coalesce(c, F.lit("")) for c in table.raw_columns]
-        rows = raw[name].select(F.lit(name).alias("tabela"), F.concat_ws("|", *values).alias("linha"), reason.alias("motivo"))
+        rows = _read(name, raw[name]).select(F.lit(name).alias("tabela"), F.concat_ws("|", *values).alias("linha"), reason.alias("motivo"))
         rows = rows.where("motivo <> ''")
         found = rows if found is None else found.unionByName(rows)
     return found
@@ -174,6 +184,41 @@ def supplier_code_issues(raw: DataFrame) -> DataFrame:
     return mute.unionByName(clash)
 
 
+class LoadCounts:
+    """What one load sees of a table, observed on its way: no pass of its own.
+
+    ``values`` runs nothing; it is there once the rows have been written.
+    """
+
+    def __init__(self, name: str):
+        self.table = TABLES[name]
+        self._arriving, self._typed = Observation(f"arriving-{name}"), Observation(f"typed-{name}")
+
+    def arriving(self, raw: DataFrame) -> DataFrame:
+        blank = F.count_if(is_blank(F.col(self.table.row_key)))
+        return raw.observe(self._arriving, F.count(F.lit(1)).alias("lidas"), blank.alias("puladas"))
+
+    def typed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` have the fault text as :func:`typed_rows` gives it."""
+        readable = F.col(FAULTS) == ""
+        nulls = [F.count_if(readable & F.col(c).isNull()).alias(f"nulos_{c}") for c in self.table.required]
+        return rows.observe(self._typed, F.count_if(readable).alias("final"), F.count_if(~readable).alias("ilegiveis"), *nulls)
+
+    @property
+    def values(self) -> dict[str, int]:
+        return {**self._arriving.get, **self._typed.get}
+
+
+def load_report(spark: SparkSession, counts: dict[str, LoadCounts]) -> DataFrame:
+    """The figures of a finished run: per table rows read, skipped, unreadable and typed, and NULLs per required column."""
+    rows = []
+    for name, seen in counts.items():
+        values = seen.values
+        rows += [(name, measure, values[measure]) for measure in ("lidas", "puladas", "ilegiveis", "final")]
+        rows += [(name, f"nulos:{c}", values[f"nulos_{c}"]) for c in TABLES[name].required]
+    return spark.createDataFrame(rows, "tabela string, medida string, valor long")
+
+
 @dataclass(frozen=True)
 class Judged:
     """One load, split in two: the parts add up to the typed rows."""

@@ -9,11 +9,13 @@ from ledgerloom.functions.casts import blank_to_null, to_whole
 from ledgerloom.functions.text import to_cents
 from ledgerloom.model.schema import LONG, QTY, SALES, TABLES
 from ledgerloom.model.tables import RetailTables
+from ledgerloom.operators.digests import bucket_of, digest_of, digests, row_digest
 from ledgerloom.operators.integrity import validate
 from ledgerloom.operators.skew import lookup_join
 from ledgerloom.plans.load import load
 from ledgerloom.plans.quality import scoreboard
 from ledgerloom.plans.reports import QTY_SUM, amount
+from ledgerloom.session import pinned
 from ledgerloom.sources.sheet import OVERFLOW_COLUMNS
 
 
@@ -98,35 +100,100 @@ def _raw_trace_key() -> list[Column]:
     ]
 
 
+def _traced_values(typed: bool) -> list[Column]:
+    """What a sales row says besides its key, read alike on both sides.
+
+    The raw side is read by itself, wide enough for what a typed column cannot
+    hold; what is no number or time stays as it was written.
+    """
+    amounts = "qtde_vendida", "valor_unitario"
+    if typed:
+        wide = [F.col(c).cast(_WIDE) for c in amounts]
+        return [F.col("data_emissao"), F.col("horariomov"), *wide, F.col("filial_id"), F.col("unidade_medida")]
+    wide = [F.coalesce(F.trim(c).try_cast(_WIDE).cast("string"), F.trim(c)) for c in amounts]
+    hour = F.coalesce(blank_to_null(F.col("horariomov")), F.lit("00:00:00"))
+    branch = F.coalesce(to_whole(F.col("filial_id"), SALES.typed_schema["filial_id"].dataType).cast("string"), F.trim("filial_id"))
+    return [F.trim("data_emissao"), hour, *wide, branch, blank_to_null(F.col("unidade_medida"))]
+
+
+def _raw_sales(raw: RetailTables) -> DataFrame:
+    """Raw rows that have a key."""
+    return raw.sales.where(blank_to_null(F.col("venda_id")).isNotNull())
+
+
+def _sides(raw: DataFrame, typed: DataFrame, raw_by: list[Column], typed_by: list[Column], names: list[str]) -> DataFrame:
+    """Counts and digests of both sides per group, and whether they are the same rows."""
+    before = digests(raw, raw_by, [*_raw_trace_key(), *_traced_values(typed=False)], "linhas_origem", "digest_origem")
+    after = digests(typed, typed_by, [*[F.col(c) for c in _TRACE_KEY], *_traced_values(typed=True)], "linhas_destino", "digest_destino")
+    same = F.col("linhas_origem").eqNullSafe(F.col("linhas_destino")) & F.col("digest_origem").eqNullSafe(F.col("digest_destino"))
+    return before.join(after, names, "full").withColumn("igual", same)
+
+
+def sale_digests(raw: RetailTables, typed: RetailTables, buckets: int = 4096) -> DataFrame:
+    """Sales before and after the load, as one digest per bucket of their keys.
+
+    ``buckets`` rows at most, however large the sales: the first look for a change.
+    """
+    raw_bucket = bucket_of(_raw_trace_key(), buckets).alias("bucket")
+    typed_bucket = bucket_of([F.col(c) for c in _TRACE_KEY], buckets).alias("bucket")
+    return _sides(_raw_sales(raw), typed.sales, [raw_bucket], [typed_bucket], ["bucket"])
+
+
+def changed_sales(raw: RetailTables, typed: RetailTables, buckets: int = 4096) -> DataFrame:
+    """Document lines whose rows are not the same before and after the load.
+
+    Only buckets whose digests differ are looked into; their list has
+    ``buckets`` rows at most and is broadcast.
+    """
+    found = pinned(sale_digests(raw, typed, buckets).where("NOT igual").select("bucket"), "changed-buckets")
+    before = _raw_sales(raw).withColumn("bucket", bucket_of(_raw_trace_key(), buckets)).join(F.broadcast(found), "bucket", "left_semi")
+    after = typed.sales.withColumn("bucket", bucket_of([F.col(c) for c in _TRACE_KEY], buckets)).join(F.broadcast(found), "bucket", "left_semi")
+    return _sides(before, after, _raw_trace_key(), [F.col(c) for c in _TRACE_KEY], _TRACE_KEY).where("NOT igual")
+
+
 def trace_sales(raw: RetailTables, typed: RetailTables) -> DataFrame:
     """Each sales document line before and after the load, side by side.
 
     Both sides are summed up per key first, so a line entered many times meets
     its counterpart as one row. A key on one side only shows NULL on the other.
-    First and last dates, largest prices and sums of prices tell a change in any
-    of the rows of a key.
+    ``igual`` says whether the key's rows are the same on both sides, by order-free
+    digests of whole rows: also two changes that cancel out in the sums show.
     """
     before = (
-        raw.sales.where(blank_to_null(F.col("venda_id")).isNotNull())
-        .groupBy(*_raw_trace_key())
+        _raw_sales(raw)
+        .select(
+            *_raw_trace_key(),
+            "data_emissao",
+            F.col("qtde_vendida").try_cast(QTY).alias("q"),
+            F.col("valor_unitario"),
+            row_digest([*_raw_trace_key(), *_traced_values(typed=False)]).alias("d"),
+        )
+        .groupBy(*_TRACE_KEY)
         .agg(
             F.count("*").alias("linhas_origem"),
             F.min("data_emissao").alias("data_origem"),
             F.max("data_emissao").alias("ultima_data_origem"),
-            F.sum(F.col("qtde_vendida").try_cast(QTY)).cast(QTY_SUM).alias("qtde_origem"),
+            F.sum("q").cast(QTY_SUM).alias("qtde_origem"),
             F.max("valor_unitario").alias("valor_origem"),
             F.sum(F.trim("valor_unitario").try_cast(_WIDE)).cast("decimal(28,6)").alias("soma_valor_origem"),
+            digest_of("d").alias("digest_origem"),
         )
     )
-    after = typed.sales.groupBy(*_TRACE_KEY).agg(
-        F.count("*").alias("linhas_destino"),
-        F.min("data_emissao").alias("data_destino"),
-        F.max("data_emissao").alias("ultima_data_destino"),
-        F.sum("qtde_vendida").cast(QTY_SUM).alias("qtde_destino"),
-        F.max("valor_unitario").alias("valor_destino"),
-        F.sum("valor_unitario").cast("decimal(28,6)").alias("soma_valor_destino"),
+    after = (
+        typed.sales.withColumn("d", row_digest([*[F.col(c) for c in _TRACE_KEY], *_traced_values(typed=True)]))
+        .groupBy(*_TRACE_KEY)
+        .agg(
+            F.count("*").alias("linhas_destino"),
+            F.min("data_emissao").alias("data_destino"),
+            F.max("data_emissao").alias("ultima_data_destino"),
+            F.sum("qtde_vendida").cast(QTY_SUM).alias("qtde_destino"),
+            F.max("valor_unitario").alias("valor_destino"),
+            F.sum("valor_unitario").cast("decimal(28,6)").alias("soma_valor_destino"),
+            digest_of("d").alias("digest_destino"),
+        )
     )
-    return before.join(after, _TRACE_KEY, "full")
+    same = F.col("linhas_origem").eqNullSafe(F.col("linhas_destino")) & F.col("digest_origem").eqNullSafe(F.col("digest_destino"))
+    return before.join(after, _TRACE_KEY, "full").withColumn("igual", same).drop("digest_origem", "digest_destino")
 
 
 def trace_document(raw: RetailTables, typed: RetailTables, venda_id: int) -> DataFrame:

@@ -6,7 +6,9 @@ product or branch with very many rows reaches the join as one row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -208,6 +210,32 @@ def days_without_sales(tables: RetailTables, period: Period, language: str = "en
     )
 
 
+def sale_gaps(tables: RetailTables, period: Period) -> DataFrame:
+    """Runs of days of the period without a sale, for every branch and product that ever sold.
+
+    One row per run with a working day (Monday to Friday) in it: first and last
+    day, and its working days. A sale before or behind the period counts as one
+    at its edge, so a key has at most as many rows as the period has days, and
+    two; the runs lie between them, without a calendar.
+    """
+    key = ["filial_id", "produto_id"]
+    edge, end = F.date_sub(F.lit(period.start), 1), F.lit(period.end)
+    within = F.least(F.greatest(F.col("data_emissao"), edge), end)
+    active = tables.sales.where("data_emissao IS NOT NULL").select(*key, within.alias("dia")).distinct()
+    in_order = Window.partitionBy(*key).orderBy("dia")
+    behind = F.struct(F.date_add("dia", 1).alias("primeiro_dia"), F.date_sub(F.coalesce(F.lead("dia").over(in_order), end), 1).alias("ultimo_dia"))
+    ahead = F.when(F.lag("dia").over(in_order).isNull(), F.struct(F.lit(period.start).alias("primeiro_dia"), F.date_sub("dia", 1).alias("ultimo_dia")))
+    runs = active.select(*key, F.array_compact(F.array(ahead, behind)).alias("runs")).select(*key, F.inline("runs"))
+    days = _working_days_before(F.date_add("ultimo_dia", 1)) - _working_days_before(F.col("primeiro_dia"))
+    return runs.where("primeiro_dia <= ultimo_dia").withColumn("dias_uteis", days).where("dias_uteis > 0")
+
+
+def _working_days_before(d: Column) -> Column:
+    """Working days from a Monday long ago up to, but without, the day."""
+    n = F.datediff(d, F.lit(date(1900, 1, 1)))
+    return (F.floor(n / 7) * 5 + F.least(F.pmod(n, F.lit(7)), F.lit(5))).cast("int")
+
+
 # ---- purchase orders --------------------------------------------------------
 
 

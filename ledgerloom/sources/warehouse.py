@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.model.schema import TABLES
 from ledgerloom.model.tables import RetailTables
+from ledgerloom.operators.numbering import NumberMark, next_number
 from ledgerloom.operators.resolve import backfill
-from ledgerloom.plans.load import judge, typed_rows
+from ledgerloom.plans.load import LoadCounts, judge, typed_rows
+from ledgerloom.session import pinned
 
 # Facts are read by period: the date each is clustered on.
 _DATE_OF = {"sales": "data_emissao", "purchase_order": "data_pedido", "goods_receipt": "data_entrada"}
@@ -31,7 +33,8 @@ def write_table(name: str, df: DataFrame, warehouse: str, partitions: int | None
     if name in _DATE_OF:
         date = _DATE_OF[name]
         ranges = [date, *[k for k in TABLES[name].key if k != date]]
-        df = df.repartitionByRange(*([partitions] if partitions else []), *ranges).sortWithinPartitions(date)
+        # The ranges are found from a sample, which would compute the rows once more.
+        df = pinned(df, f"to-store-{name}").repartitionByRange(*([partitions] if partitions else []), *ranges).sortWithinPartitions(date)
     df.write.mode("overwrite").parquet(path)
     return path
 
@@ -40,6 +43,7 @@ def write_table(name: str, df: DataFrame, warehouse: str, partitions: int | None
 class Onboarded:
     tables: RetailTables
     quarantine: dict[str, DataFrame]
+    counts: dict[str, LoadCounts]  # what the run saw on its way, without a pass of its own
 
 
 def onboard(spark: SparkSession, raw: RetailTables, warehouse: str, partitions: int | None = None) -> Onboarded:
@@ -48,12 +52,15 @@ def onboard(spark: SparkSession, raw: RetailTables, warehouse: str, partitions:
     Cast rows are written once, by the judgement that reads them twice; from
     there accepted rows go to the typed table and the others to quarantine.
     Suppliers that the catalogue names and the
-    supplier file lacks are registered, as the resolver does for new products.
+    supplier file lacks are registered, as the resolver does for new products; a
+    full load begins their numbers anew. Counts are observed while cast rows are
+    written: the only scan of a raw table.
     """
     warehouse = warehouse.rstrip("/")
     accepted, quarantine = {}, {}
+    counts = {name: LoadCounts(name) for name in TABLES}
     for name in TABLES:
-        judged = judge(name, typed_rows(name, raw[name]))
+        judged = judge(name, counts[name].typed(typed_rows(name, counts[name].arriving(raw[name]))))
         path = f"{warehouse}/quarantine/{name}"
         judged.quarantined.write.mode("overwrite").parquet(path)
         quarantine[name] = spark.read.schema(judged.quarantined.schema).parquet(path)
@@ -63,4 +70,6 @@ def onboard(spark: SparkSession, raw: RetailTables, warehouse: str, partitions:
     accepted["supplier"] = accepted["supplier"].unionByName(registered)
     for name in TABLES:
         write_table(name, accepted[name], f"{warehouse}/typed", partitions)
-    return Onboarded(RetailTables.read(spark, f"{warehouse}/typed"), quarantine)
+    tables = RetailTables.read(spark, f"{warehouse}/typed")
+    NumberMark(spark, warehouse).restart(next_number(tables.supplier, "fornecedor_num") - 1)
+    return Onboarded(tables, quarantine, counts)

@@ -4,7 +4,8 @@ from decimal import Decimal
 
 from conftest import rows_of
 
-from ledgerloom.model.schema import BRANCH_PRODUCT, PURCHASE_ORDER, SALES, SUPPLIER
+from ledgerloom.model.schema import BRANCH_PRODUCT, PURCHASE_ORDER, SALES, SUPPLIER, ForeignKey, Table
+from ledgerloom.model.tables import RetailTables
 from ledgerloom.operators import integrity
 
 PRODUCT = {
@@ -102,6 +103,56 @@ def test_cascade(spark, tables):
     ]
 
 
+def test_one_change_of_a_supplier_reaches_three_columns_in_two_tables(spark, tables):
+    t = tables(
+        supplier=[{"idfornecedor": f"F{i}", "fornecedor_num": i, "razao_social": "x"} for i in range(1, 6)],
+        branch_product=[{**PRODUCT, "idproduto": f"P{i}", "idfornecedor": f"F{i}", "idfornecedor_num": i} for i in range(1, 6)]
+        + [{**PRODUCT, "idproduto": "P9", "idfornecedor": "F1", "idfornecedor_num": 2}, {**PRODUCT, "idproduto": "P10"}],
+        purchase_order=[{"pedido_id": i, "item": 1, "produto_id": "P1", "fornecedor_id": i if i < 6 else None} for i in range(1, 7)],
+    )
+    rows = [("F1", "F100", 1, 100), ("F2", None, 2, None), ("F3", "F3", 3, 30), ("F4", "F40", 4, 4)]
+    changes = spark.createDataFrame(rows, "old_idfornecedor string, new_idfornecedor string, old_fornecedor_num int, new_fornecedor_num int")
+    after = integrity.cascade_all(t, {"supplier": changes})
+    assert rows_of(after.supplier, "idfornecedor", "fornecedor_num") == [("F100", 100), ("F3", 30), ("F40", 4), ("F5", 5)]
+    assert rows_of(after.branch_product, "idproduto", "idfornecedor", "idfornecedor_num") == [
+        ("P1", "F100", 100),
+        ("P10", None, None),
+        ("P2", None, None),
+        ("P3", "F3", 30),
+        ("P4", "F40", 4),
+        ("P5", "F5", 5),
+        ("P9", "F100", None),
+    ]
+    assert rows_of(after.purchase_order, "pedido_id", "fornecedor_id") == [(1, 100), (2, None), (3, 30), (4, 4), (5, 5), (6, None)]
+    assert after.branch_product.columns == t.branch_product.columns
+    untouched = integrity.cascade_all(t, {})
+    assert untouched.branch_product is t.branch_product
+
+
+def test_changes_are_carried_on_to_children_of_children(spark):
+    """A key that follows its parent takes its own children along."""
+
+    def table(name, columns, key, *fks):
+        return Table(name=name, file=name, raw_columns=columns, columns=(), key=key, row_key=columns[0], foreign_keys=fks)
+
+    declared = {
+        t.name: t
+        for t in (
+            table("grand", ("g",), ("g",)),
+            table("parent", ("g", "p"), ("g", "p"), ForeignKey("pg", ("g",), "grand", ("g",), cascades=True)),
+            table("child", ("cg", "cp"), ("cg", "cp"), ForeignKey("cp", ("cg", "cp"), "parent", ("g", "p"), cascades=True)),
+        )
+    }
+    data = {"grand": [("a",), ("b",)], "parent": [("a", 1), ("b", 1), ("b", 2)], "child": [("a", 1), ("b", 1), ("b", 1), ("z", 1)]}
+    names = {"grand": "g string", "parent": "g string, p int", "child": "cg string, cp int"}
+    tables_ = RetailTables(**{n: spark.createDataFrame(r, names[n]) for n, r in data.items()})
+    changes = spark.createDataFrame([("b", "c")], "old_g string, new_g string")
+    after = integrity.cascade_all(tables_, {"grand": changes}, declared)
+    assert rows_of(after["grand"]) == [("a",), ("c",)]
+    assert rows_of(after["parent"]) == [("a", 1), ("c", 1), ("c", 2)]
+    assert rows_of(after["child"]) == [("a", 1), ("c", 1), ("c", 1), ("z", 1)]
+
+
 def test_default_answers_omission_only(spark):
     batch = spark.createDataFrame([(1, "P1", None)], "filial_id int, idproduto string, preco_venda decimal(12,4)")
     row = integrity.fill_omitted(BRANCH_PRODUCT, batch).first()

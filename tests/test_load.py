@@ -4,10 +4,13 @@ from decimal import Decimal
 
 from conftest import rows_of
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from ledgerloom.model.schema import TABLES
 from ledgerloom.model.tables import RetailTables
-from ledgerloom.plans import load
+from ledgerloom.operators import integrity
+from ledgerloom.plans import load, reconcile
+from ledgerloom.sources import warehouse
 
 
 def test_ids_are_rounded_not_cut(raw_frame):
@@ -164,3 +167,38 @@ def test_skip_report(raw_frame):
     )
     report = load.skip_report(raw)
     assert report.where((F.col("lidas") == 3) & (F.col("puladas") == 2)).count() == 5
+
+
+def test_counts_observed_while_loading(spark, raw_frame, tmp_path):
+    rows = {
+        "sales": [
+            {"venda_id": "1", "data_emissao": "2025-02-01", "produto_id": "P1", "qtde_vendida": "1", "valor_unitario": "1", "filial_id": "1", "item": "1"},
+            {"venda_id": " ", "data_emissao": "2025-02-01"},
+            {"venda_id": "2", "data_emissao": "2025-02-31", "produto_id": None},
+            {"venda_id": "3", "data_emissao": None, "produto_id": "P1", "qtde_vendida": "2", "valor_unitario": "1", "filial_id": None, "item": "1"},
+        ],
+        "supplier": [{"idfornecedor": "F1", "razao_social": "x"}, {"idfornecedor": None}, {"idfornecedor": "X", "razao_social": "y"}],
+    }
+    raw = RetailTables(**{n: raw_frame(n, rows.get(n, [])) for n in TABLES})
+    done = warehouse.onboard(spark, raw, str(tmp_path))
+    seen = {(r["tabela"], r["medida"]): r["valor"] for r in load.load_report(spark, done.counts).collect()}
+    typed = load.load_all(raw)
+    for r in load.skip_report(raw).collect():
+        assert (seen[r["tabela"], "lidas"], seen[r["tabela"], "puladas"]) == (r["lidas"], r["puladas"])
+    for r in reconcile.load_counts(raw).collect():
+        assert seen[r["tabela"], "final"] == r["final"]
+        assert seen[r["tabela"], "lidas"] == r["staging"] == r["final"] + seen[r["tabela"], "puladas"] + seen[r["tabela"], "ilegiveis"]
+    for r in integrity.null_report(typed).collect():
+        assert seen[r["tabela"], f"nulos:{r['coluna']}"] == r["nulos"]
+    assert seen["sales", "ilegiveis"] == 1 and seen["sales", "nulos:data_emissao"] == 1
+
+
+def test_whole_numbers(spark):
+    from ledgerloom.functions.casts import to_whole
+
+    texts = ["7", " 7 ", "-7", "7.0", "7.5", "-7.5", "+8", "1e3", "", None, "x", "9" * 18, "9" * 19, "9223372036854775807", "9223372036854775808", "2147483648", "-0"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(to_whole(F.col("t"), LongType()).alias("a"), to_whole(F.col("t"), IntegerType()).alias("b"))
+    assert [tuple(r) for r in df.collect()] == [
+        (7, 7), (7, 7), (-7, -7), (7, 7), (8, 8), (-8, -8), (8, 8), (1000, 1000), (None, None), (None, None), (None, None),
+        (10**18 - 1, None), (10**19 - 1 if 10**19 - 1 < 2**63 else None, None), (2**63 - 1, None), (None, None), (2**31, None), (0, 0),
+    ]

@@ -192,6 +192,30 @@ def test_card_and_days(tables):
     assert tuple(idle[0]) == ("03/02/2025", "Seg")
 
 
+def test_runs_of_days_without_a_sale_per_branch_and_product(tables):
+    days = {
+        ("P1", 1): ["2025-01-31", "2025-02-03", "2025-02-04", "2025-02-04", "2025-02-10", "2025-03-01"],
+        ("P1", 2): ["2025-02-28"],
+        ("P2", 1): ["2024-12-01"],
+        ("P3", 1): [f"2025-02-{d:02d}" for d in range(1, 29)],
+        # Only a weekend is missing.
+        ("P4", 1): [f"2025-02-{d:02d}" for d in range(1, 29) if d not in (8, 9)],
+    }
+    t = tables(sales=[sale(1, p, 1, 1, day=d, branch=b) for (p, b), ds in days.items() for d in ds])
+    expected = []
+    for (product, branch), sold in days.items():
+        idle = [date(2025, 2, d) for d in range(1, 29) if f"2025-02-{d:02d}" not in sold]
+        runs = []
+        for d in idle:
+            if runs and (d - runs[-1][-1]).days == 1:
+                runs[-1].append(d)
+            else:
+                runs.append([d])
+        expected += [(branch, product, r[0], r[-1], n) for r in runs if (n := sum(d.weekday() < 5 for d in r))]
+    assert rows_of(reports.sale_gaps(t, FEB)) == sorted(expected, key=lambda r: [str(v) for v in r])
+    assert reports.sale_gaps(tables(), FEB).count() == 0
+
+
 def test_empty_period(tables):
     t = tables(sales=[sale(1, "P1", 1, 1, day="2025-05-07")])
     assert reports.monthly_sales(t, FEB).count() == 0

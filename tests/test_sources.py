@@ -139,6 +139,34 @@ def test_proofs(raw):
     assert reconcile.trace_document(raw, typed, 1).count() == 2
 
 
+def test_amounts_that_change_places_within_a_key_show(raw_frame):
+    base = {"data_emissao": "2025-02-01", "horariomov": " ", "produto_id": " P1 ", "filial_id": "1.0", "item": "1", "unidade_medida": "UN"}
+    lines = [(1, "08:00:00", "2", "10"), (1, "09:00:00", "3.000", "20.5"), (2, " ", "1", "1"), (2, " ", "1", "1"), (3, " ", "4", "4")]
+    rows = [{**base, "venda_id": str(v), "horariomov": h, "qtde_vendida": q, "valor_unitario": p} for v, h, q, p in lines]
+    raw = RetailTables(**{n: raw_frame(n, rows if n == "sales" else []) for n in TABLES})
+    typed = load.load_all(raw)
+    assert reconcile.changed_sales(raw, typed).count() == 0
+    assert {r["igual"] for r in reconcile.trace_sales(raw, typed).collect()} == {True}
+    assert {r["igual"] for r in reconcile.sale_digests(raw, typed, 2).collect()} == {True}
+
+    def altered(column, change):
+        return typed.with_table("sales", typed.sales.withColumn(column, F.expr(change).cast(typed.sales.schema[column].dataType)))
+
+    swapped = altered("qtde_vendida", "CASE WHEN horariomov = '08:00:00' THEN 3 WHEN horariomov = '09:00:00' THEN 2 ELSE qtde_vendida END")
+    before, after = ({k: v for k, v in r.asDict().items() if k != "igual"} for r in (
+        reconcile.trace_sales(raw, typed).where("venda_id = 1").first(), reconcile.trace_sales(raw, swapped).where("venda_id = 1").first()))
+    assert before == after  # no sum, count, smallest or largest value tells
+    assert rows_of(reconcile.changed_sales(raw, swapped), "venda_id", "linhas_origem", "linhas_destino") == [(1, 2, 2)]
+    assert sum(not r["igual"] for r in reconcile.sale_digests(raw, swapped, 64).collect()) == 1
+    for changed, key in (
+        (altered("unidade_medida", "CASE WHEN venda_id = 3 THEN 'KG' ELSE unidade_medida END"), 3),
+        (altered("venda_id", "CASE WHEN venda_id = 3 THEN 4 ELSE venda_id END"), 3),
+        # One of two equal rows is lost, the other entered twice.
+        (typed.with_table("sales", typed.sales.where("venda_id <> 2").unionByName(typed.sales.where("venda_id = 2").limit(1))), 2),
+    ):
+        assert (key,) in rows_of(reconcile.changed_sales(raw, changed), "venda_id")
+
+
 def test_same_document_at_two_times(frame):
     base = {"venda_id": 1, "data_emissao": "2025-02-01", "produto_id": "P1", "filial_id": 1, "item": 1}
     sales = frame("sales", [{**base, "horariomov": h} for h in ("08:00:00", "09:00:00", "09:00:00")] + [{**base, "venda_id": 2}])
