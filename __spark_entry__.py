@@ -23,11 +23,12 @@ from ledgerloom.model.schema import SALES, SUPPLIER, TABLES
 from ledgerloom.operators import integrity, resolve
 from ledgerloom.operators.numbering import next_number, number_rows
 from ledgerloom.plans import load, quality, reconcile, reports
+from ledgerloom.plans.increments import RunningScoreboard
 from ledgerloom.session import scratch_path
 from ledgerloom.sources import csv, sheet, warehouse
 from ledgerloom.sources.starschema import StarSchema
 from ledgerloom.streaming.gate import ReferenceGate
-from ledgerloom.streaming.history import record, trend
+from ledgerloom.streaming.history import store, trend
 from ledgerloom.streaming.reprocessed import RepeatAlerts, repeated_keys
 from ledgerloom.streaming.suppliers import SupplierStream
 
@@ -312,14 +313,17 @@ def _supplier_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scoreboard_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Two loads, up to a day and from it on; the second one costs what it touches."""
     typed = StarSchema(spark, folder).typed
-    path = scratch_path(spark, "history")
+    path, running = scratch_path(spark, "history"), RunningScoreboard(spark, scratch_path(spark, "running"))
     cut = F.lit(date(1998, 1, 1))
-    early = typed.with_table("sales", typed.sales.where(F.col("data_emissao") < cut)).with_table(
-        "purchase_order", typed.purchase_order.where(F.col("data_pedido") < cut)
-    )
-    record(early, date(2026, 1, 1), path)
-    record(typed, date(2026, 1, 2), path)
+    sales, orders = typed.sales, typed.purchase_order
+    early = typed.with_table("sales", sales.where(F.col("data_emissao") < cut)).with_table("purchase_order", orders.where(F.col("data_pedido") < cut))
+    late = typed.with_table("sales", sales.where(F.col("data_emissao") >= cut)).with_table("purchase_order", orders.where(F.col("data_pedido") >= cut))
+    late = late.with_table("goods_receipt", typed.goods_receipt.where("false"))
+    for load_, (new, day) in enumerate(((early, date(2026, 1, 1)), (late, date(2026, 1, 2)))):
+        running.add(load_, new)
+        store(running.scoreboard(load_, typed), day, path)
     return trend(spark, path)
 
 

@@ -21,6 +21,10 @@ _INVERTED = "data_entrega < data_pedido"
 _BELOW_COST = "preco_venda < preco_compra"
 _SALE_KEY = ["filial_id", "produto_id"]
 _TWIN_KEY = ["produto_id", "data_pedido", "preco_compra"]
+_EXCESS = "recebida > qtde_pedida"
+#: What the scoreboard's counts of sales and of order lines are kept by.
+SOLD_KEY = ["filial_id", "produto_id", "valor_unitario"]
+LINE_KEY = ["ordem_compra", "pedido_id", "produto_id", "qtde_pedida", "qtde_entregue"]
 
 
 def _line_total() -> Column:
@@ -129,6 +133,11 @@ def _twins(tables: RetailTables) -> DataFrame:
     Where the smallest and largest order id differ, every line of the group
     has a counterpart; no line has to be compared with another.
     """
+    return twin_groups(tables).where("low <> high").drop("low", "high")
+
+
+def twin_groups(tables: RetailTables) -> DataFrame:
+    """All groups of equal product, date and price: order lines, smallest and largest order."""
     return (
         _twin_candidates(tables)
         .groupBy(*_TWIN_KEY)
@@ -137,8 +146,6 @@ def _twins(tables: RetailTables) -> DataFrame:
             F.min("pedido_id").alias("low"),
             F.max("pedido_id").alias("high"),
         )
-        .where("low <> high")
-        .drop("low", "high")
     )
 
 
@@ -273,6 +280,12 @@ RULES: dict[str, Callable[[RetailTables], DataFrame]] = {
 # ---- scoreboard -------------------------------------------------------------
 
 
+def dimension_lines(tables: RetailTables) -> DataFrame:
+    """QA-09 and QA-11, which read the catalogue and the suppliers alone."""
+    margins = _counted(tables.branch_product, {"QA-09": F.count_if(F.expr(_BELOW_COST))})
+    return margins.unionByName(_counted(idle_suppliers(tables), {"QA-11": F.count("*")}))
+
+
 def _line(code: str, count: Column) -> Column:
     title, severity = labels.SCOREBOARD[code]
     return F.struct(
@@ -291,16 +304,36 @@ def _counted(df: DataFrame, counts: dict[str, Column]) -> DataFrame:
 
 def _sales_lines(tables: RetailTables) -> DataFrame:
     """QA-01, -02, -03 and -10 from one pass over the sales, counted per key before any join."""
-    sold = tables.sales.groupBy("filial_id", "produto_id", "valor_unitario").agg(
+    branches = tables.branch_product.select("filial_id", F.lit(True).alias("stocked")).distinct()
+    priced = sales_per_branch(sold_per_key(tables.sales), catalogue_prices(tables)).join(branches, "filial_id", "left")
+    return _counted(
+        priced,
+        {
+            "QA-01": F.sum("unlisted"),
+            "QA-02": F.count_if(F.col("stocked").isNull()),
+            "QA-03": F.sum("fractions"),
+            "QA-10": F.sum("off_price"),
+        },
+    )
+
+
+def sold_per_key(sales: DataFrame) -> DataFrame:
+    """Sale lines per branch, product and price; counts of parts of the sales add up."""
+    return sales.groupBy(*SOLD_KEY).agg(
         F.count("*").alias("n"),
         F.count_if(F.expr(_FRACTION)).alias("fractions"),
     )
-    prices = tables.branch_product.select(
-        "filial_id", F.col("idproduto").alias("produto_id"), "preco_venda", F.lit(True).alias("listed")
-    )
-    branches = tables.branch_product.select("filial_id", F.lit(True).alias("stocked")).distinct()
+
+
+def catalogue_prices(tables: RetailTables) -> DataFrame:
+    return tables.branch_product.select("filial_id", F.col("idproduto").alias("produto_id"), "preco_venda")
+
+
+def sales_per_branch(sold: DataFrame, prices: DataFrame) -> DataFrame:
+    """Per branch its lines without a catalogue entry, with a fraction, and off the catalogue's price."""
+    prices = prices.withColumn("listed", F.lit(True))
     # Two steps: a catalogue key that repeats must not count a sale twice.
-    priced = (
+    return (
         sold.join(prices, _SALE_KEY, "left")
         .groupBy("filial_id", "produto_id", "valor_unitario")
         .agg(
@@ -315,44 +348,44 @@ def _sales_lines(tables: RetailTables) -> DataFrame:
             F.sum("fractions").alias("fractions"),
             F.sum("off_price").alias("off_price"),
         )
-        .join(branches, "filial_id", "left")
     )
+
+
+def _order_lines(tables: RetailTables) -> DataFrame:
+    """QA-04, -06, -07 and -08 from one pass over the orders, counted per grain before the join."""
+    per_order = lines_per_order(lines_per_grain(tables.purchase_order), received_per_order(tables.goods_receipt))
     return _counted(
-        priced,
+        per_order,
         {
-            "QA-01": F.sum("unlisted"),
-            "QA-02": F.count_if(F.col("stocked").isNull()),
-            "QA-03": F.sum("fractions"),
-            "QA-10": F.sum("off_price"),
+            "QA-04": F.sum("zeroed"),
+            "QA-06": F.sum("inverted"),
+            "QA-07": F.count_if(F.expr(_EXCESS)),
+            "QA-08": F.sum("off"),
         },
     )
 
 
-def _order_lines(tables: RetailTables) -> DataFrame:
-    """QA-04, -06, -07 and -08 from one pass over the orders, counted per grain before the join."""
-    grain = ["ordem_compra", "pedido_id", "produto_id", "qtde_pedida"]
-    lines = tables.purchase_order.groupBy(*grain, "qtde_entregue").agg(
-        F.count("*").alias("n"), F.count_if(F.expr(_INVERTED)).alias("inverted")
-    )
-    receipts = tables.goods_receipt.groupBy("ordem_compra").agg(F.sum("qtde_recebida").cast(QTY_SUM).alias("received"))
+def lines_per_grain(orders: DataFrame) -> DataFrame:
+    """Order lines that agree in all that the rules read; counts of parts of the orders add up."""
+    return orders.groupBy(*LINE_KEY).agg(F.count("*").alias("n"), F.count_if(F.expr(_INVERTED)).alias("inverted"))
+
+
+def received_per_order(receipts: DataFrame) -> DataFrame:
+    return receipts.groupBy("ordem_compra").agg(F.sum("qtde_recebida").cast(QTY_SUM).alias("received"))
+
+
+def lines_per_order(lines: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Per order and product what was received, and its lines that differ, have no link or are inverted."""
+    grain = [c for c in LINE_KEY if c != "qtde_entregue"]
     # Lines that agree in the grain each count the receipt once.
     met = lookup_join(lines, receipts.where("ordem_compra <> 0"), ["ordem_compra"], "left")
     met = met.withColumn("recebida", (F.col("received") * F.col("n")).cast(QTY_SUM))
-    per_order = met.groupBy(*grain).agg(
+    return met.groupBy(*grain).agg(
         F.sum("recebida").alias("recebida"),
         F.count_if(F.expr("recebida <> qtde_entregue")).alias("off"),
         F.sum(F.when(F.expr(_ZEROED), F.col("n"))).alias("zeroed"),
         F.sum("inverted").alias("inverted"),
     )
-    return _counted(
-        per_order,
-        {
-            "QA-04": F.sum("zeroed"),
-            "QA-06": F.sum("inverted"),
-            "QA-07": F.count_if(F.expr("recebida > qtde_pedida")),
-            "QA-08": F.sum("off"),
-        },
-    )
 
 
 def scoreboard(tables: RetailTables) -> DataFrame:
@@ -365,8 +398,7 @@ def scoreboard(tables: RetailTables) -> DataFrame:
         _sales_lines(tables),
         _order_lines(tables),
         _counted(_twins(tables), {"QA-05": F.sum("ocorrencias")}),
-        _counted(tables.branch_product, {"QA-09": F.count_if(F.expr(_BELOW_COST))}),
-        _counted(idle_suppliers(tables), {"QA-11": F.count("*")}),
+        dimension_lines(tables),
     ]
     lines = parts[0]
     for part in parts[1:]:

@@ -16,8 +16,13 @@ _SCHEMA = (
 
 
 def record(tables: RetailTables, run: date, folder: str) -> None:
-    """Store the scoreboard of a run; a second run on the same date replaces the first."""
-    scoreboard(tables).coalesce(1).write.mode("overwrite").parquet(
+    """Store the scoreboard of a run, worked out from scratch."""
+    store(scoreboard(tables), run, folder)
+
+
+def store(lines: DataFrame, run: date, folder: str) -> None:
+    """Store a scoreboard; a second run on the same date replaces the first."""
+    lines.coalesce(1).write.mode("overwrite").parquet(
         f"{folder.rstrip('/')}/data_execucao={run.isoformat()}"
     )
 

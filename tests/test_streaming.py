@@ -1,11 +1,14 @@
 """Streams over several arrivals, and batches that run twice."""
 
+import random
 from datetime import date, datetime
 
 from conftest import rows_of
 
 from ledgerloom.model.schema import SALES
 from ledgerloom.operators.resolve import resolve
+from ledgerloom.plans import quality
+from ledgerloom.plans.increments import RunningScoreboard
 from ledgerloom.streaming.gate import ReferenceGate
 from ledgerloom.streaming.history import record, trend
 from ledgerloom.streaming.reprocessed import RepeatAlerts, repeated_keys
@@ -181,3 +184,59 @@ def test_history_of_the_scoreboard(spark, tables, tmp_path):
         (date(2025, 1, 1), 0, None),
         (date(2025, 1, 2), 2, 2),
     ]
+
+
+def test_running_scoreboard_equals_one_from_scratch(spark, tables, tmp_path):
+    draw = random.Random(5)
+    prices = {1: [("P1", 2), ("P2", 3), ("P3", 4)], 2: [("P1", 2)]}
+
+    def catalogue(changed=()):
+        rows = [(b, p, dict(changed).get((b, p), v)) for b, products in prices.items() for p, v in products]
+        rows += [(b, p, v) for (b, p), v in changed if p not in dict(prices.get(b, ()))]
+        return [
+            {"filial_id": b, "idproduto": p, "preco_venda": v, "preco_compra": 3, "idfornecedor": "F1"} for b, p, v in rows if v is not None
+        ]
+
+    def load(n):
+        sales = [
+            {"venda_id": i, "filial_id": draw.choice([1, 2, 3, None]), "produto_id": draw.choice(["P1", "P2", "P3", "P4"]), "data_emissao": "2025-02-01",
+             "qtde_vendida": draw.choice(["1", "1.5"]), "valor_unitario": draw.choice([2, 3]), "unidade_medida": "UN"}
+            for i in range(n)
+        ]
+        orders = [
+            {"pedido_id": draw.randrange(9), "ordem_compra": draw.choice([0, 1, 2, 3, 4, 5]), "produto_id": draw.choice(["P1", "P2"]), "item": 1,
+             "qtde_pedida": draw.choice([1, 2, None]), "qtde_entregue": draw.choice([0, 1, 2]), "preco_compra": draw.choice([1, 2, None]),
+             "data_pedido": draw.choice(["2025-02-01", "2025-02-02", None]), "data_entrega": draw.choice(["2025-02-01", "2025-02-05", None])}
+            for _ in range(n)
+        ]
+        receipts = [{"ordem_compra": draw.choice([0, 1, 2, 3, 7]), "qtde_recebida": draw.choice([1, 2, "0.5"])} for _ in range(n // 2)]
+        return {"sales": sales, "purchase_order": orders, "goods_receipt": receipts}
+
+    suppliers = [{"idfornecedor": "F1", "fornecedor_num": 1}, {"idfornecedor": "F2", "fornecedor_num": 2}]
+    loads = [load(20), load(3), {"sales": [], "purchase_order": [], "goods_receipt": []}, load(6)]
+    catalogues = [catalogue(), catalogue(), catalogue([((1, "P1"), 3), ((3, "P4"), 2), ((2, "P1"), None)]), catalogue([((3, "P4"), 2)])]
+    running, whole = RunningScoreboard(spark, str(tmp_path), buckets=8), {k: [] for k in loads[0]}
+    for i, (rows, cat) in enumerate(zip(loads, catalogues)):
+        whole = {k: v + rows[k] for k, v in whole.items()}
+        everything = tables(**whole, branch_product=cat, supplier=suppliers)
+        part = tables(**rows, branch_product=cat, supplier=suppliers)
+        running.add(i, part)
+        if i == 1:
+            running.add(i, part)  # the same load again, as after a failure
+        assert rows_of(running.scoreboard(i, everything)) == rows_of(quality.scoreboard(everything))
+
+
+def test_running_scoreboard_reads_touched_buckets_only(spark, tables, tmp_path):
+    def sales(*products):
+        return tables(sales=[{"venda_id": 1, "filial_id": 1, "produto_id": p, "valor_unitario": 1, "qtde_vendida": 1} for p in products])
+
+    running = RunningScoreboard(spark, str(tmp_path), buckets=16)
+    running.add(0, sales(*[f"P{i}" for i in range(200)]))
+    running.add(1, sales("P7"))
+    keys, buckets = running._touched(["sold"], 1)
+    assert rows_of(keys) == [(1, "P7")] and len(buckets) == 1
+    merged = running._merged("sold", 1, keys, buckets)
+    assert rows_of(merged, "produto_id", "n") == [("P7", 2)]
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    scan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in scan and "bucket" in scan.split("PartitionFilters")[1].split("]")[0], plan
