@@ -5,7 +5,10 @@ pass: stop-word density, length and link density call each block good, bad or
 ambiguous; blocks in menus, headers, footers, sidebars, notices, adverts, forms
 and comments, told by their tags, roles and class names, are bad; within the
 article only whole names count, and ids of headings and sections, which are made
-from titles, do not. Second pass:
+from titles, do not. A few words, as those for comments and adverts, always
+count, whatever stands beside them. Elsewhere a form, or an element that only its
+name speaks against, is a wrapper and no sign if it holds most of the page's
+running text; so is an article element no sign if it holds next to none. Second pass:
 ambiguous blocks, most of them short, take the label of the nearest decided
 neighbours that are not around the article. Where most of what long blocks with
 few links hold is not in a language of the stop words, such blocks are good without
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -71,6 +75,15 @@ AROUND_COMPOUNDS = frozenset(
     """area bar block bottom box btn button buttons container count head icon icons inline inner item items link links list
     news outer page panel posts section site slot title top unit wrap wrapper""".split()
 )
+#: Words that say it alone, also in names of the article's parts as article-comments or story-ad,
+#: unless they tell of a state, as in comments-open or no-ads.
+DECISIVE_NAMES = frozenset(
+    """ad ads adbox adslot advert advertisement advertising adverts comment commentlist comments disqus footer meta related
+    share sharing sponsor sponsored usercomments""".split()
+)
+STATES = frozenset("closed disabled enabled free has no off on open supported with without".split())
+#: Tags on which an id names what the element is for; on others it may be made from a title.
+NAMED_BY_ID = frozenset("div dl ol section table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_TAGS = frozenset("article main".split())
 #: A class or id of which these parts both appear, or the id alone, holds the article.
@@ -80,6 +93,8 @@ MAIN_NAMES = frozenset("article articlebody body content entry main post story t
 #: First pass. Characters of a long block, of one that stop words can vouch for;
 #: share of stop words in running text; share of linked characters that is too much.
 LONG, SOME, STOPS, LINKED = 140, 40, 0.12, 0.4
+#: Share of the running text from which an element is a wrapper, and below which one is no article.
+WRAPPER, ARTICLE = 0.5, 0.25
 
 _TAG = re.compile(
     r"""<(?:!--(?:.*?-->|.*)|[!?][^>]*+(?:>|$)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|$)))""", re.DOTALL
@@ -94,30 +109,37 @@ _LEGAL = re.compile(r"^(?:©|\(c\)\s|copyright\b)|\ball rights reserved\b", re.I
 GOOD, BAD, OPEN = 1, -1, 0
 
 
-def _is_around(tag: str, attributes: str, main: bool) -> bool:
-    """Whether an element stands around the article rather than in it.
+SURE, UNSURE = 2, 1
+
+
+def _is_around(tag: str, attributes: str, main: bool) -> int:
+    """Whether an element stands around the article rather than in it, for sure or unless it wraps the page.
 
     The header of the article itself has its title.
     """
     if tag in AROUND_TAGS and not (main and tag == "header"):
-        return True
+        return UNSURE if tag == "form" else SURE
     if not attributes.strip("/> \t\n"):
-        return False
+        return 0
     if _BARE_HIDDEN.search(attributes):
-        return True
+        return SURE
+    found = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next(filter(None, values), "")
         if name == "role" and value.lower() in AROUND_ROLES or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-            return True
+            return UNSURE if name == "role" and value.lower() == "form" else SURE
         if name in ("class", "id") and tag not in ("html", "body", *MAIN_TAGS) or name in ("class", "id") and tag == "article":
-            if name == "id" and (tag in HEADINGS or main and _is_section(tag, attributes)):
+            if name == "id" and (tag in HEADINGS or tag not in BLOCK_TAGS or main and _is_section(tag, attributes)):
                 continue
             whole = main or tag in ("article", "section") or tag in HEADINGS
             for word in value.split():
                 parts = {p.lower() for p in _NAME_PARTS.findall(word)}
-                if parts & AROUND_NAMES and not parts & MAIN_NAMES and not (whole and parts - AROUND_NAMES - AROUND_COMPOUNDS):
-                    return True
-    return False
+                unknown = parts - AROUND_NAMES - AROUND_COMPOUNDS
+                if parts & DECISIVE_NAMES and not parts & STATES and not (tag == "article" and unknown) and (name == "class" or tag in NAMED_BY_ID):
+                    return SURE
+                if parts & AROUND_NAMES and not parts & MAIN_NAMES and not (whole and unknown):
+                    found = UNSURE
+    return found
 
 
 def _is_section(tag: str, attributes: str) -> bool:
@@ -146,27 +168,37 @@ def _is_main(tag: str, attributes: str) -> bool:
 class _Block:
     """Text of one block, its linked characters, and where it stands."""
 
-    __slots__ = ("parts", "linked", "around", "main", "text", "heading")
+    __slots__ = ("parts", "linked", "around", "doubt", "main", "text", "heading")
 
-    def __init__(self, around: bool, main: bool) -> None:
+    def __init__(self, around: bool, doubt: int, main: bool) -> None:
         self.parts: list[str] = []
         self.linked, self.around, self.main, self.text, self.heading = 0, around, main, "", False
+        #: The number of the innermost element around it that may be a wrapper, 0 for none.
+        self.doubt = doubt
+
+    @property
+    def running(self) -> int:
+        """Its characters, if they may be running text."""
+        return len(self.text) if len(self.text) >= SOME and self.linked <= LINKED / 2 * len(self.text) else 0
 
 
 def blocks_of(page: str) -> list[_Block]:
     """The blocks of a page that have text."""
     found: list[_Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, int, bool]] = []
+    open_tags: Counter[str] = Counter()
     around = main = False
+    #: The innermost element around that may be a wrapper, by number; each knows the next one out.
+    doubt, outer = 0, [0]
     links = at = 0
-    block = _Block(False, False)
+    block = _Block(False, 0, False)
 
     def close() -> None:
         nonlocal block
         block.text = " ".join(html.unescape("".join(block.parts)).split())
         if block.text:
             found.append(block)
-        block = _Block(around, main)
+        block = _Block(around, doubt, main)
 
     def add(text: str) -> None:
         block.parts.append(text)
@@ -184,9 +216,10 @@ def blocks_of(page: str) -> list[_Block]:
         elif position[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag not in LOOSE_TAGS and any(t == tag for t, _, _ in stack):
+            elif tag not in LOOSE_TAGS and open_tags[tag]:
                 while stack:
-                    opened, around, main = stack.pop()
+                    opened, around, doubt, main = stack.pop()
+                    open_tags[opened] -= 1
                     if opened == tag:
                         break
             if tag in BLOCK_TAGS:
@@ -197,19 +230,24 @@ def blocks_of(page: str) -> list[_Block]:
             if tag == "body":
                 # A head that was left open ends here.
                 stack = [s for s in stack if s[0] != "head"]
-                around = main = False
+                open_tags = Counter(s[0] for s in stack)
+                around, doubt, main = False, 0, False
             if tag in SKIPPED_TAGS and not attributes.endswith("/>"):
                 end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
                 at = end.end() if end else len(page)
             elif tag == "a":
                 links += 1
             elif tag in BLOCK_TAGS or tag not in VOID_TAGS:
-                before = around, main
+                before = around, doubt, main
                 here, inner = _is_around(tag, attributes, main), _is_main(tag, attributes)
                 if tag not in LOOSE_TAGS and tag not in VOID_TAGS and (tag in BLOCK_TAGS or here or inner):
                     stack.append((tag, *before))
-                    around, main = around or here, main or inner
-                    if around != before[0] and tag not in BLOCK_TAGS:
+                    open_tags[tag] += 1
+                    around, main = around or here == SURE, main or inner
+                    if here == UNSURE:
+                        outer.append(doubt)
+                        doubt = len(outer) - 1
+                    if (around, doubt) != before[:2] and tag not in BLOCK_TAGS:
                         close()
                 if tag in BLOCK_TAGS:
                     links = 0
@@ -218,9 +256,35 @@ def blocks_of(page: str) -> list[_Block]:
         position = _TAG.search(page, at)
     add(page[at:])
     close()
+    _settle(found, outer)
     return found
 
 
+def _settle(blocks: list[_Block], outer: list[int]) -> None:
+    """Decide the doubts: which elements wrap the page's text, and whether article elements hold it."""
+    running, articles = [0] * len(outer), [0] * len(outer)
+    for b in blocks:
+        if not b.around:
+            running[b.doubt] += b.running
+            articles[b.doubt] += b.main * b.running
+    # An element's text is its own and that of the elements within it, which have higher numbers.
+    for i in range(len(outer) - 1, 0, -1):
+        running[outer[i]] += running[i]
+        articles[outer[i]] += articles[i]
+    # Most of the text, and no article of weight beside it.
+    wraps = [i == 0 or running[i] > WRAPPER * running[0] and articles[0] - articles[i] < ARTICLE * running[0] for i in range(len(outer))]
+    is_in = [True] * len(outer)
+    for i in range(1, len(outer)):
+        is_in[i] = wraps[i] and is_in[outer[i]]
+    for b in blocks:
+        b.around = b.around or not is_in[b.doubt]
+    beside = [b for b in blocks if not b.around]
+    if sum(b.running for b in beside if b.main) < ARTICLE * sum(b.running for b in beside):
+        # What such elements hold besides headings are teasers of other pages.
+        for b in blocks:
+            b.around, b.main = b.around or b.main and not b.heading, False
+
+
 def _first_pass(block: _Block, has_main: bool) -> int:
     if block.around or has_main and not block.main:
         return BAD
