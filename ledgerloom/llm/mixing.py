@@ -39,7 +39,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Documents per rounding slice, on average.
 SLICE = 2000
 #: Newton's iteration ends when every source is this close to its target.
-TOLERANCE, MOST_STEPS = 1e-9, 80
+TOLERANCE = 1e-9
 
 _MILLIONTHS = "decimal(38,0)"
 _DDL = "doc_id long, size long, source_size long, target double, taken long, copies int, rate double, _digest binary"
@@ -96,9 +96,8 @@ def _solve(cells: DataFrame, sizes: dict, counts: dict, wanted: dict, most: int)
     multiplier = {s: 0.0 for s in wanted if 0 < wanted[s] < most * sizes[s]}
     bracket = {s: [-math.inf, math.inf] for s in multiplier}
     open_ = set(multiplier)
-    for _ in range(MOST_STEPS):
-        if not open_:
-            break
+    # Where Newton's step leaves the bracket it is halved, so every source gets there.
+    while open_:
         state = spark.createDataFrame(
             [(s, multiplier[s], sizes[s] / counts[s]) for s in in_order(list(open_))], "_source string, _multiplier double, _mean double"
         )
@@ -189,9 +188,9 @@ def _rounded(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
 def take(docs: DataFrame, weights: dict[str | None, float] | None = None, most: int = 3, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """The mixed rows with all their columns, each as often as it is taken."""
     taken = mix(docs, weights, most, id_column, text_column, source_column).where("copies > 0")
-    at, times = unused(docs.columns, "_row"), unused(docs.columns, "_time")
+    at, times, n = (unused(docs.columns, name) for name in ("_row", "_time", "_copies"))
     key = row_key(F.col("doc_id"), F.col("_digest")).alias(at)
-    copies = taken.groupBy(key).agg(F.sum("copies").cast("int").alias("_copies"))
+    copies = taken.groupBy(key).agg(F.sum("copies").cast("int").alias(n))
     left = docs.withColumn(at, row_key(F.col(id_column).cast("long"), digest(F.col(text_column))))
     met = left.join(copies, at).dropDuplicates([at])
-    return met.withColumn(times, F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(left[c] for c in docs.columns))
+    return met.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*(left[c] for c in docs.columns))

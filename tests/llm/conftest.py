@@ -24,8 +24,8 @@ AWKWARD = [
 @pytest.fixture
 def awkward(spark):
     """Awkward rows, with extra columns whose names clash with those that operators add."""
-    extra = "kept boolean, _digest string, SEQUENCE_ID int, _text int, uid string, size int, _parts int"
-    rows = [(*r, True, "d", 1, 2, "u", 3, 4) for r in AWKWARD]
+    extra = "kept boolean, _digest string, SEQUENCE_ID int, _text int, uid string, size int, _parts int, _copies int, _row int"
+    rows = [(*r, True, "d", 1, 2, "u", 3, 4, 5, 6) for r in AWKWARD]
     return spark.createDataFrame(rows, f"doc_id long, text string, source string, {extra}")
 
 
