@@ -26,6 +26,7 @@ from ledgerloom.plans import load, quality, reconcile, reports
 from ledgerloom.plans.increments import RunningScoreboard
 from ledgerloom.session import scratch_path
 from ledgerloom.sources import csv, sheet, warehouse
+from ledgerloom.sources.bucketed import bucketed
 from ledgerloom.sources.starschema import StarSchema
 from ledgerloom.streaming.gate import ReferenceGate
 from ledgerloom.streaming.history import store, trend
@@ -192,6 +193,11 @@ def _cascade(spark: SparkSession, folder: str) -> DataFrame:
     return integrity.cascade(typed.branch_product, "idfornecedor", changes)
 
 
+def _validated_by_bucket(spark: SparkSession, folder: str) -> DataFrame:
+    typed = bucketed(StarSchema(spark, folder).typed, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return integrity.validate(SALES.foreign_keys[0], typed.sales, typed.branch_product)
+
+
 def _all_cascades(spark: SparkSession, folder: str) -> DataFrame:
     """Suppliers renamed, renumbered and removed; what their products and orders then point at."""
     typed = StarSchema(spark, folder).typed
@@ -391,6 +397,7 @@ def _queries() -> dict[str, Query]:
         "C5": _on_typed(integrity.foreign_key_report),
         "C6": _sales_fk(integrity.admit),
         "C7": _sales_fk(integrity.validate),
+        "C7-bucketed": _validated_by_bucket,
         "C8": _on_raw(integrity.domain_report),
         "C9": _cascade,
         "C9-all": _all_cascades,

@@ -717,6 +717,11 @@ def oracle_sql() -> dict[str, str]:
             "SELECT 'venda_produto' AS restricao, count(*) AS violacoes, count(*) = 0 AS valida"
             f" FROM ven WHERE NOT {_LISTED}",
         ),
+        "C7-bucketed": _query(
+            "ven cat",
+            "SELECT 'venda_produto' AS restricao, count(*) AS violacoes, count(*) = 0 AS valida"
+            f" FROM ven WHERE NOT {_LISTED}",
+        ),
         "C8": _query(_ALL_RAW, _per_table(_c8)),
         "C9": _query(
             "cat forn",

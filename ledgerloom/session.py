@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +29,10 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **conf) ->
         builder = builder.master(master)
     for key, value in {**_SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    # Python workers of a local session find this package where the driver has it.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[1]))
+    return spark
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

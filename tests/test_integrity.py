@@ -7,6 +7,7 @@ from conftest import rows_of
 from ledgerloom.model.schema import BRANCH_PRODUCT, PURCHASE_ORDER, SALES, SUPPLIER, ForeignKey, Table
 from ledgerloom.model.tables import RetailTables
 from ledgerloom.operators import integrity
+from ledgerloom.sources.bucketed import bucketed
 
 PRODUCT = {
     "filial_id": 1, "idproduto": "P1", "descricao": "x", "estoque": 1,
@@ -183,3 +184,18 @@ def test_domain_report_counts_width_and_digits(raw_frame):
         ("unidade_medida", "ate 3 caracteres", 1),
         ("valor_unitario", "8 digitos inteiros", 1),
     ]
+
+
+def test_key_checks_of_bucketed_tables_move_no_rows(tables, tmp_path):
+    t = tables(
+        sales=[{**SALE, "venda_id": i, "produto_id": f"P{i % 7}"} for i in range(40)],
+        branch_product=[{**PRODUCT, "idproduto": f"P{i}"} for i in range(5)],
+    )
+    fk = SALES.foreign_keys[0]
+    stored = bucketed(t, 4, str(tmp_path))
+    checked = integrity.validate(fk, stored.sales, stored.branch_product)
+    assert rows_of(checked) == rows_of(integrity.validate(fk, t.sales, t.branch_product))
+    missing = integrity.missing_parents(fk, stored.sales, stored.branch_product)
+    for df in (missing, integrity.duplicate_keys(stored.branch_product, BRANCH_PRODUCT.key)):
+        assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(missing, "produto_id", "linhas") == [("P5", 5), ("P6", 5)]
