@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.model.schema import TABLES
+from ledgerloom.operators.frequent import KeySketches
 
 
 class RetailTables:
@@ -14,6 +16,8 @@ class RetailTables:
 
     def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
         self._tables = tables
+        #: Finds stored counts of a table's most frequent keys, for tables as they were stored.
+        self._counts: dict[str, Callable[[Sequence[str]], DataFrame | None]] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         table = self._tables[name]
@@ -27,14 +31,25 @@ class RetailTables:
         return self[name]
 
     def with_table(self, name: str, df: DataFrame) -> RetailTables:
-        return RetailTables(**{**self._tables, name: df})
+        changed = RetailTables(**{**self._tables, name: df})
+        changed._counts = {n: f for n, f in self._counts.items() if n != name}
+        return changed
+
+    def key_counts(self, name: str, keys: Sequence[str]) -> DataFrame | None:
+        """The keys of a stored table with the most rows, where it was stored with a sketch of them."""
+        found = self._counts.get(name)
+        return found(keys) if found else None
 
     @staticmethod
     def read(spark: SparkSession, warehouse: str) -> RetailTables:
         """Open the typed Parquet tables of a warehouse folder, schema given."""
-        return RetailTables(
+        tables = RetailTables(
             **{
                 name: spark.read.schema(t.typed_schema).parquet(f"{warehouse.rstrip('/')}/{name}")
                 for name, t in TABLES.items()
             }
         )
+        sketches = KeySketches(spark, warehouse)
+        for name, t in TABLES.items():
+            tables._counts[name] = partial(lambda n, schema, keys: sketches.counts(n, keys, schema), name, t.typed_schema)
+        return tables

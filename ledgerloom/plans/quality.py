@@ -39,7 +39,8 @@ def _catalogue_keys(tables: RetailTables) -> DataFrame:
 
 
 def uncatalogued_sales(tables: RetailTables) -> DataFrame:
-    return lookup_join(tables.sales, _catalogue_keys(tables).distinct(), _SALE_KEY, "left_anti").select(
+    counts = tables.key_counts("sales", _SALE_KEY)
+    return lookup_join(tables.sales, _catalogue_keys(tables).distinct(), _SALE_KEY, "left_anti", counts).select(
         "venda_id",
         "filial_id",
         "produto_id",
@@ -74,7 +75,7 @@ def diverging_sale_prices(tables: RetailTables) -> DataFrame:
         "filial_id", F.col("idproduto").alias("produto_id"), "preco_venda", "preco_unitario"
     )
     return (
-        lookup_join(tables.sales, prices, _SALE_KEY, "inner")
+        lookup_join(tables.sales, prices, _SALE_KEY, "inner", tables.key_counts("sales", _SALE_KEY))
         .where("valor_unitario <> preco_venda")
         .select(
             "venda_id",
@@ -195,7 +196,9 @@ def _received(tables: RetailTables, lines: DataFrame, match: list[str], grain: l
         tables.goods_receipt.groupBy(*match)
         .agg(F.sum("qtde_recebida").cast(QTY_SUM).alias("recebida"))
     )
-    joined = lookup_join(lines.where("ordem_compra <> 0"), receipts, match, "inner")
+    # Without the orders that have no link the counts are, if anything, too high.
+    counts = tables.key_counts("purchase_order", match)
+    joined = lookup_join(lines.where("ordem_compra <> 0"), receipts, match, "inner", counts)
     return joined.groupBy(*grain).agg(F.sum("recebida").cast(QTY_SUM).alias("recebida"))
 
 

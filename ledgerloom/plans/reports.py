@@ -242,7 +242,8 @@ def _working_days_before(d: Column) -> Column:
 def _open_orders(tables: RetailTables) -> DataFrame:
     """Order lines not fully received, each with one class and its balance."""
     joined = lookup_join(
-        tables.purchase_order, _receipts_by_order(tables), ["ordem_compra"], "left"
+        tables.purchase_order, _receipts_by_order(tables), ["ordem_compra"], "left",
+        tables.key_counts("purchase_order", ["ordem_compra"]),
     )
     received = _or_zero("recebida")
     zeroed = F.col("ordem_compra") == 0
@@ -381,7 +382,7 @@ def order_vs_receipt(tables: RetailTables, period: Period, strict: bool = False)
         .otherwise(labels.COMPLETE)
     )
     return (
-        lookup_join(lines, receipts, match, "left")
+        lookup_join(lines, receipts, match, "left", tables.key_counts("purchase_order", match))
         .groupBy(*grain)
         .agg(F.sum("recebida").cast(QTY_SUM).alias("recebida"))
         .withColumn("recebido", _or_zero("recebida"))

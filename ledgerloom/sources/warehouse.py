@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.model.schema import TABLES
 from ledgerloom.model.tables import RetailTables
+from ledgerloom.operators.frequent import KeySketches
 from ledgerloom.operators.numbering import NumberMark, next_number
 from ledgerloom.operators.resolve import backfill
 from ledgerloom.plans.load import LoadCounts, judge, typed_rows
@@ -17,6 +18,9 @@ from ledgerloom.session import pinned
 # Facts are read by period: the date each is clustered on.
 _DATE_OF = {"sales": "data_emissao", "purchase_order": "data_pedido", "goods_receipt": "data_entrada"}
 
+# Keys that lookup joins over all rows of a fact go by; sketched from the stored key columns.
+_LOOKED_UP_BY = {"sales": [("filial_id", "produto_id")], "purchase_order": [("ordem_compra",)]}
+
 
 def write_table(name: str, df: DataFrame, warehouse: str, partitions: int | None = None) -> str:
     """Replace a typed table as a whole.
@@ -36,6 +40,11 @@ def write_table(name: str, df: DataFrame, warehouse: str, partitions: int | None
         # The ranges are found from a sample, which would compute the rows once more.
         df = pinned(df, f"to-store-{name}").repartitionByRange(*([partitions] if partitions else []), *ranges).sortWithinPartitions(date)
     df.write.mode("overwrite").parquet(path)
+    if name in _LOOKED_UP_BY:
+        spark = df.sparkSession
+        stored = spark.read.schema(df.schema).parquet(path)
+        for keys in _LOOKED_UP_BY[name]:
+            KeySketches(spark, warehouse).store(name, stored, keys)
     return path
 
 

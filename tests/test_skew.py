@@ -6,8 +6,14 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from ledgerloom.model.schema import TABLES
+from ledgerloom.model.tables import RetailTables
+from ledgerloom.operators import skew
+from ledgerloom.operators.frequent import KeySketches
 from ledgerloom.operators.numbering import next_number, number_rows
 from ledgerloom.operators.skew import count_rows, crowded_keys, lookup_join
+from ledgerloom.plans import quality, reports
+from ledgerloom.sources import warehouse
 
 FEW = 3
 
@@ -104,3 +110,35 @@ def test_numbering_uses_more_than_one_slice(spark):
 def test_next_number(spark):
     assert next_number(spark.createDataFrame([], "n int"), "n") == 1
     assert next_number(spark.createDataFrame([(7,), (None,)], "n int"), "n") == 8
+
+
+def test_sketches_of_stored_tables_stand_in_for_a_count(spark, tables, tmp_path, monkeypatch):
+    sales = [{"venda_id": i, "filial_id": 1, "produto_id": "P1" if i % 2 else f"P{i}", "data_emissao": "2025-02-01", "item": 1, "qtde_vendida": 1, "valor_unitario": 1} for i in range(60)]
+    orders = [{"pedido_id": i, "ordem_compra": 7 if i % 3 else i, "produto_id": "P1", "item": 1, "qtde_pedida": 1, "qtde_entregue": 0} for i in range(30)]
+    given = tables(sales=sales, purchase_order=orders, goods_receipt=[{"ordem_compra": 7, "qtde_recebida": 3}], branch_product=[{"filial_id": 1, "idproduto": "P4", "preco_venda": 2}])
+    for name in TABLES:
+        warehouse.write_table(name, given[name], str(tmp_path))
+    stored = RetailTables.read(spark, str(tmp_path))
+    assert given.key_counts("sales", ["filial_id", "produto_id"]) is None
+    counts = stored.key_counts("sales", ["filial_id", "produto_id"])
+    assert rows_of(counts.where("_rows > 5"), "filial_id", "produto_id", "_rows") == [(1, "P1", 30)]
+    assert rows_of(stored.key_counts("purchase_order", ["ordem_compra"]).where("_rows > 1")) == [(7, 20)]
+    assert stored.with_table("sales", given.sales).key_counts("sales", ["filial_id", "produto_id"]) is None
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 10)
+    for name, rule in (("sales", quality.uncatalogued_sales), ("sales", quality.diverging_sale_prices), ("purchase_order", quality.received_above_ordered), ("purchase_order", quality.delivered_vs_receipt), ("purchase_order", reports.open_orders)):
+        found = rule(stored)
+        assert rows_of(found) == rows_of(rule(given))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        own = {"sales": "venda_id#", "purchase_order": "pedido_id#"}[name]
+        assert sum("Relation [" in line and own in line for line in plan.splitlines()) == 1
+
+
+def test_sketches_of_loads_add_up(spark, tmp_path):
+    sketches = KeySketches(spark, str(tmp_path))
+    rows = spark.range(100).select((F.col("id") % 4).alias("k"))
+    assert sketches.counts("t", ["k"], rows.schema) is None
+    sketches.store("t", rows, ["k"])
+    sketches.store("t", rows.where("k = 1").unionByName(rows.where("k = 9")), ["k"], load=1, first=False)
+    assert rows_of(sketches.counts("t", ["k"], rows.schema)) == [(0, 25), (1, 50), (2, 25), (3, 25)]
+    sketches.store("t", rows.where("k = 2"), ["k"])
+    assert rows_of(sketches.counts("t", ["k"], rows.schema)) == [(2, 25)]
