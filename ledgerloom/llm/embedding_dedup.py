@@ -8,15 +8,17 @@ shards. Every vector then searches the shards of its nearest centres: greedily
 from their medoids, and from itself where it is a member; around each vector
 found within range the search expands until nothing new is in range. Links are
 verified by their cosine in double precision. An audit of ``AUDITED`` vectors
-against all rows measures recall; while it is below ``recall``, the search is
-repeated over twice as many shards and with twice the beam. If that is not enough
-after ``ROUNDS`` rounds, every vector is compared with all members of every shard
+against all rows measures recall, by number of links, and takes the worst figure;
+while it is below ``recall``, the search is repeated over twice as many shards and
+with twice the beam. If that is not enough after ``ROUNDS`` rounds, every vector is compared with all members of every shard
 that can hold a vector in range: shards are left out only where the angles of
 their members to the centre, or the plane that parts two centres, rule it out.
 
 Sizes: equal vectors are one from the start. A shard is split so that a place
 holds at most ``PLACE`` members and ``PLACE`` searching vectors, so a third of
-all rows may be near one vector. Links are counted where they are found and
+all rows may be near one vector. In a place a query keeps a beam and one mark per
+member; where members in range have more edges than there are members, it is
+compared with all of them, so it never costs much more than that. Links are counted where they are found and
 leave as one row per vector and place. The sample, the centres and the
 audited vectors have fixed bounds; only they reach the driver.
 
@@ -30,6 +32,7 @@ columns are not read.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -38,7 +41,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, bounded_sample, pinned, rows_of
@@ -54,7 +57,9 @@ DEGREE, CANDIDATES, PRUNING, FAR = 24, 48, 1.2, 4
 PLACE = 4096
 #: Vectors that a greedy search keeps at first; medoids that it starts from.
 BEAM, MEDOIDS = 24, 8
-AUDITED, RECALL, ROUNDS = 256, 0.99, 4
+AUDITED, RECALL, ROUNDS = 512, 0.99, 4
+#: Links of a vector that count as few, and as not many, in the audit.
+FEW, MANY = 5, 50
 #: Members, and comparing vectors, of one place of a whole scan; allowance for rounding of angles.
 WIDE, SLACK = 16_384, 1e-6
 
@@ -93,8 +98,10 @@ def _units(column: list[bytes]) -> np.ndarray:
 
 def _centres(points: DataFrame) -> dict[int, np.ndarray]:
     """Centres by length of vector, from at most ``SAMPLE`` vectors."""
-    sizes = {r["dim"]: r["n"] for r in points.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(16).collect()}
     rows = bounded_sample(points.select("uid", "dim", "unit"), "uid", SAMPLE).collect()
+    # Lengths of which the sample has enough for two centres: at most one for 16 of its rows.
+    often = [d for d, n in Counter(r["dim"] for r in rows).items() if d and n >= 16]
+    sizes = {r["dim"]: r["n"] for r in points.where(F.col("dim").isin(often)).groupBy("dim").agg(F.count("*").alias("n")).collect()}
     found = {}
     for dim, n in sizes.items():
         sample = [bytes(r["unit"]) for r in rows if r["dim"] == dim]
@@ -171,17 +178,19 @@ def flat_graph(units: np.ndarray) -> list[np.ndarray]:
     n = len(units)
     random = np.random.default_rng(n)
     neighbours: list[set[int]] = [set() for _ in range(n)]
-    for i in range(0, n, 512):
-        near = units[i : i + 512] @ units.T
+    for i in range(0, n, 256):
+        near = units[i : i + 256] @ units.T
         near[np.arange(len(near)), np.arange(i, i + len(near))] = -2
         many = min(CANDIDATES, n - 1)
         if many < 1:
             continue
         best = np.argpartition(-near, many - 1, axis=1)[:, :many]
-        for row in range(len(near)):
-            order = best[row][np.argsort(-near[row, best[row]], kind="stable")]
-            for j in _pruned(units[order], near[row, order]):
-                neighbours[i + row].add(int(order[j]))
+        cosines = np.take_along_axis(near, best, axis=1)
+        order = np.argsort(-cosines, axis=1, kind="stable")
+        best, cosines = np.take_along_axis(best, order, axis=1), np.take_along_axis(cosines, order, axis=1)
+        row, column = np.nonzero(_pruned(units[best], cosines))
+        for r, j in zip((row + i).tolist(), best[row, column].tolist()):
+            neighbours[r].add(j)
     for i, own in enumerate([list(x) for x in neighbours]):
         for j in own:
             if len(neighbours[j]) < 2 * DEGREE:
@@ -192,65 +201,106 @@ def flat_graph(units: np.ndarray) -> list[np.ndarray]:
     return [np.array(sorted(x), np.int64) for x in neighbours]
 
 
-def _pruned(candidates: np.ndarray, cosines: np.ndarray) -> list[int]:
-    """Robust pruning of candidates, nearest first: a candidate goes if one taken is nearer to it by the factor."""
+def _pruned(candidates: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """Robust pruning of each row's candidates, nearest first: which of them are taken.
+
+    A candidate goes if one taken is nearer to it by the factor.
+    """
     distance = np.sqrt(np.maximum(0, 2 - 2 * cosines))
-    among = np.sqrt(np.maximum(0, 2 - 2 * (candidates @ candidates.T)))
-    open_, taken = np.ones(len(candidates), bool), []
-    for j in range(len(candidates)):
-        if open_[j]:
-            taken.append(j)
-            if len(taken) == DEGREE:
-                break
-            open_ &= PRUNING * among[j] > distance
+    among = np.sqrt(np.maximum(0, 2 - 2 * (candidates @ candidates.transpose(0, 2, 1))))
+    open_, taken = np.ones(cosines.shape, bool), np.zeros(cosines.shape, bool)
+    for j in range(cosines.shape[1]):
+        taken[:, j] = open_[:, j] & (taken.sum(axis=1) < DEGREE)
+        open_ &= ~taken[:, j, None] | (PRUNING * among[:, j] > distance)
     return taken
 
 
-def search(units: np.ndarray, graph: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, member) pairs with a cosine of at least ``least`` that the search finds.
+class Search:
+    """Range search of a flat graph for many queries at once.
 
-    ``graph`` has neighbours per member, padded with -1; ``own`` the position of
-    each query among the members, or -1.
+    A query keeps a beam of the best members that it has met, and a mark for each
+    member that it has met. It expands the best of its beam until all of the beam
+    are expanded, then every member in range until none in range is left. Where the
+    members in range have more edges than there are members, the query is compared
+    with all members outright, as that is less work and misses nothing.
     """
-    n, m = len(units), len(queries)
-    seen = np.zeros((m, n), bool)
-    cosine = np.full((m, n), -2.0, np.float64)
-    expanded = np.zeros((m, n), bool)
-    starts = {int((units @ units[j::MEDOIDS].mean(axis=0)).argmax()) for j in range(min(MEDOIDS, n))}
-
-    def visit(q: np.ndarray, x: np.ndarray) -> None:
-        new = (x >= 0) & ~seen[q, np.maximum(x, 0)]
-        q, x = q[new], x[new]
-        seen[q, x] = True
-        for i in range(0, len(q), 1 << 16):
-            at = slice(i, i + (1 << 16))
-            cosine[q[at], x[at]] = np.einsum("ij,ij->i", queries[q[at]], units[x[at]])
-
-    everyone = np.arange(m)
-    for s in sorted(starts):
-        visit(everyone, np.full(m, s))
-    visit(everyone, own)
-    many = min(beam, n)
-    active = everyone
-    while len(active):
-        # The best that are known; of those the best whose neighbours are not.
-        there = cosine[active]
-        top = np.argpartition(-there, many - 1, axis=1)[:, :many]
-        value = np.take_along_axis(there, top, axis=1)
-        value[expanded[active[:, None], top]] = -2
-        best = value.argmax(axis=1)
-        going = value[np.arange(len(active)), best] > -2
-        active, node = active[going], top[np.arange(len(going)), best][going]
-        expanded[active, node] = True
-        visit(np.repeat(active, graph.shape[1]), graph[node].ravel())
-    while True:
-        q, x = np.nonzero((cosine >= least) & ~expanded)
-        if not len(q):
-            break
-        expanded[q, x] = True
-        for i in range(0, len(q), 1 << 14):
-            visit(np.repeat(q[i : i + (1 << 14)], graph.shape[1]), graph[x[i : i + (1 << 14)]].ravel())
-    return np.nonzero(cosine >= least)
+
+    def __init__(self, units: np.ndarray, graph: np.ndarray) -> None:
+        #: ``graph`` has neighbours per member, padded with -1.
+        self.units, self.graph = units, graph
+        self.starts = sorted({int((units @ units[j::MEDOIDS].mean(axis=0)).argmax()) for j in range(min(MEDOIDS, len(units)))})
+        self.computed = 0
+
+    def __call__(self, queries: np.ndarray, own: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, member) pairs with a cosine of at least ``least`` that are found, sorted.
+
+        ``own`` has the position of each query among the members, or -1.
+        """
+        n, m = len(self.units), len(queries)
+        met = np.zeros((m, n), bool)
+        found: list[np.ndarray] = []
+
+        def visit(rows: np.ndarray, members: np.ndarray) -> np.ndarray:
+            """Cosines of the members that a row has not met; -2 for the others, which may be -1."""
+            at = np.flatnonzero((members >= 0) & ~met[rows[:, None], members])
+            q, x = rows[at // members.shape[1]], members.ravel()[at]
+            met[q, x] = True
+            cosine = np.full(members.shape, -2.0)
+            near = np.einsum("ij,ij->i", queries[q], self.units[x])
+            cosine.ravel()[at] = near
+            self.computed += len(at)
+            hit = near >= least
+            found.append(q[hit] * n + x[hit])
+            return cosine
+
+        everyone = np.arange(m)
+        first = [np.full((m, 1), s) for s in self.starts] + [own[:, None]]
+        at, cosine = np.hstack(first), np.hstack([visit(everyone, x) for x in first])
+        open_ = cosine > -2
+        done: list[np.ndarray] = []
+        rows = everyone
+        while True:
+            best = np.where(open_, cosine, -2).argmax(axis=1)
+            going = open_[np.arange(len(rows)), best]
+            rows, at, cosine, open_, best = rows[going], at[going], cosine[going], open_[going], best[going]
+            if not len(rows):
+                break
+            line = np.arange(len(rows))
+            node = at[line, best]
+            open_[line, best] = False
+            done.append(rows * n + node)
+            near = self.graph[node]
+            new = visit(rows, near)
+            at, cosine, open_ = np.hstack([at, near]), np.hstack([cosine, new]), np.hstack([open_, new > -2])
+            if at.shape[1] > beam:
+                kept = np.argpartition(-cosine, beam - 1, axis=1)[:, :beam]
+                at, cosine, open_ = (np.take_along_axis(x, kept, axis=1) for x in (at, cosine, open_))
+        expanded = np.unique(np.concatenate(done)) if done else np.array([], np.int64)
+        frontier = np.setdiff1d(np.concatenate(found), expanded)
+        edges = max(1, self.graph.shape[1])
+        while len(frontier):
+            q, x = np.divmod(frontier, n)
+            crowded = np.bincount(q, minlength=m) * edges > n
+            for at in np.array_split(np.flatnonzero(crowded), -(-int(crowded.sum()) // 64)) if crowded.any() else []:
+                near = queries[at] @ self.units.T
+                near[met[at]] = -2
+                met[at] = True
+                self.computed += near.size
+                inside = near >= least
+                # What is as near as rounding goes is told alike from both ends.
+                row, member = np.nonzero(np.abs(near - least) < 1e-12)
+                inside[row, member] = np.einsum("ij,ij->i", queries[at[row]], self.units[member]) >= least
+                row, member = np.nonzero(inside)
+                found.append(at[row] * n + member)
+            # Of a query that has met all members nothing is left to expand.
+            q, x = q[~crowded[q]], x[~crowded[q]]
+            new_from = len(found)
+            # One member of a query at a time, so that none is met twice at once.
+            turn = np.arange(len(q)) - np.searchsorted(q, q)
+            for t in range(int(turn.max()) + 1 if len(turn) else 0):
+                visit(q[turn == t], self.graph[x[turn == t]])
+            frontier = np.sort(np.concatenate(found[new_from:])) if len(found) > new_from else frontier[:0]
+        return tuple(np.divmod(np.sort(np.concatenate(found)), n))
 
 
 def _adjacency(members: DataFrame, points: DataFrame) -> DataFrame:
@@ -325,6 +375,7 @@ class _Place:
         self.graph = np.full((len(uid), max(1, max(map(len, lists)))), -1, np.int64)
         for i, near in enumerate(lists):
             self.graph[i, : len(near)] = near
+        self.search = Search(self.units, self.graph)
         #: Members joined by links, directly or through a searching vector.
         self.label = np.arange(len(uid))
         self.counted: list[tuple[int, int, int]] = []
@@ -332,7 +383,7 @@ class _Place:
     def take(self, chunk: list[tuple], least: float, beam: int) -> None:
         _, _, uid, regions, _, queries, _ = zip(*chunk)
         own = np.array([self.at.get(u, -1) for u in uid])
-        query, member = search(self.units, self.graph, _units(list(queries)), own, least, beam)
+        query, member = self.search(_units(list(queries)), own, least, beam)
         ends = np.searchsorted(query, np.arange(len(uid) + 1))
         for q, u in enumerate(uid):
             met = member[ends[q] : ends[q + 1]]
@@ -495,9 +546,21 @@ class _Whole(_Place):
 
 
 def _audit(points: DataFrame, counts: DataFrame, least: float) -> float:
-    """Share of the links of a bounded set of vectors, by brute force over all rows, that were found."""
-    chosen = bounded_sample(points, "uid", AUDITED)
-    asked = {r["uid"]: (r["dim"], bytes(r["unit"])) for r in chosen.select("uid", "dim", "unit").collect()}
+    """The worst recall of a bounded set of vectors, by brute force over all rows.
+
+    The set is drawn evenly from vectors with no link found, few, more and many, so
+    that one large group does not speak for all. Measured are the share of their
+    links that was found, and for vectors that truly have few, more and many links
+    the mean share per vector, each vector standing for its part of the drawn rows.
+    """
+    ranked = points.join(counts, "uid", "left").withColumn("found", F.coalesce("found", F.lit(0))).where("dim > 0")
+    ranked = pinned(ranked.select("uid", "dim", "unit", "found", _stratum(F.col("found")).alias("drawn")), "ranked")
+    size = {r["drawn"]: r["n"] for r in ranked.groupBy("drawn").agg(F.count("*").alias("n")).collect()}
+    asked, stands = {}, {}
+    for drawn, n in size.items():
+        chosen = bounded_sample(ranked.where(F.col("drawn") == drawn), "uid", AUDITED // 4).collect()
+        for r in chosen:
+            asked[r["uid"]], stands[r["uid"]] = (r["dim"], bytes(r["unit"])), (n / len(chosen), r["found"])
     if not asked:
         return 1.0
     by_dim = {d: sorted(u for u, (e, _) in asked.items() if e == d) for d in {d for d, _ in asked.values()}}
@@ -517,9 +580,21 @@ def _audit(points: DataFrame, counts: DataFrame, least: float) -> float:
         yield from batches_of(iter(totals.items()), schema)
 
     true = points.where("dim > 0").select("uid", "dim", "unit", "copies").mapInArrow(run, "uid long, links long")
+    # At most AUDITED rows.
     true = true.groupBy("uid").agg(F.sum("links").alias("links")).where("links > 0")
-    sums = true.join(counts, "uid", "left").agg(F.sum("links").alias("all"), F.sum(F.least("links", F.coalesce("found", F.lit(0)))).alias("got")).first()
-    return (sums["got"] or 0) / sums["all"] if sums["all"] else 1.0
+    of, got = Counter(), Counter()
+    for r in true.select("uid", "links", _stratum(F.col("links")).alias("stratum")).collect():
+        weight, found = stands[r["uid"]]
+        found = min(found, r["links"])
+        of[r["stratum"]] += weight
+        got[r["stratum"]] += weight * found / r["links"]
+        of["all"] += weight * r["links"]
+        got["all"] += weight * found
+    return min((got[x] / of[x] for x in of), default=1.0)
+
+
+def _stratum(links: Column) -> Column:
+    return F.when(links == 0, 0).when(links <= FEW, 1).when(links <= MANY, 2).otherwise(3)
 
 
 def similar_vectors(
@@ -538,14 +613,14 @@ def similar_vectors(
         if not attempt:
             lists = pinned(_adjacency(members, points), "adjacency")
         links = pinned(_found(members, searches, points, lists, least, beam), "links")
-        counts = links.groupBy("uid").agg(F.sum("found").alias("found"))
+        counts = pinned(links.groupBy("uid").agg(F.sum("found").alias("found")), "counts")
         measured = _audit(points, counts, least)
         if measured >= recall:
             break
         probes, beam = probes * 2, beam * 2
     else:
         links = pinned(_scanned(points, centres, least), "links")
-        counts = links.groupBy("uid").agg(F.sum("found").alias("found"))
+        counts = pinned(links.groupBy("uid").agg(F.sum("found").alias("found")), "counts")
         measured = _audit(points, counts, least)
     groups = connected_components(links.select(F.col("uid").alias("a"), F.col("other").alias("b")))
     named = classes.join(counts, "uid", "left").join(groups.withColumnRenamed("id", "uid"), "uid", "left")

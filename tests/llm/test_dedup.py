@@ -217,3 +217,42 @@ def test_connections_survive_without_all_pairs(spark):
     rows = [(i, [float(np.cos(np.radians(a))), float(np.sin(np.radians(a)))]) for i, a in angles.items()]
     got = linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     assert got == links_of(rows) and {r[2] for r in got} == {1}
+
+
+@pytest.mark.parametrize("kind", ["sparse", "crowded", "both"])
+def test_search_of_a_graph_finds_what_brute_force_finds(kind):
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=32)
+    crowd, pairs = middle / np.linalg.norm(middle) + 0.05 * rng.normal(size=(900, 32)), rng.normal(size=(900, 32))
+    pairs[1::3] = pairs[::3] + 0.2 * rng.normal(size=(300, 32))
+    units = {"sparse": pairs, "crowded": crowd, "both": np.concatenate([crowd, pairs])}[kind]
+    units = units / np.linalg.norm(units, axis=1, keepdims=True)
+    lists = embedding_dedup.flat_graph(units)
+    graph = np.full((len(units), max(map(len, lists))), -1)
+    for i, near in enumerate(lists):
+        graph[i, : len(near)] = near
+    search = embedding_dedup.Search(units, graph)
+    outside = rng.normal(size=(20, 32))
+    queries = np.concatenate([units[::7], outside / np.linalg.norm(outside, axis=1, keepdims=True)])
+    own = np.append(np.arange(0, len(units), 7), np.full(20, -1))
+    query, member = search(queries, own, 0.9, 24)
+    true = set(zip(*map(np.ndarray.tolist, np.nonzero(queries @ units.T >= 0.9))))
+    assert set(zip(query.tolist(), member.tolist())) == true and len(query) == len(true)
+    if kind == "sparse":
+        assert search.computed < 0.75 * len(queries) * len(units)
+
+
+def test_audit_sees_what_a_crowd_hides(spark, monkeypatch):
+    """Links that are missing from a few vectors with one link each, beside a group that has all of its own."""
+    rng = np.random.default_rng(10)
+    middle = rng.normal(size=16)
+    crowd = middle / np.linalg.norm(middle) + 0.02 * rng.normal(size=(1500, 16))
+    pairs = rng.normal(size=(200, 16))
+    pairs[1::2] = pairs[::2] + 0.01 * rng.normal(size=(100, 16))
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(np.concatenate([crowd, pairs]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    points = df.mapInArrow(embedding_dedup._points, embedding_dedup._POINT_DDL).selectExpr("uid", "vec_id", "dim", "unit", "1L AS copies")
+    full = {r[0]: r[1] for r in links_of(rows)}
+    whole = spark.createDataFrame([(i, n) for i, n in full.items() if n], "uid long, found long")
+    assert embedding_dedup._audit(points, whole, 0.9) == 1.0
+    assert embedding_dedup._audit(points, whole.where("uid < 1500"), 0.9) < 0.5
