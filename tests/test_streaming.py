@@ -240,3 +240,52 @@ def test_running_scoreboard_reads_touched_buckets_only(spark, tables, tmp_path):
     plan = merged._jdf.queryExecution().optimizedPlan().toString()
     scan = merged._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in scan and "bucket" in scan.split("PartitionFilters")[1].split("]")[0], plan
+
+
+def test_finished_batches_become_one_snapshot(spark, frame, tmp_path):
+    """Seven arrivals, merged every other batch: the same register, numbers and events as unmerged."""
+    suppliers = frame("supplier", [{"idfornecedor": "F1", "fornecedor_num": 1, "razao_social": "Um"}])
+    inbox = str(tmp_path / "in")
+    for k in range(7):
+        events = [(10 * k + i, "INSERT", 1, f"P{k}{i}", None, None, c, None) for i, c in enumerate(("F1", f"F{10 + k}", f"F{10 + k // 2}"))]
+        _arrive(spark.createDataFrame(events, CHANGES), inbox)
+    schema = spark.createDataFrame([], CHANGES).schema
+
+    def run(folder, every):
+        job = SupplierStream(suppliers, str(tmp_path / folder), every)
+        job.run(_stream(spark, schema, inbox))
+        return job
+
+    plain, merged = run("plain", 100), run("merged", 2)
+    for a, b in ((plain.suppliers(), merged.suppliers()), (plain.events(schema), merged.events(schema))):
+        assert rows_of(a, *a.columns) == rows_of(b, *b.columns) and a.columns == b.columns
+    assert rows_of(plain.suppliers(before=3), "idfornecedor") == rows_of(merged.suppliers(before=3), "idfornecedor")
+    # Merged up to 6; the batches and the snapshot before the last merge but one are gone.
+    left = sorted(p.name for p in (tmp_path / "merged" / "suppliers").glob("batch=*"))
+    assert left == ["batch=4", "batch=5", "batch=6"]
+    assert sorted(p.name for p in (tmp_path / "merged" / "suppliers" / "merged").iterdir()) == ["upto=4", "upto=6"]
+    assert len(list((tmp_path / "merged" / "events" / "merged").iterdir())) == 3
+
+    # The last batch again, and a merge that never was complete.
+    (tmp_path / "merged" / "suppliers" / "merged" / "upto=7").mkdir()
+    before = rows_of(merged.suppliers(), "idfornecedor", "fornecedor_num")
+    replay = spark.createDataFrame(merged.events(schema).where("batch = 6").select(*schema.names).collect(), schema)
+    merged._resolve(replay, 6)
+    assert rows_of(merged.suppliers(), "idfornecedor", "fornecedor_num") == before
+    assert merged.events(schema).count() == 21
+
+
+def test_gate_over_many_batches_in_few_folders(spark, frame, tmp_path):
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    base = {"filial_id": 1, "item": 1, "data_emissao": "2025-02-01"}
+    for i in range(5):
+        _arrive(frame("sales", [{**base, "venda_id": 2 * i + k, "produto_id": p} for k, p in enumerate(("P1", "P2"))]), inbox)
+    parent = frame("branch_product", [{"filial_id": 1, "idproduto": "P1"}])
+    like = frame("sales", [])
+    gate = ReferenceGate(SALES.foreign_keys[0], lambda: parent, out, every=2)
+    gate.run(_stream(spark, like.schema, inbox))
+    got = gate.rows(like)
+    assert rows_of(got, "venda_id", "aceito") == [(i, i % 2 == 0) for i in range(10)]
+    assert sorted(r["batch"] for r in got.collect()) == sorted(2 * list(range(5)))
+    # Two merges and the last batch, each with one file of either kind.
+    assert len(got.inputFiles()) == 6
