@@ -47,6 +47,25 @@ def test_a_hash_collision_is_told_apart(spark, monkeypatch):
     assert got == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True), (4, 4, 1, True)]
 
 
+def test_only_texts_that_share_their_hash_are_compared(spark, monkeypatch):
+    """One text with a third of the rows, pairs, and many texts that no other equals."""
+    rows = [(i, "one text" if i % 3 == 0 else f"text {i // 2 if i % 7 == 1 else i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts = docs.select(exact_dedup.digest(exact_dedup.normalised(docs.text)).alias("_hash"), "text")
+    counts = texts.groupBy("_hash").count()
+    shared = counts.where("count > 1").withColumnRenamed("_hash", "_shared")
+    met = Counter(r[0] for r in exact_dedup._perhaps_shared(texts, shared).select("text").collect())
+    often = Counter(t for _, t in rows)
+    assert {t: n for t, n in often.items() if n > 1}.items() <= met.items() and sum(met.values()) < 1800
+    assert exact_dedup._perhaps_shared(texts, shared.where("false")).isEmpty()
+    expected = rows_of(exact_dedup.equal_texts(docs))
+    monkeypatch.setattr(exact_dedup, "ROWS_PER_SALT", 40)
+    # With few bits most texts pass, to the same result.
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", 8)
+    assert rows_of(exact_dedup.equal_texts(docs)) == expected
+    assert [r[2] for r in expected] == [often[t] for _, t in sorted(rows, key=lambda r: str(r[0]))]
+
+
 def brute(rows, hundredths=75):
     sets = []
     for _, text in rows:
