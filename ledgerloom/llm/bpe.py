@@ -131,6 +131,7 @@ class PrefixCounts:
         self.stays: dict[tuple[bytes, bytes], bool] = {}
         self.prefixes: dict[bytes, tuple[int, bytes]] = {}
         self.remembered = _Remembered(self)
+        self.inside: dict[tuple[str, str], list[int]] = {}
 
     def _spine(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
         """The tokens at one end of ``token`` as it grows, each with the rank of the merge that takes it in."""
@@ -269,6 +270,58 @@ class PrefixCounts:
             total, done = total + here, done + len(segment)
         return total, done if fit is None else fit
 
+    def at_every_prefix(self, text: str) -> np.ndarray:
+        """Token counts of ``text[:0]``, ``text[:1]`` and so on to the whole text.
+
+        Each is what the library gives for that prefix alone. What a run adds at each of
+        its own prefixes depends on it and on white space right before it, and is remembered.
+        """
+        odd = self.vocab.needs_library(text)
+        cut = self._library_cut if odd else self.vocab.split.findall
+        specials = self.vocab.special_split.findall(text) if self.vocab.special_split else []
+        counts, total, last, ahead = [0], 0, "", 0
+        for k, segment in enumerate(self.vocab.segments(text)):
+            if k:
+                # The beginning of a special string is plain text, cut together with what stands before it.
+                counts += [ahead + self.count(last + specials[k - 1][:end]) for end in range(1, len(specials[k - 1]))]
+                total += 1
+                counts.append(total)
+                last, ahead = "", total
+            pieces, before = cut(segment), ""
+            for i, piece in enumerate(pieces):
+                key = before if before.isspace() and piece[0].isspace() else "", piece
+                added = None if odd else self.inside.get(key)
+                if added is None:
+                    added = self._added(*key, cut)
+                    if not odd and len(piece) <= LONG_PIECE:
+                        if len(self.inside) >= REMEMBERED:
+                            self.inside.clear()
+                        self.inside[key] = added
+                if i == len(pieces) - 2:
+                    last, ahead = "", total
+                if i >= len(pieces) - 2:
+                    last, ahead = last + piece, ahead if last else total
+                counts += [total + n for n in added]
+                total, before = total + self.remembered[piece], piece
+        return np.array(counts, np.int32)
+
+    def _added(self, space: str, piece: str, cut) -> list[int]:
+        """What the prefixes of a run, from one code point to all, add to the count before it."""
+        long, known = self._long_run(piece), self.remembered.__getitem__
+        held, found = (known(space) if space else 0), []
+        for end in range(1, len(piece) + 1):
+            tail = piece[:end] if long is None or end == 1 else ""
+            if space and tail.isspace():
+                # White space joins white space, as nothing follows.
+                found.append(sum(map(known, cut(space + tail))) - held)
+            else:
+                # A long run is of one kind, so its prefixes are runs as well.
+                found.append(sum(map(known, cut(tail))) if tail else long[end])
+        return found
+
+    def _library_cut(self, text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in self.vocab.library.pre_tokenizer.pre_tokenize_str(text)]
+
     def _inside(self, pieces: list[str], ahead: np.ndarray, starts: np.ndarray, full: int, budget: int) -> int:
         """The longest prefix that ends in run ``full`` or just behind it."""
         for k in range(min(full + 1, len(pieces) - 1), full - 1, -1):

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from conftest import rows_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -193,3 +194,35 @@ def test_other_vocabularies_are_refused():
         import public_tokenizers
 
         bpe.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_counts_at_every_prefix_equal_the_library():
+    counts = bpe.prefix_counts(bpe.default_path())
+    odd = next(c for c in map(chr, range(0x530, 0xD800)) if counts.vocab._is_odd(c))
+    parts = ["the", " cat", "s", " ", "  ", "\n", "\n\n", "\t", "'", "'t", "'ll", "!!", "<|", "12", " é", "漢字", "😀", "=", "x" * 70, " " * 70, "=!" * 40]
+    rng = random.Random(3)
+    for k in range(150):
+        pool = [*parts, *counts.vocab.specials, *([odd] if k % 5 == 0 else [])]
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 12)))
+        expected = [len(counts.vocab.library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+        assert counts.at_every_prefix(text).tolist() == expected, text
+
+
+def test_budgets_and_lengths_are_answered_from_the_table(spark, awkward, nothing, tmp_path):
+    token_counts.prefix_table(awkward).write.parquet(str(tmp_path / "table"))
+    table = spark.read.parquet(str(tmp_path / "table"))
+    library = bpe.vocabulary(bpe.default_path()).library
+
+    def tokens(text):
+        return len(library.encode(text, add_special_tokens=False).ids)
+
+    texts = [(i, t or "") for i, t, _ in AWKWARD]
+    assert rows_of(table, "doc_id", "n_chars", "n_tokens") == rows_of(spark.createDataFrame([(i, len(t), tokens(t)) for i, t in texts], "a long, b long, c long"))
+    short = [(i, t) for i, t in texts if len(t) < 200]
+    expected = [(i, b, *max((n, tokens(t[:n])) for n in range(len(t) + 1) if tokens(t[:n]) <= max(0, b))) for i, t in short for b in (-1, 0, 3, 9, 1000)]
+    got = token_counts.fit_budgets(table.where("n_chars < 200"), (-1, 0, 3, 9, 1000))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected))
+    cut = token_counts.count_prefixes(table, (0, 7, 29_000))
+    assert sorted(map(str, map(tuple, cut.collect()))) == sorted(str((i, n, tokens(t[:n]))) for i, t in texts for n in (0, 7, 29_000))
+    empty = token_counts.prefix_table(nothing)
+    assert empty.isEmpty() and token_counts.fit_budgets(empty, (5,)).isEmpty() and token_counts.fit_budgets(table, ()).isEmpty()
