@@ -202,3 +202,17 @@ def test_whole_numbers(spark):
         (7, 7), (7, 7), (-7, -7), (7, 7), (8, 8), (-8, -8), (8, 8), (1000, 1000), (None, None), (None, None), (None, None),
         (10**18 - 1, None), (10**19 - 1 if 10**19 - 1 < 2**63 else None, None), (2**63 - 1, None), (None, None), (2**31, None), (0, 0),
     ]
+
+
+def test_judging_rows_shuffles_none_of_them(spark, frame):
+    sale = {"data_emissao": "2025-02-01", "horariomov": "08:00:00", "produto_id": "P1", "qtde_vendida": 1, "valor_unitario": 2, "filial_id": 1, "item": 1}
+    judged = load.judge("sales", frame("sales", [{**sale, "venda_id": n} for n in (1, 1, 2, 3)]))
+    assert judged.quarantined.count() == 2 and judged.accepted.count() == 2
+    plan = judged.rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_keys_that_share_a_hash_only_are_not_repeated(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, None), (3, None)], "n int, t string")
+    monkeypatch.setattr(integrity.F, "xxhash64", lambda *keys: integrity.F.lit(7).cast("long"))
+    assert rows_of(integrity.duplicate_keys(rows, ["n", "t"])) == [(2, "a", 2)]
