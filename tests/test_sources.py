@@ -4,10 +4,12 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from ledgerloom import session
 from ledgerloom.model.schema import SALES, SUPPLIER, TABLES
 from ledgerloom.model.tables import RetailTables
 from ledgerloom.plans import load, reconcile
 from ledgerloom.sources import csv, sheet, warehouse
+from ledgerloom.sources.starschema import StarSchema
 
 
 def write(tmp_path, text, name="a.csv"):
@@ -237,3 +239,20 @@ def test_stored_suppliers_say_when(spark, raw, tmp_path):
     warehouse.onboard(spark, raw, str(tmp_path / "wh"))
     stored = spark.read.parquet(str(tmp_path / "wh/typed/supplier"))
     assert stored.where("criado_em IS NOT NULL").count() == 2
+
+
+def test_stored_lines_give_the_same_tables_from_one_join(spark):
+    star = StarSchema(spark, "/root/testdata/sf0.001")
+    stored = star.with_stored_lines()
+    for name in ("sales", "purchase_order"):
+        for ours, theirs in ((stored.typed[name], star.typed[name]), (stored.raw[name], star.raw[name])):
+            assert all("/lines-" in file for file in ours.inputFiles())
+            assert ours.exceptAll(theirs).isEmpty() and theirs.exceptAll(ours).isEmpty()
+
+
+def test_joins_are_cut_by_the_size_of_files(spark, tmp_path, monkeypatch):
+    spark.range(1000).selectExpr("id AS k", "id % 7 AS v").write.parquet(str(tmp_path / "facts"))
+    facts, side = spark.read.parquet(str(tmp_path / "facts")), spark.range(1000).selectExpr("id AS k")
+    assert session.spread(side, ["k"], facts) is side  # small files: the session's own number
+    monkeypatch.setattr(session, "FILE_BYTES_PER_TASK", 100)
+    assert session.spread(side, ["k"], facts).rdd.getNumPartitions() > 8
