@@ -63,7 +63,7 @@ class RunningScoreboard:
             **self._order_changes(load),
             "QA-05": self._change("twins", load, self._touched(["twins"], load), lambda rows: rows.agg(F.sum(F.when(F.expr("low <> high"), F.col("ocorrencias"))))),
         }
-        direct = lines.agg(F.sum(F.when(F.col("ordem_compra") == 0, F.col("n"))).alias("zeroed"), F.sum("inverted").alias("inverted")).first()
+        direct = new.purchase_order.agg(F.count_if(F.expr(quality._ZEROED)).alias("zeroed"), F.count_if(F.expr(quality._INVERTED)).alias("inverted")).first()
         fractions = self._part("sold", load, load).agg(F.sum("fractions")).first()[0]
         changes |= {"QA-03": fractions or 0, "QA-04": direct["zeroed"] or 0, "QA-06": direct["inverted"] or 0}
         before = self._totals(load - 1)
@@ -95,16 +95,21 @@ class RunningScoreboard:
         rows = rows.where(F.col("carga").between(first, last))
         return rows if buckets is None else rows.where(F.col("bucket").isin(*buckets))
 
-    def _merged(self, part: str, last: int, touched: DataFrame, buckets: Sequence[int]) -> DataFrame:
-        """The counts of the touched keys over all loads up to ``last``."""
+    def _merged(self, part: str, last: int, touched: DataFrame | None, buckets: Sequence[int]) -> DataFrame:
+        """The counts of the touched keys, or of all, over all loads up to ``last``."""
         key, rest, counts = _PARTS[part]
         rows = self._part(part, 0, last, buckets)
-        met = rows.join(touched, [rows[k].eqNullSafe(touched[k]) for k in key], "left_semi")
+        met = rows if touched is None else rows.join(touched, [rows[k].eqNullSafe(touched[k]) for k in key], "left_semi")
         sums = [getattr(F, how)(c).cast(self.schemas[part][c].dataType).alias(c) for c, how in counts.items()]
         return met.groupBy(*key, *rest).agg(*sums)
 
-    def _touched(self, parts: Sequence[str], load: int, others: DataFrame | None = None) -> tuple[DataFrame, list[int]]:
-        """Keys that a load brings in any of the parts, and their buckets, ``buckets`` at most."""
+    def _touched(self, parts: Sequence[str], load: int, others: DataFrame | None = None) -> tuple[DataFrame | None, list[int]]:
+        """Keys that a load brings in any of the parts, and their buckets, ``buckets`` at most.
+
+        The first load brings in all there is: no keys are looked up for it.
+        """
+        if not self._totals(load - 1):
+            return None, list(range(self.buckets))
         key = _PARTS[parts[0]][0]
         keys = others
         for part in parts:
@@ -127,7 +132,7 @@ class RunningScoreboard:
 
     # ---- what a load changes ------------------------------------------------------
 
-    def _change(self, part: str, load: int, touched: tuple[DataFrame, list[int]], count) -> int:
+    def _change(self, part: str, load: int, touched: tuple[DataFrame | None, list[int]], count) -> int:
         """What the touched keys count after the load, less what they counted before."""
         keys, buckets = touched
         if not buckets:

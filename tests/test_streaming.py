@@ -289,3 +289,12 @@ def test_gate_over_many_batches_in_few_folders(spark, frame, tmp_path):
     assert sorted(r["batch"] for r in got.collect()) == sorted(2 * list(range(5)))
     # Two merges and the last batch, each with one file of either kind.
     assert len(got.inputFiles()) == 6
+
+
+def test_first_load_looks_up_no_keys(spark, tables, tmp_path):
+    running = RunningScoreboard(spark, str(tmp_path / "running"))
+    running.add(0, tables(purchase_order=[{"pedido_id": 1, "ordem_compra": 0}, {"pedido_id": 2, "ordem_compra": 3}]))
+    assert running._touched(["lines", "received"], 0)[0] is None
+    running.add(1, tables(purchase_order=[{"pedido_id": 4, "ordem_compra": 3}]))
+    assert rows_of(running._touched(["lines", "received"], 1)[0]) == [(3,)]
+    assert running._totals(1)["QA-04"] == 1
