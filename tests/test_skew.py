@@ -14,6 +14,7 @@ from ledgerloom.operators.numbering import next_number, number_rows
 from ledgerloom.operators.skew import count_rows, crowded_keys, lookup_join
 from ledgerloom.plans import quality, reports
 from ledgerloom.sources import warehouse
+from ledgerloom.sources.starschema import StarSchema
 
 FEW = 3
 
@@ -142,3 +143,24 @@ def test_sketches_of_loads_add_up(spark, tmp_path):
     assert rows_of(sketches.counts("t", ["k"], rows.schema)) == [(0, 25), (1, 50), (2, 25), (3, 25)]
     sketches.store("t", rows.where("k = 2"), ["k"])
     assert rows_of(sketches.counts("t", ["k"], rows.schema)) == [(2, 25)]
+
+
+def test_rows_are_counted_by_buckets_of_keys(spark, skewed, monkeypatch):
+    """What the count passes on does not grow with the keys."""
+    monkeypatch.setattr(skew, "BUCKETS", 2)
+    right = spark.range(0, 60).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        joined = lookup_join(skewed, right, ["k"], how, rows_per_task=FEW)
+        assert rows_of(joined) == rows_of(skewed.join(right, "k", how))
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_bucket#" in plan and "Aggregate [k#" not in plan
+
+
+def test_sales_are_counted_before_they_meet_their_orders(spark):
+    typed = StarSchema(spark, "/root/testdata/sf0.001").typed
+    bare = typed.with_table("sales", typed.sales)
+    for rule in (quality.uncatalogued_sales, quality.diverging_sale_prices):
+        plan = rule(typed)._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("Relation [" in line and "o_orderdate#" in line for line in plan.splitlines()) == 1
+        assert rows_of(rule(typed)) == rows_of(rule(bare))
+    assert typed.key_counts("sales", ["data_emissao"]) is None
