@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.model.schema import TABLES
 from ledgerloom.model.tables import RetailTables
-from ledgerloom.operators import skew
+from ledgerloom import session
+from ledgerloom.operators import integrity, skew
 from ledgerloom.operators.frequent import KeySketches
 from ledgerloom.operators.numbering import next_number, number_rows
 from ledgerloom.operators.skew import count_rows, crowded_keys, lookup_join
-from ledgerloom.plans import quality, reports
+from ledgerloom.plans import quality, reconcile, reports
 from ledgerloom.sources import warehouse
 from ledgerloom.sources.starschema import StarSchema
 
@@ -164,3 +165,22 @@ def test_sales_are_counted_before_they_meet_their_orders(spark):
         assert sum("Relation [" in line and "o_orderdate#" in line for line in plan.splitlines()) == 1
         assert rows_of(rule(typed)) == rows_of(rule(bare))
     assert typed.key_counts("sales", ["data_emissao"]) is None
+
+
+@pytest.mark.parametrize("job", [integrity.primary_key_report, quality.scoreboard, quality.widest_price_gaps, reconcile.acceptance])
+def test_joins_and_groups_are_cut_by_the_size_of_files(spark, monkeypatch, job):
+    """However few partitions the session sets, a task's rows do not grow with the files."""
+    coarse = job(StarSchema(spark, "/root/testdata/sf0.001").typed)
+    monkeypatch.setattr(session, "FILE_BYTES_PER_TASK", 10_000)
+    fine = job(StarSchema(spark, "/root/testdata/sf0.001").typed)
+    assert rows_of(fine) == rows_of(coarse)
+    plan = fine._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("RepartitionByExpression [l_partkey#" in line for line in plan.splitlines()) > 0
+    cut_by = {"primary_key_report": "[ordem_compra#", "scoreboard": "[pedido_id#", "acceptance": "[pedido_id#"}.get(job.__name__, "[l_partkey#")
+    assert f"RepartitionByExpression {cut_by}" in plan
+
+
+def test_lookup_over_a_number_of_tasks(spark, skewed):
+    right = spark.range(0, 60).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
+    joined = lookup_join(skewed, right, ["k"], "left", rows_per_task=FEW, tasks=20)
+    assert rows_of(joined) == rows_of(skewed.join(right, "k", "left"))
