@@ -3,6 +3,7 @@
 import random
 from datetime import date, datetime
 
+import pytest
 from conftest import rows_of
 
 from ledgerloom.model.schema import SALES
@@ -171,6 +172,24 @@ def test_state_of_closed_days_is_dropped(spark, tmp_path):
     assert rows_of(state.selectExpr("key.doc", "user_map_key.dia")) == [(0, (date(2025, 2, 7) - date(1970, 1, 1)).days)]
 
 
+@pytest.mark.parametrize("delay, held", [("2 days", [5, 6, 7]), ("47 hours 59 minutes", [6, 7]), ("1 month", [1, 4, 5, 6, 7])])
+def test_days_that_a_batch_closes_are_told_but_not_stored(spark, tmp_path, delay, held):
+    """Also before the watermark moves, the state is no larger than the open days; later rows of the others are late."""
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    days = [1, 1, 4, 5, 5, 6, 7]
+    alerts = RepeatAlerts(["doc"], out)
+    for rows in ([(1, f"2025-02-{d:02} 23:59:59") for d in days], [(1, f"2025-02-{d:02} 10:00:00") for d in (4, 6)]):
+        schema = _documents(spark, rows, inbox)
+        found = repeated_keys(_stream(spark, schema, inbox), ["doc"], "at", delay)
+        alerts.run(found)
+    state = spark.read.format("statestore").option("stateVarName", "days").option("batchId", 0).load(f"{out}/checkpoint")
+    assert sorted(r.dia - (date(2025, 1, 31) - date(1970, 1, 1)).days for r in state.select("user_map_key.dia").collect()) == held
+    late = [4] if delay != "1 month" else []
+    assert rows_of(alerts.late(found), "dia") == [(date(2025, 2, d),) for d in late]
+    repeated = {1: (2, 1), 5: (2, 1), 6: (2, 2)} | ({} if late else {4: (2, 2)})
+    assert rows_of(alerts.alerts(found), "dia", "ocorrencias", "horarios_distintos") == [(date(2025, 2, d), *repeated[d]) for d in sorted(repeated)]
+
+
 def test_history_of_the_scoreboard(spark, tables, tmp_path):
     folder = str(tmp_path / "runs")
     empty = tables()
