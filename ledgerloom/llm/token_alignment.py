@@ -4,11 +4,11 @@ A text is encoded by a byte-level BPE (A) and by a sentencepiece model (B), both
 over the bytes of a space and the text. Two token occurrences are linked if their
 byte ranges overlap; the offsets where tokens of both end cut them into groups.
 
-Method: minimal perfect hashing of distinct pairs. A first pass aligns all texts
-and leaves tallies of id pairs; the distinct pairs of each shard of the pairs get
-a minimal perfect hash; each branch of tallies becomes a dense vector of counts,
-indexed by the hash with the pairs compared, and the vectors are summed in a tree.
-A second pass aligns the texts again and looks the counts up.
+Method: minimal perfect hashing of distinct pairs. One pass aligns all texts; it
+writes each text's links, and tallies of id pairs. The distinct pairs of each shard
+of the pairs get a minimal perfect hash; each branch of tallies becomes a dense
+vector of counts, indexed by the hash with the pairs compared, and the vectors are
+summed in a tree. A second pass reads the links and looks their counts up.
 
 Sizes: a shard cannot have more pairs than |A| * |B| / SHARDS, about. The most
 frequent pairs, ``most_broadcast`` at most, go to all tasks as one hashed table.
@@ -56,6 +56,8 @@ AHEAD = 100_000
 AT_ONCE = 16_384
 #: Texts that are Python strings at once.
 TEXTS = 256
+#: Links whose counts are looked up at once.
+LINKS = 1 << 20
 #: Distinct pairs that a task tallies before it hands them on.
 TALLIED = 500_000
 #: Occurrences of infrequent pairs that one task looks up in a shard.
@@ -70,12 +72,19 @@ _HASHED = pa.schema([("shard", pa.int32()), ("hash", pa.binary()), ("keys", pa.b
 _HASHED_DDL = "shard int, hash binary, keys binary"
 _VECTOR = pa.schema([("shard", pa.int32()), ("branch", pa.int32()), ("counts", pa.binary())])
 _VECTOR_DDL = "shard int, branch int, counts binary"
-_COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+_FACTS = ("n_a", "n_b", "n_groups", "n_links")
+#: What the first pass writes: a row per text, and rows of tallies, each without the columns of the other.
+_FIRST = pa.schema(
+    [("row", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in _FACTS), ("groups_sha256", pa.string())]
+    + [("a_ids", pa.binary()), ("b_ids", pa.binary()), *_TALLY]
+)
+_FIRST_DDL = "row long, doc_id long, " + "".join(f"{c} long, " for c in _FACTS) + f"groups_sha256 string, a_ids binary, b_ids binary, {_TALLY_DDL}"
+_KEPT = ("row", "doc_id", *_FACTS, "groups_sha256")
 _ALIGNED = pa.schema(
-    [("row", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in _COUNTS), ("groups_sha256", pa.string())]
+    [*(_FIRST.field(c) for c in _KEPT), ("n_best", pa.int64()), ("count_sum", pa.int64())]
     + [("rare_shards", pa.list_(pa.int32())), ("rare_keys", pa.list_(pa.binary())), ("rare_times", pa.list_(pa.binary()))]
 )
-_ALIGNED_DDL = "row long, doc_id long, " + "".join(f"{c} long, " for c in _COUNTS) + "groups_sha256 string, rare_shards array<int>, rare_keys array<binary>, rare_times array<binary>"
+_ALIGNED_DDL = "row long, doc_id long, " + "".join(f"{c} long, " for c in _FACTS) + "groups_sha256 string, n_best long, count_sum long, rare_shards array<int>, rare_keys array<binary>, rare_times array<binary>"
 
 
 def default_paths() -> tuple[str, str]:
@@ -99,24 +108,25 @@ def align(
     """
     paths = vocabularies or default_paths()
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), empty_if_null(F.col(text_column)).alias("text"))
-    table = count_pairs(texts, paths)
+    first = pinned(texts.mapInArrow(_linked(paths), _FIRST_DDL), "links")
+    table = count_pairs(first.where("shard IS NOT NULL").select(*_TALLY.names))
     highest = _highest(table)
     frequent = _frequent(table, most_broadcast)
     shared = docs.sparkSession.sparkContext.broadcast((frequent, highest))
-    aligned = pinned(texts.mapInArrow(_looked_up(paths, shared), _ALIGNED_DDL), "aligned")
+    links = first.where("row IS NOT NULL").select(*_KEPT, "a_ids", "b_ids")
+    aligned = pinned(links.mapInArrow(_looked_up(shared), _ALIGNED_DDL), "aligned")
     rare = _rare_counts(aligned, table, shared)
     joined = aligned.join(rare, "row", "left")
     n_best, count_sum = (F.col(c) + F.coalesce(F.col(f"rare_{c}"), F.lit(0)) for c in ("n_best", "count_sum"))
     return joined.select("doc_id", "n_a", "n_b", "n_groups", "n_links", n_best.alias("n_best"), count_sum.alias("count_sum"), "groups_sha256")
 
 
-def count_pairs(texts: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """shard, hash, keys, counts: the corpus-wide counts of all linked pairs, a row per shard.
+def count_pairs(tallies: DataFrame) -> DataFrame:
+    """shard, hash, keys, counts: the corpus-wide counts of all linked pairs, a row per shard, from tallies that are stored.
 
     ``keys`` and ``counts`` are 64-bit numbers in the order of the hash; a key is
     the id of A times 2^32 and the id of B.
     """
-    tallies = pinned(texts.select("text").mapInArrow(_tallied(paths), _TALLY_DDL), "pair-tallies")
     hashes = pinned(tallies.select("shard", "keys").groupBy("shard").applyInArrow(_hashed, _HASHED_DDL), "pair-hashes")
     branches = (tallies.agg(F.max("branch")).first()[0] or 0) + 1
     everywhere = hashes.withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(branches - 1))))
@@ -478,95 +488,94 @@ def _flat(held: list[list[int]], known: Aligner) -> tuple[np.ndarray, np.ndarray
     return flat[~wrong[owner]], np.where(wrong, 0, lengths)
 
 
-def _tallied(paths: tuple[str, str]):
+def _linked(paths: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, tally = aligner(paths), _Tally()
-        branch = TaskContext.get().partitionId() // FAN
-        for _, _, _, held in _texts(batches, known):
-            flat, _ = _flat(held, known)
+        part = TaskContext.get().partitionId()
+        branch, first = part // FAN, part << 36
+        for batch, start, end, held in _texts(batches, known):
+            flat, lengths = _flat(held, known)
             each = np.repeat(np.bincount(flat, minlength=len(known.groups)), np.diff(known.ends))
             tally.add(known.links[each > 0], each[each > 0])
+            yield _text_rows(batch.column("doc_id").slice(start, end - start), held, flat, lengths, known, first)
+            first += end - start
             if tally.waiting > 2 * TALLIED and tally.fold() > TALLIED:
-                yield tally.rows(branch)
-        yield tally.rows(branch)
+                yield _filled(tally.rows(branch))
+        yield _filled(tally.rows(branch))
 
     return run
 
 
-class _Looked:
-    """What the frequent pairs say of each stretch, looked up when a stretch first occurs."""
-
-    def __init__(self, frequent: CountTable, highest: np.ndarray) -> None:
-        self.frequent, self.highest = frequent, highest
-        self.clear()
-
-    def clear(self) -> None:
-        self.best, self.total, self.rare = (np.zeros(0, np.int64) for _ in range(3))
-        self.rare_keys, self.rare_ends = [np.zeros(0, np.int64)], [0]
-
-    def extend(self, known: Aligner) -> None:
-        """Look up the pairs of all stretches since the last time."""
-        start, n = len(self.best), len(known.groups)
-        if n == start:
-            return
-        ends = known.ends[start:]
-        keys = known.links[ends[0] : ends[-1]]
-        counts, found = self.frequent.find(keys)
-        best = found & (counts == self.highest[np.minimum(keys & 0xFFFFFFFF, len(self.highest) - 1)])
-        of = np.repeat(np.arange(n - start), np.diff(ends))
-        self.best = np.r_[self.best, np.bincount(of, best, n - start).astype(np.int64)]
-        total = np.zeros(n - start, np.int64)
-        np.add.at(total, of, counts)
-        self.total = np.r_[self.total, total]
-        rare = np.bincount(of, ~found, n - start).astype(np.int64)
-        self.rare = np.r_[self.rare, rare]
-        self.rare_keys.append(keys[~found])
-
-    def rare_of(self, stretches: np.ndarray) -> np.ndarray:
-        """The pairs of these stretches that are not among the frequent ones."""
-        if len(self.rare_keys) > 1:
-            self.rare_keys = [np.concatenate(self.rare_keys)]
-        ends = np.r_[0, np.cumsum(self.rare)]
-        some = stretches[self.rare[stretches] > 0]
-        return np.concatenate([np.zeros(0, np.int64), *(self.rare_keys[0][ends[i] : ends[i + 1]] for i in some)])
-
-
-def _looked_up(paths: tuple[str, str], shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = aligner(paths)
-        looked = _Looked(*shared.value)
-        first = TaskContext.get().partitionId() << 36
-        for batch, start, end, held in _texts(batches, known):
-            looked.extend(known)
-            yield _aligned_rows(batch.slice(start, end - start), held, known, looked, first)
-            first += end - start
-            if known.full:
-                looked.clear()
-
-    return run
+def _filled(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of the first pass with NULL in the columns they do not have."""
+    return pa.RecordBatch.from_arrays([rows.column(f.name) if f.name in rows.schema.names else pa.nulls(rows.num_rows, f.type) for f in _FIRST], schema=_FIRST)
 
 
-def _aligned_rows(batch: pa.RecordBatch, held: list[list[int]], known: Aligner, looked: _Looked, first: int) -> pa.RecordBatch:
-    flat, lengths = _flat(held, known)
+def _text_rows(doc_ids: pa.Array, held: list[list[int]], flat: np.ndarray, lengths: np.ndarray, known: Aligner, first: int) -> pa.RecordBatch:
+    """The texts' facts, and their links as ids of A and of B."""
     ends = np.r_[0, np.cumsum(lengths)]
 
     def per_text(fact: np.ndarray) -> np.ndarray:
         return np.diff(np.r_[0, np.cumsum(fact[flat])][ends])
 
-    n_a, n_b, n_groups = map(per_text, (known.n_a_of, known.n_b_of, known.n_groups_of))
-    n_links = per_text(np.diff(known.ends))
-    n_rare = per_text(looked.rare)
-    digests, rare = [], ([], [], [])
-    for k, n in enumerate(lengths.tolist()):
-        digests.append(hashlib.sha256(";".join(map(known.groups.__getitem__, held[k])).encode()).hexdigest() if n else "")
+    per_stretch = np.diff(known.ends)
+    n_links = per_text(per_stretch)
+    # Stretch by stretch, the places of its links.
+    times = per_stretch[flat]
+    before = np.cumsum(times) - times
+    links = known.links[np.arange(int(times.sum())) + np.repeat(known.ends[flat] - before, times)]
+    digests = [hashlib.sha256(";".join(map(known.groups.__getitem__, x)).encode()).hexdigest() if n else "" for x, n in zip(held, lengths.tolist())]
+    width = "<u2" if max(known.n_a, known.n_b) <= 1 << 16 else "<u4"
+    ids = [_cells(x.astype(width), n_links) for x in (links >> 32, links & 0xFFFFFFFF)]
+    numbers = [per_text(f) for f in (known.n_a_of, known.n_b_of, known.n_groups_of)]
+    columns = [pa.array(np.arange(first, first + len(held))), doc_ids, *map(pa.array, (*numbers, n_links)), pa.array(digests, pa.string()), *ids]
+    return _filled(pa.RecordBatch.from_arrays(columns, names=_FIRST.names[: len(columns)]))
+
+
+def _cells(numbers: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Numbers one behind another as a binary cell for each length."""
+    offsets = np.r_[0, np.cumsum(lengths)] * numbers.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(numbers.tobytes())])
+
+
+def _in_cells(cells: pa.Array, n: int) -> np.ndarray:
+    """The ``n`` numbers of all cells, one behind another."""
+    whole = b"".join(cells.to_pylist())
+    return np.frombuffer(whole, f"<u{len(whole) // n}" if n else "<u2").astype(np.int64)
+
+
+def _looked_up(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, highest = shared.value
+        for batch in batches:
+            n_links = batch.column("n_links").to_numpy()
+            # Runs of rows of about as many links; a text with more is a run of its own.
+            run_of = (np.cumsum(n_links) - n_links) // LINKS
+            starts = np.flatnonzero(np.r_[True, run_of[1:] != run_of[:-1]]) if len(run_of) else []
+            for start, end in zip(starts, [*starts[1:], len(run_of)]):
+                yield _counted(batch.slice(start, end - start), n_links[start:end], frequent, highest)
+
+    return run
+
+
+def _counted(rows: pa.RecordBatch, n_links: np.ndarray, frequent: CountTable, highest: np.ndarray) -> pa.RecordBatch:
+    """What the frequent pairs say of each text, and its other pairs by shard."""
+    ends = np.r_[0, np.cumsum(n_links)]
+    a, b = (_in_cells(rows.column(c), int(ends[-1])) for c in ("a_ids", "b_ids"))
+    keys = a << 32 | b
+    counts, found = frequent.find(keys)
+    best = found & (counts == highest[np.minimum(b, len(highest) - 1)])
+    n_best, count_sum, n_rare = (np.diff(np.r_[0, np.cumsum(x)][ends]) for x in (best, counts, ~found))
+    rare = ([], [], [])
+    for k, n in enumerate(n_rare.tolist()):
         cells = ([], [], [])
-        if n_rare[k]:
-            keys, times = np.unique(looked.rare_of(flat[ends[k] : ends[k + 1]]), return_counts=True)
-            for shard, at in _by_shard(keys):
-                for cell, value in zip(cells, (shard, _cell(keys[at]), _cell(times[at]))):
+        if n:
+            mine = slice(ends[k], ends[k + 1])
+            some, times = np.unique(keys[mine][~found[mine]], return_counts=True)
+            for shard, at in _by_shard(some):
+                for cell, value in zip(cells, (shard, _cell(some[at]), _cell(times[at]))):
                     cell.append(value)
         for column, cell in zip(rare, cells):
             column.append(cell)
-    numbers = [n_a, n_b, n_groups, n_links, per_text(looked.best), per_text(looked.total)]
-    columns = [np.arange(first, first + len(held)), batch.column("doc_id"), *numbers, digests, *rare]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, _ALIGNED)], schema=_ALIGNED)
+    columns = [*(rows.column(c) for c in _KEPT), n_best, count_sum, *rare]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _ALIGNED)], schema=_ALIGNED)

@@ -3,8 +3,10 @@
 import hashlib
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -157,3 +159,27 @@ def test_shards_and_tree_of_many_branches(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)
     monkeypatch.setattr(token_alignment, "FAN", 2)
     assert aligned(df) == sorted(((i, *r) for i, r in enumerate(plainly(texts))), key=str)
+
+
+def test_links_are_counted_without_aligning_again(monkeypatch):
+    """The second pass needs what the first one wrote, and neither texts nor vocabularies."""
+    texts = odd_texts(40, 5)
+    part = SimpleNamespace(partitionId=lambda: 0)
+    monkeypatch.setattr(token_alignment, "TaskContext", SimpleNamespace(get=lambda: part))
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(40), "text": texts})
+    first = pa.Table.from_batches(token_alignment._linked((A_PATH, B_PATH))(iter([batch])))
+    tallied, links = (first.filter(first[c].is_valid()) for c in ("shard", "row"))
+    keys, counts = (np.concatenate([np.frombuffer(x, "<i8") for x in tallied[c].to_pylist()]) for c in ("keys", "counts"))
+    highest = np.zeros(1 << 16, np.int64)
+    np.maximum.at(highest, keys & 0xFFFFFFFF, counts)
+    hash_ = PerfectHash.of(keys)
+    by_place = np.zeros(len(keys), np.int64)
+    by_place[hash_.places(keys)] = counts
+    table = CountTable(hash_, in_places(hash_, keys), by_place)
+    monkeypatch.setattr(token_alignment, "aligner", None)
+    expected = [(i, r[3], r[4], r[5], r[6]) for i, r in enumerate(plainly(texts))]
+    for at_once in (7, 1 << 20):
+        monkeypatch.setattr(token_alignment, "LINKS", at_once)
+        found = pa.Table.from_batches(token_alignment._looked_up(SimpleNamespace(value=(table, highest)))(iter(links.to_batches())))
+        columns = (found[c].to_pylist() for c in ("doc_id", "n_links", "n_best", "count_sum", "groups_sha256"))
+        assert list(zip(*columns)) == expected
