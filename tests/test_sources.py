@@ -1,5 +1,8 @@
 """Text files, spreadsheet tabs, warehouse and proofs of a load."""
 
+import hashlib
+import re
+
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom import session
 from ledgerloom.model.schema import SALES, SUPPLIER, TABLES
 from ledgerloom.model.tables import RetailTables
+from ledgerloom.operators import digests
 from ledgerloom.plans import load, reconcile
 from ledgerloom.sources import csv, sheet, warehouse
 from ledgerloom.sources.starschema import StarSchema
@@ -169,6 +173,24 @@ def test_amounts_that_change_places_within_a_key_show(raw_frame):
         assert (key,) in rows_of(reconcile.changed_sales(raw, changed), "venda_id")
 
 
+def test_digests_are_sums_of_numbers_of_rows(spark):
+    """Enough rows for a carry from one half of a sum to the other."""
+    rows = spark.range(300).selectExpr("id", "id % 2 AS half")
+    found = digests.digests(rows, [F.col("half")], digests.row_digest([F.col("id")]), "n").select("half", "n", digests.digest_text([F.col(c) for c in digests.SUMS]))
+    md5 = [hashlib.md5(str(i).encode()).hexdigest() for i in range(300)]
+    wanted = [(h, 150, ":".join(str(sum(int(d[at : at + 15], 16) for d in md5[h::2])) for at in (0, 15))) for h in (0, 1)]
+    assert rows_of(found) == wanted
+
+
+def test_traces_read_each_side_once_and_share_its_joins(spark):
+    star = StarSchema(spark, "/root/testdata/sf0.001")
+    raw, typed = star.raw, load.load_all(star.raw)
+    for traced in (reconcile.changed_sales(raw, typed), reconcile.sale_digests(raw, typed), reconcile.trace_sales(raw, typed)):
+        plan = traced._jdf.queryExecution().optimizedPlan().toString()
+        kept = [re.sub(r"#\d+L?", "", line).strip(" :+-") for line in plan.splitlines() if "Filter" in line and "l_orderkey" in line and "97" in line]
+        assert len(kept) == 2 and kept[0] == kept[1], kept
+
+
 def test_same_document_at_two_times(frame):
     base = {"venda_id": 1, "data_emissao": "2025-02-01", "produto_id": "P1", "filial_id": 1, "item": 1}
     sales = frame("sales", [{**base, "horariomov": h} for h in ("08:00:00", "09:00:00", "09:00:00")] + [{**base, "venda_id": 2}])
