@@ -190,6 +190,39 @@ def test_days_that_a_batch_closes_are_told_but_not_stored(spark, tmp_path, delay
     assert rows_of(alerts.alerts(found), "dia", "ocorrencias", "horarios_distintos") == [(date(2025, 2, d), *repeated[d]) for d in sorted(repeated)]
 
 
+@pytest.mark.parametrize("delay", ["2 days", "47 hours 59 minutes", "1 month"])
+def test_documents_that_share_a_group_have_the_same_alerts(spark, tmp_path, delay):
+    """Three groups for sixty documents, some without a number, against a group for each, over runs that go on."""
+    draw = random.Random(3)
+    inbox = str(tmp_path / "in")
+    outs = {n: str(tmp_path / f"out{n}") for n in (None, 1, 3)}
+    for first in (1, 4, 9, 2):
+        rows = [(draw.choice([None, *range(60)]), f"2025-02-{first + draw.randrange(4):02} {draw.randrange(24):02}:00:00") for _ in range(200)]
+        schema = _documents(spark, rows, inbox)
+        for n, out in outs.items():
+            RepeatAlerts(["doc"], out).run(repeated_keys(_stream(spark, schema, inbox), ["doc"], "at", delay, buckets=n))
+    like = repeated_keys(_stream(spark, schema, inbox), ["doc"], "at", delay)
+    found = [(rows_of(alerts.alerts(like)), rows_of(alerts.late(like))) for alerts in (RepeatAlerts(["doc"], out) for out in outs.values())]
+    assert found[0] == found[1] == found[2] and found[0][0]
+    assert bool(found[0][1]) == (delay != "1 month")
+
+
+def test_state_of_shared_groups_holds_open_days_only(spark, tmp_path):
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    held = []
+    for rows in (
+        [(i, f"2025-02-{d:02} 08:00:00") for i in range(20) for d in (1, 6, 7)],
+        [(0, "2025-02-08 08:00:00")],
+        [(0, "2025-02-20 08:00:00")],
+    ):
+        schema = _documents(spark, rows, inbox)
+        RepeatAlerts(["doc"], out).run(repeated_keys(_stream(spark, schema, inbox), ["doc"], "at", buckets=4))
+        state = spark.read.format("statestore").option("stateVarName", "days").load(f"{out}/checkpoint")
+        held.append(rows_of(state.groupBy("list_element.dia").count().selectExpr("dia - datediff('2025-01-31', '1970-01-01')", "`count`")))
+    # All groups but one of the second arrival get no more rows: timers drop their days.
+    assert held == [[(6, 20), (7, 20)], [(6, 20), (7, 20), (8, 1)], [(20, 1)]]
+
+
 def test_history_of_the_scoreboard(spark, tables, tmp_path):
     folder = str(tmp_path / "runs")
     empty = tables()
