@@ -191,6 +191,12 @@ def test_traces_read_each_side_once_and_share_its_joins(spark):
         assert len(kept) == 2 and kept[0] == kept[1], kept
 
 
+def test_digests_per_bucket_are_summed_as_longs(spark):
+    star = StarSchema(spark, "/root/testdata/sf0.001")
+    plan = reconcile.sale_digests(star.raw, load.load_all(star.raw))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(shiftright(" in plan and "as decimal(20,0)" not in plan
+
+
 def test_same_document_at_two_times(frame):
     base = {"venda_id": 1, "data_emissao": "2025-02-01", "produto_id": "P1", "filial_id": 1, "item": 1}
     sales = frame("sales", [{**base, "horariomov": h} for h in ("08:00:00", "09:00:00", "09:00:00")] + [{**base, "venda_id": 2}])
