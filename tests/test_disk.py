@@ -66,3 +66,9 @@ def test_order_lines_meet_their_receipts_and_are_not_moved_again(spark, tables,
     assert rows_of(per_order.agg(F.max("recebida").cast("int"), F.sum("off"), F.sum("zeroed"), F.count_if(F.expr(quality._EXCESS)))) == [(15, 2, 1, 1)]
     plan = per_order._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan[: plan.index("SortMergeJoin")]
+
+
+def test_acceptance_keeps_no_shuffles_of_its_parts(spark, folder, shuffled):
+    found = entry.queries()["R6"](spark, folder)
+    assert len(found.collect()) == 1
+    assert shuffled() < 10_000
