@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ledgerloom import session
+from ledgerloom.operators import skew
 from ledgerloom.plans import quality
 
 
@@ -72,3 +73,26 @@ def test_acceptance_keeps_no_shuffles_of_its_parts(spark, folder, shuffled):
     found = entry.queries()["R6"](spark, folder)
     assert len(found.collect()) == 1
     assert shuffled() < 10_000
+
+
+def test_views_are_counted_one_after_the_other(spark, folder, shuffled):
+    found = entry.queries()["A9"](spark, folder)
+    assert len(found.collect()) == 13
+    assert shuffled() < 10_000
+
+
+@pytest.mark.parametrize("rule", [quality.received_above_ordered, quality.delivered_vs_receipt])
+@pytest.mark.parametrize("strict", [False, True])
+def test_order_lines_with_their_receipts_are_grouped_where_they_met(spark, tables, shuffled, monkeypatch, rule, strict):
+    line = {"pedido_id": 7, "qtde_pedida": 9, "qtde_entregue": 1, "item": 1}
+    orders = [{**line, "ordem_compra": o, "produto_id": f"P{i % 3}"} for i in range(20) for o in (7, 8, 0, None)]
+    receipts = [{"ordem_compra": o, "item": 1, "produto_id": f"P{i}", "qtde_recebida": i + 1} for o in (7, 9, 0) for i in range(3)]
+    given = tables(purchase_order=orders, goods_receipt=receipts)
+    whole = rows_of(rule(given, strict))
+    received = [1, 2, 3] if strict else [6, 6, 6]
+    assert [int(r["recebida" if "recebida" in r else "qtde_recebida_nf" if "qtde_recebida_nf" in r else "qtde_recebida"]) for r in sorted((r.asDict() for r in rule(given, strict).collect()), key=lambda r: r["produto_id"])] == [n * lines for n, lines in zip(received, (7, 7, 6)) if rule is quality.delivered_vs_receipt or n * lines > 9]
+    plan = rule(given, strict)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan[: plan.index("SortMergeJoin")]
+    # The same where an order has more lines than a task should take.
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 3)
+    assert rows_of(rule(given, strict)) == whole
