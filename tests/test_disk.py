@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ledgerloom import session
+from ledgerloom.model.schema import TABLES
 from ledgerloom.operators import skew
 from ledgerloom.plans import quality
+from ledgerloom.sources import warehouse
+from ledgerloom.sources.starschema import StarSchema
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +99,27 @@ def test_order_lines_with_their_receipts_are_grouped_where_they_met(spark, table
     # The same where an order has more lines than a task should take.
     monkeypatch.setattr(skew, "ROWS_PER_TASK", 3)
     assert rows_of(rule(given, strict)) == whole
+
+
+def test_onboarding_keeps_typed_tables_and_what_it_set_aside_only(spark, folder, shuffled, tmp_path):
+    star = StarSchema(spark, folder)
+    path = session.scratch_path(spark, "probe")
+    kept = lambda: {n for n in os.listdir(os.path.dirname(path).removeprefix("file:")) if n.startswith("judged-")}
+    before = kept()
+    done = warehouse.onboard(spark, star.raw, str(tmp_path / "warehouse"))
+    assert shuffled() < 10_000
+    assert kept() == before
+    for name in TABLES:
+        values = done.counts[name].values
+        assert done.tables[name].count() + done.quarantine[name].count() >= values["final"] > 0
+
+
+def test_ranges_of_a_fact_follow_the_size_of_its_files(spark, frame, tmp_path, monkeypatch):
+    rows = frame("sales", [{"venda_id": i, "data_emissao": f"2025-01-{1 + i % 28:02}", "filial_id": 1, "produto_id": f"P{i}", "item": 1} for i in range(400)])
+    monkeypatch.setattr(session, "FILE_BYTES_PER_TASK", 200)
+    stored = session.pinned(rows.coalesce(1), "sales")
+    wanted = session.tasks_for(stored)
+    assert wanted > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = warehouse.write_table("sales", stored, str(tmp_path), stored=True)
+    assert len([f for f in os.listdir(path) if f.startswith("part-")]) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows_of(spark.read.schema(stored.schema).parquet(path)) == rows_of(stored)
